@@ -89,7 +89,7 @@ SELECT o_orderkey AS ocid, CASE WHEN o_custkey % 97 = 13 THEN NULL ELSE o_custke
 FROM (SELECT o.*, '2026-06' AS month_file FROM orders o
       UNION ALL SELECT o.*, '2026-07' AS month_file FROM orders o WHERE o_orderkey % 50 = 0) x""",
     "parties": """
-SELECT l_orderkey AS ocid, l_linenumber AS ord, l_suppkey AS entity_id,
+SELECT l_orderkey AS ocid, CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey AS ord, l_suppkey AS entity_id,
   CASE WHEN l_linenumber <= 2 THEN 'Buyer;procuringEntity' ELSE 'tenderer' END AS roles,
   CASE WHEN l_orderkey % 4 = 0 OR l_suppkey % 4 = 0 THEN NULL WHEN l_orderkey % 4 = 1 THEN lower(n_name) ELSE n_name END AS department_raw,
   CASE WHEN l_orderkey % 8 = 0 THEN n_name ELSE NULL END AS region_raw,
