@@ -18,7 +18,8 @@ def to_number(col: Column | str) -> Column:
 
 def rounded(col: Column, decimals: int) -> Column:
     """Half-to-even rounding; the first step removes the noise of summing in another order."""
-    return F.bround(F.round(col.cast("double"), decimals + 6), decimals)
+    scale = F.lit(10.0**decimals)
+    return F.rint(F.round(col.cast("double"), decimals + 6) * scale) / scale
 
 
 def pct(part: Column, whole: Column, decimals: int = 2) -> Column:

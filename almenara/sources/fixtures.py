@@ -117,6 +117,13 @@ SELECT event_id AS call_id, ts, 'tarea1' AS task, event_type AS model,
 SELECT c_custkey AS row_no, c_name AS full_name,
   CASE c_custkey % 4 WHEN 0 THEN 'Femenino' WHEN 1 THEN 'Masculino' WHEN 2 THEN 'No binario' ELSE 'Prefiero no indicar' END AS gender,
   c_mktsegment AS area FROM customer""",
+    "book": """
+SELECT source AS doc, doc_id + 1 AS page,
+  concat(CASE doc_id % 4 WHEN 0 THEN '34 NORMAS LEGALES Jueves 8 de enero de 2026  El Peruano / '
+    WHEN 1 THEN concat('35NORMAS LEGALESJueves 8 de enero de 2026 El Peruano /', chr(10))
+    WHEN 2 THEN concat(chr(10), '  12  ', chr(10), 'Página 3 de 10 ') ELSE '' END,
+    text, CASE WHEN doc_id % 5 = 0 THEN concat(' contrata-', chr(10), 'ción   final', chr(10), chr(10), chr(10), chr(10), 'fin ') ELSE '' END) AS text
+FROM documents""",
     "retrieval": """
 SELECT vec_id, label, embedding, vec_id < 25 AS is_query,
   CASE WHEN vec_id % 5 = 0 THEN 'out_domain' ELSE 'in_domain' END AS kind,
