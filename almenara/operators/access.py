@@ -276,7 +276,7 @@ def aggregate_by_level(access: DataFrame, levels: dict[str, list[str]]) -> DataF
     by = ["level", *keys]
     sums = rows.groupBy(*by).agg(*_level_sums())
     q = weighted_quantiles(
-        rows.filter(valid_time()), by, "t_min", "weight", "point_id", {"t_p50": 0.5, "t_p90": 0.9}
+        rows.filter(valid_time()), by, "t_min", "weight", {"t_p50": 0.5, "t_p90": 0.9}
     )
     return null_safe_join(sums, q, by, "left").select(
         *by, "points", rounded(F.col("_total"), 0).alias("weight"),
@@ -391,7 +391,7 @@ def access_kpis(selection: DataFrame, limit_min: float = 60.0) -> DataFrame:
         F.sum(F.when(none, w).otherwise(0.0)).alias("without_access"),
     )
     median = weighted_quantiles(
-        selection.filter(~none), [], "t_min", "weight", "point_id", {"median_min": 0.5}
+        selection.filter(~none), [], "t_min", "weight", {"median_min": 0.5}
     ).scalar()
     return sums.select(
         "weight", "covered", (F.col("weight") - F.col("covered") - F.col("without_access")).alias("beyond"),
@@ -507,7 +507,7 @@ def scenario_kpis(scenario: DataFrame, limit_min: float = 60.0) -> DataFrame:
         F.count_if(true(a < F.coalesce(t, F.lit(float("inf"))))).alias("points_improved"),
     )
     median = weighted_quantiles(
-        scenario.filter(~after), [], "t_after", "weight", "point_id", {"median_after": 0.5}
+        scenario.filter(~after), [], "t_after", "weight", {"median_after": 0.5}
     ).scalar()
     return sums.select("*", median.alias("median_after"))
 

@@ -69,17 +69,19 @@ def running_sums(
         *[e.alias(n) for n, e in (extras or {}).items()],
     ).withColumn("_range", value_range(F.col(value), per_unit))
 
+    # Both branches read every column of the collapsed rows, so they share one shuffle of them.
+    complete = [F.count(n) > 0 for n in extras or {}]
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    ranges = (
-        src.withColumn("_range", value_range(F.col(value), per_unit))
-        .groupBy(*keys, "_range")
-        .agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-        .select(
-            *keys, "_range",
-            *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_off_{n}") for n in sums],
-            *[F.sum(n).over(whole).alias(f"total_{n}") for n in sums],
-        )
+    per_range = collapsed.groupBy(*keys, "_range").agg(
+        *[F.sum(n).alias(n) for n in sums], *[c.alias(f"_has_{i}") for i, c in enumerate(complete)]
+    )
+    for i in range(len(complete)):
+        per_range = per_range.filter(F.col(f"_has_{i}"))
+    ranges = per_range.select(
+        *keys, "_range",
+        *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.sum(n).over(whole).alias(f"total_{n}") for n in sums],
     )
     inside = (
         Window.partitionBy(*keys, "_range").orderBy(value)
@@ -93,12 +95,11 @@ def running_sums(
     return out.drop("_range", "_all", *[f"_in_{n}" for n in sums], *[f"_off_{n}" for n in sums])
 
 
-def _interpolate(lo: Column, hi: Column, at: Column) -> Column:
-    """Linear interpolation between two (position, value) structs; ends are clamped."""
-    lc, lv, hc, hv = lo["c"], lo["v"], hi["c"], hi["v"]
+def _interpolate(name: str, at: Column) -> Column:
+    """Linear interpolation between the neighbours of the wanted position; ends are clamped."""
+    lc, lv, hc, hv = (F.col(f"_{k}_{name}") for k in ("lc", "lv", "hc", "hv"))
     return (
-        F.when(lo.isNull(), hv)
-        .when(hi.isNull() | (hc == lc), lv)
+        F.when(lc.isNull(), hv).when(hc.isNull() | (hc == lc), lv)
         .otherwise(lv + (at - lc) * (hv - lv) / (hc - lc))
     )
 
@@ -124,39 +125,35 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) ->
 
 
 def weighted_quantiles(
-    df: DataFrame, by: list[str], value: str, weight: str, tie: str, qs: dict[str, float]
+    df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float]
 ) -> DataFrame:
     """Quantiles of a weighted distribution, each row sitting at the middle of its own weight.
 
-    Rows with equal values are ordered by ``tie``; only the first and the last of them can be a
-    neighbour of the wanted position, so the tie block is kept as two weights.
+    Rows with equal values are ordered by weight; only the first and the last of them can be a
+    neighbour of the wanted position, so the tie block is kept as its smallest and largest weight.
     """
     valid = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).select(
         *by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"),
-        F.col(tie).alias("_tie"),
     )
     rows = running_sums(
         valid, by, "_v", {"w": F.col("_w")},
-        {"w_first": F.min_by("_w", "_tie"), "w_last": F.max_by("_w", "_tie")},
+        {"w_first": F.min("_w"), "w_last": F.max("_w")},
     )
     v = F.col("_v")
     c_first = F.col("before_w") + F.col("w_first") / 2
     c_last = F.col("before_w") + F.col("w") - F.col("w_last") / 2
 
-    def point(c: Column) -> Column:
-        return F.struct(c.alias("c"), v.alias("v"))
-
     aggs, outs = [], []
     for name, q in qs.items():
         at = F.lit(float(q)) * F.col("total_w")
+        below = F.when(c_last <= at, c_last).when(c_first <= at, c_first)
+        above = F.when(c_first >= at, c_first).when(c_last >= at, c_last)
         aggs += [
-            F.max(F.when(c_last <= at, point(c_last)).when(c_first <= at, point(c_first))).alias(f"_lo_{name}"),
-            F.min(F.when(c_first >= at, point(c_first)).when(c_last >= at, point(c_last))).alias(f"_hi_{name}"),
+            F.max(below).alias(f"_lc_{name}"), F.max_by(v, below).alias(f"_lv_{name}"),
+            F.min(above).alias(f"_hc_{name}"), F.min_by(v, above).alias(f"_hv_{name}"),
             F.max(at).alias(f"_at_{name}"),
         ]
-        outs.append(
-            _interpolate(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_at_{name}")).alias(name)
-        )
+        outs.append(_interpolate(name, F.col(f"_at_{name}")).alias(name))
     return rows.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 

@@ -364,7 +364,7 @@ def context_blocks(hits: DataFrame) -> DataFrame:
     label = F.concat(
         F.lit("--- Fragmento "), F.col("rank").cast("string"), F.lit(" · ["), F.col("doc").cast("string"), F.lit(", p. "),
         F.col("page").cast("string"), F.lit("]"), F.when(true("amends"), " (NORMA MODIFICATORIA)").otherwise(""),
-        F.lit(" · similitud "), F.format_string("%.3f", "similarity"), F.lit(" ---\n"), F.col("text"),
+        F.lit(" · similitud "), F.format_string("%.3f", rounded(F.col("similarity"), 3)), F.lit(" ---\n"), F.col("text"),
     )
     ranked = hits.select("query_id", F.struct("rank", label.alias("block")).alias("b"))
     return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b")).select(

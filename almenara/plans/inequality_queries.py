@@ -55,7 +55,7 @@ def _percentiles(t):
     from almenara.operators.ordered import weighted_quantiles
 
     out = weighted_quantiles(
-        t.access.filter(acc.valid_time()), ["district"], "t_min", "weight", "point_id",
+        t.access.filter(acc.valid_time()), ["district"], "t_min", "weight",
         {"p10": 0.1, "p50": 0.5, "p90": 0.9},
     )
     return out.select("district", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])

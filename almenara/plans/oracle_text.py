@@ -16,7 +16,7 @@ def rnd(expr: str, decimals: int) -> str:
     return f"CAST(round_even(round(CAST({expr} AS DOUBLE), {decimals + 6}), {decimals}) AS DOUBLE)"
 
 
-def weighted_quantile(source: str, by: list[str], q: float, name: str, value="t_min", weight="weight", tie="point_id") -> str:
+def weighted_quantile(source: str, by: list[str], q: float, name: str, value="t_min", weight="weight") -> str:
     """A query returning ``by..., name``; ``source`` is a table or subquery of valid rows."""
     keys = ", ".join(by)
     part = f"PARTITION BY {keys}" if by else ""
@@ -27,6 +27,6 @@ def weighted_quantile(source: str, by: list[str], q: float, name: str, value="t_
 FROM (SELECT {sel}max(pos) AS pos, arg_max(pt, c) FILTER (WHERE c <= pos) AS lo, arg_min(pt, c) FILTER (WHERE c >= pos) AS hi
   FROM (SELECT *, {{'c': c, 'v': v}} AS pt FROM (
     SELECT {sel}CAST({value} AS DOUBLE) AS v,
-      sum({weight}) OVER ({part} ORDER BY {value}, {tie} ROWS UNBOUNDED PRECEDING) - {weight} / 2 AS c,
+      sum({weight}) OVER ({part} ORDER BY {value}, {weight} ROWS UNBOUNDED PRECEDING) - {weight} / 2 AS c,
       {q} * sum({weight}) OVER ({part}) AS pos
     FROM {source} WHERE {value} IS NOT NULL AND {weight} > 0) a) b {group}) d"""

@@ -182,7 +182,7 @@ def _context_hits(t):
 
 
 @query("context_blocks", ("retrieval",), f""", {_CTX} SELECT query_id, string_agg(concat('--- Fragmento ', rank, ' · [', doc, ', p. ', page, ']',
-CASE WHEN amends THEN ' (NORMA MODIFICATORIA)' ELSE '' END, ' · similitud ', printf('%.3f', similarity), ' ---', chr(10), text), chr(10) || chr(10) ORDER BY rank) AS context FROM hx GROUP BY query_id""")
+CASE WHEN amends THEN ' (NORMA MODIFICATORIA)' ELSE '' END, ' · similitud ', printf('%.3f', {rnd('similarity', 3)}), ' ---', chr(10), text), chr(10) || chr(10) ORDER BY rank) AS context FROM hx GROUP BY query_id""")
 def _context(t):
     return ops.context_blocks(_context_hits(t))
 
