@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from almenara.functions.numeric import pct, rounded, share, true
 from almenara.operators.ordered import (
-    null_safe_join, quantiles, running_sums, weighted_quantiles, with_levels,
+    null_safe_join, quantiles, quantiles_of, running_sums, weighted_quantiles, with_levels,
 )
 from almenara.settings import ACCESS, ACTIVE_STATES, UPGRADABLE_CATEGORIES
 
@@ -133,14 +133,13 @@ def mode_summary(compared: DataFrame, modes: dict[int, str], base: int, key: str
         *[F.count_if(true(f"ok_{n}")).alias(f"reachable_{n}") for n in modes.values()],
         *[rounded(100 * F.avg(F.col(f"changed_{n}").cast("int")), 1).alias(f"pct_changed_{n}") for n in others],
     )
-    for n in modes.values():
-        timed = rows.withColumn("_t", F.when(true(f"ok_{n}"), F.col(f"t_{n}")))
-        q = quantiles(timed, [key], "_t", {f"t_median_{n}": 0.5})
-        out = out.join(q.withColumn(f"t_median_{n}", rounded(F.col(f"t_median_{n}"), 1)), key, "left")
-    for n in others:
-        q = quantiles(rows, [key], f"ratio_{n}", {f"ratio_median_{n}": 0.5, f"ratio_p90_{n}": 0.9})
-        out = out.join(q.select(key, *[rounded(F.col(c), 2).alias(c) for c in q.columns if c != key]), key, "left")
-    return out
+    measures = {f"t_{n}": F.when(true(f"ok_{n}"), F.col(f"t_{n}")) for n in modes.values()}
+    measures |= {f"ratio_{n}": F.col(f"ratio_{n}") for n in others}
+    wanted = {f"t_median_{n}": (f"t_{n}", 0.5) for n in modes.values()}
+    wanted |= {f"ratio_{label}_{n}": (f"ratio_{n}", q) for n in others for label, q in (("median", 0.5), ("p90", 0.9))}
+    q = quantiles_of(rows, [key], measures, wanted)
+    digits = {c: 1 if c.startswith("t_") else 2 for c in wanted}
+    return out.join(q.select(key, *[rounded(F.col(c), d).alias(c) for c, d in digits.items()]), key, "left")
 
 
 def urban_walking_access(points: DataFrame, walking_pairs: DataFrame) -> DataFrame:
@@ -327,10 +326,12 @@ def access_summary(access: DataFrame, key: str = "region") -> DataFrame:
         pct(F.count_if(~reach), F.count("*"), 1).alias("pct_unreachable"),
         pct(F.sum(F.when(off, w).otherwise(0.0)), F.sum(w), 1).alias("pct_weight_off_network"),
     )
-    every = quantiles(rows.filter(reach), [key], "t_min", {"t_median_all": 0.5})
-    served = quantiles(rows.filter(reach & ~off), [key], "t_min", {"t_median_served": 0.5, "t_p90_served": 0.9})
-    out = sums.join(every, key, "left").join(served, key, "left")
-    return out.select(
+    t = F.col("t_min")
+    q = quantiles_of(
+        rows, [key], {"all": F.when(reach, t), "served": F.when(reach & ~off, t)},
+        {"t_median_all": ("all", 0.5), "t_median_served": ("served", 0.5), "t_p90_served": ("served", 0.9)},
+    )
+    return sums.join(q, key, "left").select(
         *sums.columns,
         *[rounded(F.col(c), 1).alias(c) for c in ("t_median_all", "t_median_served", "t_p90_served")],
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,44 +25,47 @@ _FLAGS = "(?imdU)"
 
 
 # ---------------------------------------------------------------- cleaning
+_CONTROL = "".join(chr(i) for i in range(32) if chr(i) not in "\t\n\r")
+_SOFT_HYPHEN = "\u00ad"
+# Every character that counts as white space.
+_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def _without(col: Column, pattern: str) -> Column:
     return F.regexp_replace(col, _FLAGS + pattern, " ")
 
 
-def clean_page(col: Column, patterns: tuple[str, ...] = HEADER_PATTERNS) -> Column:
-    """Headers out, broken words joined, ligatures and control characters normalised, spaces collapsed."""
-    t = reduce(_without, patterns, col)
-    t = F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
-    t = nfkc(t)
-    t = F.regexp_replace(t, "­", "")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+def clean_pages(pages: DataFrame, patterns: tuple[str, ...] = HEADER_PATTERNS) -> DataFrame:
+    """Adds ``clean`` and whether enough text is left for the page to be useful.
+
+    Headers out, broken words joined, ligatures and control characters normalised, spaces collapsed.
+    """
+    t = F.col("text")
+    for p in patterns:
+        t = _without(t, p)
+    joined = pages.withColumn("clean", F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"))
+    df = joined.withColumn("clean", nfkc("clean"))
+    t = F.translate(F.col("clean"), _CONTROL + _SOFT_HYPHEN, " " * len(_CONTROL))
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r" *\n *", "\n")
-    return strip(t)
-
-
-def clean_pages(pages: DataFrame, patterns: tuple[str, ...] = HEADER_PATTERNS) -> DataFrame:
-    """Adds ``clean`` and whether enough text is left for the page to be useful."""
-    return pages.withColumn("clean", clean_page(F.col("text"), patterns)).withColumn(
-        "useful", F.length("clean") >= TEXT.min_chars
-    )
+    return df.withColumn("clean", strip(t)).withColumn("useful", F.length("clean") >= TEXT.min_chars)
 
 
 def pattern_hits(pages: DataFrame, patterns: tuple[str, ...] = HEADER_PATTERNS) -> DataFrame:
     """Matches of each pattern on the text as the earlier patterns left it."""
-    counts, t = [], F.col("text")
+    df, t = pages.select(F.col("text").alias("_t")), F.col("_t")
     for i, p in enumerate(patterns):
-        counts.append(F.struct(
-            F.lit(i).alias("position"), F.lit(p).alias("pattern"),
-            F.coalesce(F.sum(F.regexp_count(t, F.lit(_FLAGS + p))), F.lit(0)).alias("hits"),
-        ))
-        t = _without(t, p)
-    return pages.agg(F.array(*counts).alias("r")).select(F.inline("r"))
+        df = df.withColumns({f"_h{i}": F.regexp_count(t, F.lit(_FLAGS + p)), "_t": _without(t, p)})
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(p).alias("pattern"), F.coalesce(F.sum(f"_h{i}"), F.lit(0)).alias("hits"))
+        for i, p in enumerate(patterns)
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def extraction_quality(cleaned: DataFrame) -> DataFrame:

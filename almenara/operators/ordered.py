@@ -124,6 +124,20 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) ->
     return rows.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
+def quantiles_of(
+    df: DataFrame, by: list[str], measures: dict[str, Column], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """Quantiles of several measures in one pass: ``wanted`` maps a name to (measure, q)."""
+    rows = df.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("_m"), c.cast("double").alias("_v")) for m, c in measures.items()
+    ])).alias("_x")).select(*by, "_x.*")
+    qs = sorted({q for _, q in wanted.values()})
+    found = quantiles(rows, [*by, "_m"], "_v", {f"_q{i}": q for i, q in enumerate(qs)})
+    return found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_m") == m, F.col(f"_q{qs.index(q)}"))).alias(name) for name, (m, q) in wanted.items()
+    ])
+
+
 def weighted_quantiles(
     df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float]
 ) -> DataFrame:

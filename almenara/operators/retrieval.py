@@ -7,7 +7,6 @@ equal vectors tie whatever the order of summation, and ties go to the smaller id
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 from almenara.functions.numeric import pct, rounded, share, true
 from almenara.functions.text import words
 from almenara.operators.ordered import top_n
+from almenara.session import pin
 from almenara.settings import RETRIEVAL
 
 SCORE_DECIMALS = 6
@@ -49,26 +49,37 @@ def cosine_scorer(queries: pd.DataFrame, vector: str, scope: str | None = None)
 
 def bm25_scorer(queries: pd.DataFrame, k1: float, b: float) -> Scorer:
     """``queries`` carries the weighted terms of each query and the mean document length."""
-    postings: dict[str, list[tuple[int, float]]] = {}
-    for i, (terms, weights) in enumerate(zip(queries["terms"], queries["weights"])):
-        for term, w in zip(terms, weights):
-            postings.setdefault(term, []).append((i, w))
-    index = {
-        t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()
-    }
+    sizes = queries["terms"].map(len).to_numpy()
+    codes, vocabulary = pd.factorize(np.concatenate([*queries["terms"], np.array([], dtype=object)]))
+    known = pd.Index(vocabulary)
+    by_term = np.argsort(codes, kind="stable")
+    who = np.repeat(np.arange(len(queries)), sizes)[by_term]
+    weight = np.concatenate([*queries["weights"], np.array([])]).astype(np.float64)[by_term]
+    first = np.searchsorted(codes[by_term], np.arange(len(known) + 1))
+    spans = np.diff(first)
     mean_length = float(queries["mean_length"].iloc[0]) or 1.0
     n = len(queries)
 
     def score(batch: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(batch), n))
-        for row, tokens in zip(out, batch["tokens"]):
-            norm = k1 * (1 - b + b * len(tokens) / mean_length)
-            for term, tf in Counter(t for t in tokens if t in index).items():
-                who, w = index[term]
-                row[who] += w * (tf * (k1 + 1) / (tf + norm))
-        return out
-
-    return score
+        lengths = batch["tokens"].map(len).to_numpy()
+        words_, distinct = pd.factorize(np.concatenate([*batch["tokens"], np.array([], dtype=object)]))
+        term = known.get_indexer(distinct)[words_]
+        doc = np.repeat(np.arange(len(batch)), lengths)
+        hit = term >= 0
+        pair, tf = np.unique(doc[hit] * np.int64(len(known)) + term[hit], return_counts=True)
+        d, t = pair // max(len(known), 1), pair % max(len(known), 1)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[d] / mean_length))
+        # Every (document, term) meets the queries that hold the term: a sparse product, added up.
+        reps = spans[t]
+        at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[t], reps)
+        cell = np.repeat(d, reps) * np.int64(n) + who[at]
+        return np.bincount(cell, np.repeat(part, reps) * weight[at], len(batch) * n).reshape(len(batch), n)
+
+    def in_steps(batch: pd.DataFrame, step: int = 512) -> np.ndarray:
+        """A few documents at a time: the product never holds more than their terms."""
+        return np.vstack([score(batch.iloc[i:i + step]) for i in range(0, len(batch), step)])
+
+    return in_steps
 
 
 # ---------------------------------------------------------------- search
@@ -174,14 +185,19 @@ def bm25_terms(
 ) -> DataFrame:
     """Queries as weighted terms. A term in over half of the documents gets ``epsilon`` x mean idf.
 
-    Document frequencies come from one pass that combines on the map side.
+    One pass over the documents combines on the map side; the NULL term of each document counts the
+    documents and adds up their lengths. The result is stored, since four figures are read from it.
     """
     docs = corpus.select(words(F.lower(text)).alias("tokens"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    frequency = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = stats.select("n").scalar()
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    frequency = pin(
+        docs.select(F.size("tokens").alias("length"), F.explode(marked).alias("term"))
+        .groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    )
+    whole = frequency.filter(F.col("term").isNull())
+    total = whole.select("df").scalar()
     idf = F.ln(total - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weighted = frequency.withColumn("idf", idf)
+    weighted = frequency.filter(F.col("term").isNotNull()).select("term", idf.alias("idf"))
     floor = weighted.agg(F.avg("idf").alias("m")).scalar() * epsilon
     asked = queries.select("query_id", F.explode(words(F.lower(text))).alias("term")).groupBy("query_id", "term").agg(
         F.count("*").alias("repeats")
@@ -193,7 +209,7 @@ def bm25_terms(
     return queries.select("query_id").join(terms, "query_id", "left").select(
         "query_id", F.coalesce("t.term", F.array().cast("array<string>")).alias("terms"),
         F.coalesce("t.w", F.array().cast("array<double>")).alias("weights"),
-        stats.select("mean_length").scalar().alias("mean_length"),
+        whole.select(F.col("length") / F.col("df")).scalar().alias("mean_length"),
     )
 
 

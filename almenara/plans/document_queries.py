@@ -8,6 +8,7 @@ from almenara.operators import documents as ops
 from almenara.operators import quality
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
+from almenara.session import spread
 from almenara.settings import CHUNK_SWEEP, HEADER_PATTERNS
 
 _RE = [p.replace("'", "''") for p in HEADER_PATTERNS]
@@ -29,7 +30,7 @@ cu AS (SELECT *, length(clean) >= 40 AS useful FROM cl)"""
 
 
 def _cleaned(t):
-    return ops.clean_pages(t.book)
+    return ops.clean_pages(spread(t.book))
 
 
 @query("cleaned_pages", ("book",), f", {_CLEAN} SELECT doc, page, useful, length(clean) AS chars, md5(clean) AS digest FROM cu")
@@ -41,7 +42,7 @@ def _clean(t):
     f"SELECT {i} AS position, '{p}' AS pattern, coalesce(sum(len(regexp_extract_all({_removed(i)}, '(?im){p}'))), 0) AS hits FROM book"
     for i, p in enumerate(_RE)))
 def _hits(t):
-    return ops.pattern_hits(t.book)
+    return ops.pattern_hits(spread(t.book))
 
 
 @query("extraction_quality", ("book",), f""", {_CLEAN} SELECT doc, count(*) AS pages, count(*) FILTER (WHERE useful) AS useful_pages,
@@ -79,7 +80,8 @@ def _summary(t):
 
 
 def _useful(t):
-    return _cleaned(t).filter("useful").select("doc", "page", F.col("clean").alias("text"))
+    """A page too short to be useful has no fragment of the minimum length either."""
+    return _cleaned(t).select("doc", "page", F.col("clean").alias("text"))
 
 
 @query("recursive_fragments", ("book",))
@@ -112,6 +114,6 @@ def _sweep(t):
 
 @query("passage_vectors", ("documents",))
 def _vectors(t):
-    v = ops.encode_passages(t.documents.select("doc_id", "text"))
+    v = ops.encode_passages(spread(t.documents).select("doc_id", "text"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return v.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
