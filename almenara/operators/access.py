@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from almenara.functions.numeric import pct, rounded, share, true
 from almenara.operators.ordered import (
-    null_safe_join, quantiles, quantiles_of, running_sums, weighted_quantiles, with_levels,
+    null_safe_join, quantiles, quantiles_of, running_sums, sums_by_level, weighted_quantiles, with_levels,
 )
 from almenara.settings import ACCESS, ACTIVE_STATES, UPGRADABLE_CATEGORIES
 
@@ -40,10 +40,11 @@ def time_band(t: Column, without_access: Column) -> Column:
     )
 
 
-def _grouped(df: DataFrame, key: str) -> DataFrame:
-    """Rows once for their own group (NULL groups left out) and once for the total."""
-    levels = with_levels(df, {"group": [key], TOTAL: []})
-    return levels.filter((F.col("level") == TOTAL) | F.col(key).isNotNull())
+def group_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums per group (NULL groups left out) and in total, labelled ``group_name``."""
+    out = sums_by_level(df, {"group": [key], TOTAL: []}, sums)
+    out = out.filter((F.col("level") == TOTAL) | F.col(key).isNotNull())
+    return out.select(_group_label(key).alias("group_name"), *sums)
 
 
 def _group_label(key: str) -> Column:
@@ -179,10 +180,11 @@ def classify_network_coverage(
 
 def network_coverage_summary(covered: DataFrame, key: str = "region") -> DataFrame:
     off = true("off_network")
-    return _grouped(covered, key).groupBy("level", key).agg(
-        F.count("*").alias("points"), F.count_if(off).alias("points_off"),
-        pct(F.sum(F.when(off, F.col("weight")).otherwise(0.0)), F.sum("weight"), 1).alias("pct_weight_off"),
-    ).select(_group_label(key).alias("group_name"), "points", "points_off", "pct_weight_off")
+    sums = group_sums(covered, key, {
+        "points": F.count("*"), "points_off": F.count_if(off),
+        "_off": F.sum(F.when(off, F.col("weight")).otherwise(0.0)), "_all": F.sum("weight"),
+    })
+    return sums.select("group_name", "points", "points_off", pct(F.col("_off"), F.col("_all"), 1).alias("pct_weight_off"))
 
 
 def snap_diagnostics(snap: DataFrame) -> DataFrame:
@@ -244,38 +246,35 @@ def coverage_bands(
     sums[f"over_{bands[-1]}"] = weight_where(ok & (t > bands[-1]))
     sums["no_access"] = F.sum(w) - weight_where(ok)
     within = {b: weight_where(ok & (t <= b)) for b in bands}
-    g = _grouped(access, key).groupBy("level", key).agg(
-        F.sum(w).alias("_total"),
-        *[c.alias(f"_s_{n}") for n, c in sums.items()],
-        *[c.alias(f"_c_{b}") for b, c in within.items()],
-    )
+    g = group_sums(access, key, {
+        "_total": F.sum(w), **{f"_s_{n}": c for n, c in sums.items()}, **{f"_c_{b}": c for b, c in within.items()},
+    })
     total = F.col("_total")
     return g.select(
-        _group_label(key).alias("group_name"), rounded(total, 0).alias("weight_total"),
+        "group_name", rounded(total, 0).alias("weight_total"),
         *[rounded(F.col(f"_s_{n}"), 0).alias(f"weight_{n}") for n in sums],
         *[pct(F.col(f"_s_{n}"), total).alias(f"pct_{n}") for n in sums],
         *[pct(F.col(f"_c_{b}"), total).alias(f"pct_within_{b}") for b in bands],
     )
 
 
-def _level_sums() -> list[Column]:
+def _level_sums() -> dict[str, Column]:
     ok, w = valid_time(), F.col("weight")
     ok_w = F.when(ok, w).otherwise(0.0)
     used = ok & (w > 0)
-    return [
-        F.count("*").alias("points"), F.sum(w).alias("_total"), F.sum(ok_w).alias("_ok"),
-        F.sum(F.when(used, F.col("t_min") * w)).alias("_vw"), F.sum(F.when(used, w)).alias("_w"),
-    ]
+    return {
+        "points": F.count("*"), "_total": F.sum(w), "_ok": F.sum(ok_w),
+        "_vw": F.sum(F.when(used, F.col("t_min") * w)), "_w": F.sum(F.when(used, w)),
+    }
 
 
 def aggregate_by_level(access: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """Weighted time statistics per unit of every level; NULL keys form their own unit."""
     keys = list(dict.fromkeys(k for cols in levels.values() for k in cols))
-    rows = with_levels(access, levels)
     by = ["level", *keys]
-    sums = rows.groupBy(*by).agg(*_level_sums())
+    sums = sums_by_level(access, levels, _level_sums())
     q = weighted_quantiles(
-        rows.filter(valid_time()), by, "t_min", "weight", {"t_p50": 0.5, "t_p90": 0.9}
+        with_levels(access.filter(valid_time()), levels), by, "t_min", "weight", {"t_p50": 0.5, "t_p90": 0.9}
     )
     return null_safe_join(sums, q, by, "left").select(
         *by, "points", rounded(F.col("_total"), 0).alias("weight"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almenara.functions.numeric import rounded
-from almenara.operators.ordered import null_safe_join, quantiles, with_levels
+from almenara.operators.ordered import null_safe_join, quantiles, sums_by_level, with_levels
 from almenara.settings import PEAK_HOURS_UTC, TARIFFS
 
 PEAK, OFF_PEAK = "pico", "valle"
@@ -59,12 +59,13 @@ def add_costs(calls: DataFrame) -> DataFrame:
 
 def cost_summary(costed: DataFrame) -> DataFrame:
     """Calls, tokens, median latency and cost per task, model and band, plus the grand total."""
+    levels = {"group": ["task", "model", "band"], "TOTAL": []}
     by = ["level", "task", "model", "band"]
-    rows = with_levels(costed, {"group": ["task", "model", "band"], "TOTAL": []})
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("calls"), F.count_if("ok").alias("ok_calls"), F.count_if(~F.col("ok")).alias("failed_calls"),
-        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        rounded(F.sum("cost_usd"), 6).alias("cost_usd"),
-    )
-    q = quantiles(rows, by, "latency_s", {"latency_median_s": 0.5})
-    return null_safe_join(sums, q, by, "left").withColumn("latency_median_s", rounded(F.col("latency_median_s"), 2))
+    sums = sums_by_level(costed, levels, {
+        "calls": F.count("*"), "ok_calls": F.count_if("ok"), "failed_calls": F.count_if(~F.col("ok")),
+        "tokens_in": F.sum("tokens_in"), "tokens_out": F.sum("tokens_out"), "cost_usd": F.sum("cost_usd"),
+    })
+    q = quantiles(with_levels(costed, levels), by, "latency_s", {"latency_median_s": 0.5})
+    return null_safe_join(sums, q, by, "left").withColumns({
+        "cost_usd": rounded(F.col("cost_usd"), 6), "latency_median_s": rounded(F.col("latency_median_s"), 2),
+    })

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almenara.functions.numeric import p_value, rounded, to_number
-from almenara.operators.access import TOTAL, valid_time
+from almenara.operators.access import TOTAL, group_sums, valid_time
 from almenara.operators.ordered import null_safe_join, quantiles, running_sums, with_levels
 
 QUADRANTS = (
@@ -91,15 +91,17 @@ def _scopes(df: DataFrame, key: str) -> DataFrame:
 
 def inequality(access: DataFrame, key: str = "region") -> DataFrame:
     """Points, weight, Gini of travel time and mean time per group and in total."""
-    rows = _scopes(access, key)
     ok, w = valid_time(), F.col("weight")
     used = ok & (w > 0)
-    sums = rows.groupBy("scope").agg(
-        F.count_if(ok).alias("points"), rounded(F.sum(F.when(ok, w).otherwise(0.0)), 0).alias("weight"),
-        rounded(F.try_divide(F.sum(F.when(used, F.col("t_min") * w)), F.sum(F.when(used, w))), 1).alias("t_mean"),
+    sums = group_sums(access, key, {
+        "points": F.count_if(ok), "_w": F.sum(F.when(ok, w).otherwise(0.0)),
+        "_vu": F.sum(F.when(used, F.col("t_min") * w)), "_u": F.sum(F.when(used, w)),
+    }).withColumnRenamed("group_name", "scope")
+    g = gini(_scopes(access.filter(ok), key), ["scope"])
+    return sums.join(g, "scope", "left").select(
+        "scope", "points", rounded(F.col("_w"), 0).alias("weight"),
+        rounded(F.try_divide("_vu", "_u"), 1).alias("t_mean"), rounded(F.col("gini"), 4).alias("gini"),
     )
-    g = gini(rows.filter(ok), ["scope"])
-    return sums.join(g, "scope", "left").withColumn("gini", rounded(F.col("gini"), 4))
 
 
 def lorenz_by_scope(access: DataFrame, key: str = "region") -> DataFrame:

@@ -41,6 +41,16 @@ def with_levels(df: DataFrame, levels: dict[str, list[str]], label: str = "level
     )
 
 
+def sums_by_level(
+    df: DataFrame, levels: dict[str, list[str]], sums: dict[str, Column], label: str = "level"
+) -> DataFrame:
+    """Sums (and counts) at every level: the rows are summed once per finest key, and only those
+    sums are repeated for the coarser levels."""
+    keys = list(dict.fromkeys(k for cols in levels.values() for k in cols))
+    finest = df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+    return with_levels(finest, levels, label).groupBy(label, *keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet, keeping one copy of the keys."""
     renamed = right.select(
