@@ -142,7 +142,7 @@ def _squared(pairs: list[tuple[Column, Column]]) -> Column:
 
 def nearest(
     queries: DataFrame, targets: DataFrame, query_key: str, target_key: str, dims: list[str],
-    by: list[str], leaf_size: int = 32, carry: tuple[str, ...] = (),
+    by: list[str], leaf_size: int = 8, first_cells: int = 16, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exact nearest target of every query inside its ``by`` group: ``target, distance``.
 
@@ -159,17 +159,28 @@ def nearest(
 
     spots = targets.groupBy(*by, *dims).agg(F.min(target_key).alias("target"))
     sizes = [float(2 ** e) for e in range(23, -2, -2)]
-    crowd = spots.select(*by, *dims, F.explode(F.array(*[F.lit(s) for s in sizes])).alias("_s")).groupBy(
+    per_cell = spots.select(*by, *dims, F.explode(F.array(*[F.lit(s) for s in sizes])).alias("_s")).groupBy(
         *by, "_s", *[F.floor(c(d) / c("_s")).alias(n) for d, n in zip(dims, cells)]
-    ).agg(F.count("*").alias("n")).groupBy("_s").agg(F.max("n").alias("n")).collect()
-    fullest = {r["_s"]: r["n"] for r in crowd}
-    depth = next((i for i, s in enumerate(sizes) if fullest.get(s, 0) <= leaf_size), len(sizes) - 1)
+    ).agg(F.count("*").alias("n"))
+    per_group = per_cell.groupBy(*by, "_s").agg(F.max("n").alias("n"), F.count("*").alias("cells"))
+    crowd = {
+        r["_s"]: r for r in per_group.groupBy("_s").agg(F.max("n").alias("n"), F.max("cells").alias("cells")).collect()
+    }
+    if not crowd:  # no targets at all
+        return queries.limit(0).select(
+            query_key, *by, *carry, F.lit(None).cast(targets.schema[target_key].dataType).alias("target"),
+            F.lit(None).cast("double").alias("distance"),
+        )
+    # Start at the finest grid in which every group still has few cells, end where cells hold few targets.
+    top = max(i for i, s in enumerate(sizes) if i == 0 or crowd[s]["cells"] <= first_cells)
+    depth = next((i for i, s in enumerate(sizes) if crowd[s]["n"] <= leaf_size), len(sizes) - 1)
+    top = min(top, depth)
 
     box = [F.min(d).alias(f"_lo{d}") for d in dims] + [F.max(d).alias(f"_hi{d}") for d in dims]
     keep = [query_key, *by, *dims, *carry]
     open_cells = queries.select(*keep)
-    for level, size in enumerate(sizes[: depth + 1]):
-        up = [F.floor(c(d) / sizes[level - 1]).alias(f"_p{d}") for d in dims] if level else []
+    for level, size in enumerate(sizes[top: depth + 1]):
+        up = [F.floor(c(d) / sizes[top + level - 1]).alias(f"_p{d}") for d in dims] if level else []
         nodes = spots.groupBy(*by, *cell_of(size), *up).agg(*box)
         keys = [*by, *[f"_p{d}" for d in dims]] if level else list(by)
         if level:
@@ -177,7 +188,7 @@ def nearest(
         if keys:
             met = open_cells.join(nodes, keys)
         else:
-            met = open_cells.join(F.broadcast(nodes))  # cells of 2^23 m: the whole Earth has eight
+            met = open_cells.join(F.broadcast(nodes))  # at most ``first_cells`` rows, or the eight of 2^23 m
         low = _squared([(F.greatest(c(f"_lo{d}"), F.least(c(d), c(f"_hi{d}"))), c(d)) for d in dims])
         far = _squared([(F.greatest(F.abs(c(d) - c(f"_lo{d}")), F.abs(c(d) - c(f"_hi{d}"))), F.lit(0.0)) for d in dims])
         best = F.min(far).over(Window.partitionBy(query_key))

@@ -65,7 +65,7 @@ def _units(t):
 
 @query("critical_gaps", ("access",), f"""{_DISTRICTS}
 SELECT *, {rnd('weight * pct_without_access / 100', 0)} AS weight_without_access,
-  row_number() OVER (ORDER BY pct_without_access DESC NULLS FIRST, t_mean DESC NULLS FIRST, region, district) AS ranking
+  CAST(row_number() OVER (ORDER BY pct_without_access DESC NULLS FIRST, t_mean DESC NULLS FIRST, region, district) AS INTEGER) AS ranking
 FROM du ORDER BY ranking LIMIT 20""")
 def _critical_gaps(t):
     return ops.critical_gaps(_units(t))
@@ -148,7 +148,7 @@ def _ecdf(t):
 
 @query("time_histogram", ("access",), """, c AS (SELECT least(floor(least(t_min, 300) / 7.5), 39) AS bin, count(*) AS rows
   FROM access WHERE t_min IS NOT NULL GROUP BY 1)
-SELECT CAST(r.bin AS INTEGER) AS bin, r.bin * 7.5 AS bin_from, coalesce(c.rows, 0) AS rows
+SELECT CAST(r.bin AS INTEGER) AS bin, r.bin * 7.5::DOUBLE AS bin_from, coalesce(c.rows, 0) AS rows
 FROM range(40) r(bin) LEFT JOIN c ON r.bin = c.bin""")
 def _histogram(t):
     return ops.histogram(t.access, "t_min", 0, 300, 40)
@@ -283,11 +283,11 @@ def _scale_ceilings(t):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-_CAND = "cp AS (SELECT * FROM pairs WHERE mode = 1 AND facility_id % 4 <> 0)"
+_CAND = "cp AS (SELECT * FROM pairs WHERE mode = 1 AND NOT resolutive)"
 
 
 def _candidate_pairs(t):
-    return t.pairs.filter("mode = 1 AND facility_id % 4 <> 0")
+    return t.pairs.filter("mode = 1 AND NOT resolutive")
 
 
 _PRUNED = f"""{_CAND}, pr AS (SELECT cp.* FROM cp LEFT JOIN access a ON cp.point_id = a.point_id
@@ -304,7 +304,7 @@ def _pruned_pairs(t):
     return _pruned(t)
 
 
-_SCENARIO = f"""{_PRUNED}, nw AS (SELECT point_id, min(duration_s) / 60 AS t_new FROM pr WHERE facility_id % 4 = 1 GROUP BY point_id),
+_SCENARIO = f"""{_PRUNED}, nw AS (SELECT point_id, min(duration_s) / 60 AS t_new FROM pr WHERE proposed GROUP BY point_id),
 sc AS (SELECT a.*, CASE WHEN t_new IS NOT NULL AND ({NO_ACCESS} OR t_min IS NULL OR t_new < t_min) THEN t_new ELSE t_min END AS t_after,
   {NO_ACCESS} AS no_access_before, {NO_ACCESS} AND t_new IS NULL AS no_access_after
   FROM access a LEFT JOIN nw ON a.point_id = nw.point_id)"""
@@ -318,7 +318,7 @@ SELECT round(coalesce(sum(weight) FILTER (WHERE t_min <= 60 AND NOT no_access_be
   count(*) FILTER (WHERE t_after < coalesce(t_min, 'infinity'::DOUBLE)) AS points_improved,
   round((SELECT median_after FROM m), 6) AS median_after FROM sc""")
 def _scenario_kpis(t):
-    out = ops.scenario_kpis(ops.scenario_points(t.access, _pruned(t).filter("facility_id % 4 = 1")))
+    out = ops.scenario_kpis(ops.scenario_points(t.access, _pruned(t).filter("proposed")))
     return out.select(*[
         (F.round(c, 6 if c == "median_after" else 4) if c != "points_improved" else F.col(c)).alias(c)
         for c in out.columns

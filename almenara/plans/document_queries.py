@@ -33,20 +33,20 @@ def _cleaned(t):
     return ops.clean_pages(spread(t.book))
 
 
-@query("cleaned_pages", ("book",), f", {_CLEAN} SELECT doc, page, useful, length(clean) AS chars, md5(clean) AS digest FROM cu")
+@query("cleaned_pages", ("book",), f", {_CLEAN} SELECT doc, page, useful, CAST(length(clean) AS INTEGER) AS chars, md5(clean) AS digest FROM cu")
 def _clean(t):
     return _cleaned(t).select("doc", "page", "useful", F.length("clean").alias("chars"), F.md5("clean").alias("digest"))
 
 
 @query("cleaning_pattern_hits", ("book",), ", x AS (SELECT 1) " + " UNION ALL ".join(
-    f"SELECT {i} AS position, '{p}' AS pattern, coalesce(sum(len(regexp_extract_all({_removed(i)}, '(?im){p}'))), 0) AS hits FROM book"
+    f"SELECT {i} AS position, '{p}' AS pattern, CAST(coalesce(sum(len(regexp_extract_all({_removed(i)}, '(?im){p}'))), 0) AS BIGINT) AS hits FROM book"
     for i, p in enumerate(_RE)))
 def _hits(t):
     return ops.pattern_hits(spread(t.book))
 
 
 @query("extraction_quality", ("book",), f""", {_CLEAN} SELECT doc, count(*) AS pages, count(*) FILTER (WHERE useful) AS useful_pages,
-count(*) FILTER (WHERE NOT useful) AS dropped_pages, sum(length(text)) AS chars_before, sum(length(clean)) AS chars_after,
+count(*) FILTER (WHERE NOT useful) AS dropped_pages, CAST(sum(length(text)) AS BIGINT) AS chars_before, CAST(sum(length(clean)) AS BIGINT) AS chars_after,
 {pct('sum(length(text)) - sum(length(clean))', 'sum(length(text))')} AS pct_removed, {rnd('sum(length(clean)) / count(*)', 1)} AS chars_per_page FROM cu GROUP BY doc""")
 def _quality(t):
     return ops.extraction_quality(_cleaned(t))
@@ -61,9 +61,9 @@ def _reduced(t):
     )
 
 
-_FIXED = """fw AS (SELECT doc, page, n_in_page, trim(substr(text, n_in_page * 750 + 1, 900)) AS text FROM
+_FIXED = """fw AS (SELECT doc, page, CAST(n_in_page AS INTEGER) AS n_in_page, trim(substr(text, n_in_page * 750 + 1, 900)) AS text FROM
   (SELECT *, unnest(range(0, CAST(greatest(ceil((length(text) - 150) / 750.0), 1) AS BIGINT))) AS n_in_page FROM book) x),
-fx AS (SELECT *, length(text) AS chars, printf('%s::p%04d::c%03d::%s', doc, page, n_in_page, substr(sha1(text), 1, 10)) AS id FROM fw WHERE length(text) >= 40)"""
+fx AS (SELECT *, CAST(length(text) AS INTEGER) AS chars, printf('%s::p%04d::c%03d::%s', doc, page, n_in_page, substr(sha1(text), 1, 10)) AS id FROM fw WHERE length(text) >= 40)"""
 
 
 @query("fixed_window_fragments", ("book",), f", {_FIXED} SELECT doc, page, n_in_page, chars, id FROM fx")
@@ -89,7 +89,7 @@ def _recursive(t):
     return ops.chunk_pages(_useful(t)).select("doc", "page", "n_in_page", "chars", "id")
 
 
-@query("recursive_fragment_contracts", ("book",), "SELECT * FROM (VALUES ('id unico', 0, true), ('fragmento dentro de su pagina', 0, true), ('minimo de caracteres', 0, true)) v(contract, violations, ok)")
+@query("recursive_fragment_contracts", ("book",), "SELECT * FROM (VALUES ('id unico', 0::BIGINT, true), ('fragmento dentro de su pagina', 0, true), ('minimo de caracteres', 0, true)) v(contract, violations, ok)")
 def _contracts(t):
     pages = _useful(t)
     chunks = ops.chunk_pages(pages)

@@ -132,8 +132,8 @@ def _copies(t):
 
 
 @query("tender_rule_report", _READS, f", {_FLAGS} " + " UNION ALL ".join(
-    f"""SELECT '{c}' AS rule, '{d}' AS description, count(*) AS evaluated, count(*) FILTER (WHERE {f}) AS flagged, 0 AS recovered, 0 AS discarded, '' AS reason,
-{rnd(f'100.0 * count(*) FILTER (WHERE {f}) / count(*)', 3)} AS pct_flagged, 0.0 AS pct_recovered,
+    f"""SELECT '{c}' AS rule, '{d}' AS description, count(*) AS evaluated, count(*) FILTER (WHERE {f}) AS flagged, 0::BIGINT AS recovered, 0::BIGINT AS discarded, '' AS reason,
+{rnd(f'100.0 * count(*) FILTER (WHERE {f}) / count(*)', 3)} AS pct_flagged, 0.0::DOUBLE AS pct_recovered,
 CASE WHEN count(*) FILTER (WHERE {f}) = 0 THEN 'SIN_HALLAZGOS' ELSE 'RETENIDO' END AS action FROM fl""" for c, f, d in ops.TENDER_RULES))
 def _tender_report(t):
     return quality.rule_report(_flagged(t), ops.tender_rules())

@@ -152,15 +152,15 @@ def _nation_keys(t):
 s AS (SELECT doc, count(*) AS pages, sum(length(text)) AS chars, count(*) FILTER (WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200) AS low_pages,
   sum(length(text) + 1) FILTER (WHERE page <= 5) - 1 AS sample, sum(words) FILTER (WHERE page <= 5) AS words, sum(glued) FILTER (WHERE page <= 5) AS glued FROM pg GROUP BY doc),
 v AS (SELECT doc, pages, chars, low_pages, 100.0 * low_pages / pages AS pct, sample >= 200 AND coalesce(glued / nullif(words, 0) < 0.15, false) AS order_ok FROM s)
-SELECT doc, pages, chars, low_pages, round(pct, 6) AS pct_low_pages, order_ok, pct <= 5 AND order_ok AS usable,
+SELECT doc, pages, CAST(chars AS BIGINT) AS chars, low_pages, round(pct, 6) AS pct_low_pages, order_ok, pct <= 5 AND order_ok AS usable,
 CASE WHEN pct <= 5 AND order_ok THEN 'usable tal cual' ELSE concat_ws('; ', CASE WHEN pct > 5 THEN 'paginas sin texto extraible' END,
   CASE WHEN NOT order_ok THEN 'orden de lectura incorrecto' END) END AS reason FROM v""")
 def _source_check(t):
     return ops.check_sources(t.docs).withColumn("pct_low_pages", F.round("pct_low_pages", 6))
 
 
-@query("glued_words_by_document", ("docs",), r"""SELECT doc, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'),
-lambda w: length(w) > 6 AND regexp_matches(w, '\p{Ll}\p{Lu}')))) AS glued FROM docs GROUP BY doc""")
+@query("glued_words_by_document", ("docs",), r"""SELECT doc, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'),
+lambda w: length(w) > 6 AND regexp_matches(w, '\p{Ll}\p{Lu}')))) AS BIGINT) AS glued FROM docs GROUP BY doc""")
 def _glued(t):
     return t.docs.groupBy("doc").agg(F.sum(glued_words("text")).alias("glued"))
 
@@ -194,12 +194,12 @@ SELECT 'point_id unico' AS contract, (SELECT count(*) FROM (SELECT point_id FROM
 UNION ALL SELECT 'tiempo si y solo si alcanzable', count(*) FILTER (WHERE reachable <> (t_min IS NOT NULL)), true FROM access
 UNION ALL SELECT 'peso no negativo', count(*) FILTER (WHERE weight < 0), true FROM access
 UNION ALL SELECT 'tiempo igual al minimo de la matriz', (SELECT count(*) FROM access a LEFT JOIN (SELECT point_id, min(duration_s) / 60 AS m FROM pairs
-  WHERE mode = 1 AND facility_id % 4 = 0 GROUP BY 1) n ON a.point_id = n.point_id WHERE a.t_min IS DISTINCT FROM n.m), true
+  WHERE mode = 1 AND resolutive GROUP BY 1) n ON a.point_id = n.point_id WHERE a.t_min IS DISTINCT FROM n.m), true
 UNION ALL SELECT 'porcentajes por banda suman 100', 0, true
 UNION ALL SELECT 'acumulados no decrecen', 0, true""")
 def _access_contracts(t):
     c = F.col
-    best = acc.nearest_destination(t.pairs.filter("mode = 1 AND facility_id % 4 = 0"))
+    best = acc.nearest_destination(t.pairs.filter("mode = 1 AND resolutive"))
     differs = t.access.join(best.select("point_id", "t_min_min"), "point_id", "left").filter(
         ~c("t_min").eqNullSafe(c("t_min_min"))
     )

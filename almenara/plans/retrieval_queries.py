@@ -35,7 +35,7 @@ def _hits(t, k=10):
 def _search_sql(k: int, name: str = "hi", where: str = "true") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS value, c.label = q.label AS relevant,
   round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS rank
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS INTEGER) AS rank
   FROM retrieval q, retrieval c WHERE q.is_query AND NOT c.is_query AND {where}) z WHERE rank <= {k})"""
 
 
@@ -201,7 +201,7 @@ df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf,
 wf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df) ELSE idf END AS w FROM df),
 qt AS (SELECT item_id, unnest({_TOK}) AS term FROM benchmark),
 sc AS (SELECT item_id, doc_id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / ml))), 6) AS s FROM qt JOIN wf ON qt.term = wf.term JOIN tf ON tf.term = qt.term, st GROUP BY 1, 2),
-bm AS (SELECT item_id AS query_id, doc_id AS id, s AS similarity, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM sc)"""
+bm AS (SELECT item_id AS query_id, doc_id AS id, s AS similarity, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM sc)"""
 
 
 def _lexical(t, k=5):

@@ -78,7 +78,7 @@ def _costs(t):
 
 
 @query("cost_summary", ("calls",), f""", {_COST} SELECT CASE WHEN grouping(task) = 1 THEN 'TOTAL' ELSE 'group' END AS level, task, model, band,
-count(*) AS calls, count(*) FILTER (WHERE ok) AS ok_calls, count(*) FILTER (WHERE NOT ok) AS failed_calls, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out,
+count(*) AS calls, count(*) FILTER (WHERE ok) AS ok_calls, count(*) FILTER (WHERE NOT ok) AS failed_calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
 {rnd('sum(cost_usd)', 6)} AS cost_usd, {rnd('quantile_cont(latency_s, 0.5)', 2)} AS latency_median_s FROM cc GROUP BY GROUPING SETS ((task, model, band), ())""")
 def _cost_summary(t):
     return costs.cost_summary(costs.add_costs(t.calls))

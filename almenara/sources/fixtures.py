@@ -42,7 +42,8 @@ FROM (SELECT s_suppkey, s_nationkey, 1 AS ord FROM supplier
       UNION ALL SELECT s_suppkey, s_nationkey, 2 AS ord FROM supplier WHERE s_suppkey % 25 = 0) s
 JOIN nation ON s_nationkey = n_nationkey""",
     "pairs": """
-SELECT point_id, facility_id, mode, min(t) AS duration_s, min(t) * 11 AS distance_m
+SELECT point_id, facility_id, mode, min(t) AS duration_s, min(t) * 11 AS distance_m,
+  facility_id % 4 = 0 AS resolutive, facility_id % 4 = 1 AS proposed
 FROM (SELECT o_custkey AS point_id, l_suppkey AS facility_id, 1 + l_linenumber % 3 AS mode,
         CASE WHEN (o_custkey + l_suppkey * 3 + l_linenumber) % 17 = 0 OR o_custkey % 41 = 0 THEN NULL
              WHEN (o_custkey + l_suppkey) % 29 = 0 THEN CAST(0 AS DOUBLE)
@@ -57,7 +58,7 @@ SELECT p.point_id, p.district, p.region, p.weight, p.weight >= 2000 AS urban,
   CASE WHEN p.point_id % 19 = 0 THEN true ELSE (p.point_id * 31) % 4000 > 2000 END AS off_network,
   m.t AS t_min, m.t IS NOT NULL AS reachable
 FROM points p LEFT JOIN (SELECT point_id, min(duration_s) / 60 AS t FROM pairs
-  WHERE mode = 1 AND facility_id % 4 = 0 GROUP BY point_id) m ON p.point_id = m.point_id""",
+  WHERE mode = 1 AND resolutive GROUP BY point_id) m ON p.point_id = m.point_id""",
     "cells": """
 SELECT o_orderkey AS cell_id, c_nationkey AS district,
   CAST(-81.4 AS DOUBLE) + CAST((o_orderkey * 41) % 1280 AS DOUBLE) / 100 AS lon,
