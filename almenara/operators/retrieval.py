@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,23 +27,24 @@ SCORE_DECIMALS = 6
 MAX_BROADCAST_QUERIES = 1024
 CORPUS_ROWS_PER_GROUP = 50_000
 
-# Scores every row of a corpus batch against every query: (rows, queries).
-Scorer = Callable[[pd.DataFrame], np.ndarray]
+# Scores every row of a corpus batch (Arrow columns) against every query: (rows, queries).
+Batch = dict[str, pa.Array]
+Scorer = Callable[[Batch], np.ndarray]
 
 
 # ---------------------------------------------------------------- scorers
 def cosine_scorer(queries: pd.DataFrame, vector: str, scope: str | None = None) -> Scorer:
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    def unit(m: np.ndarray) -> np.ndarray:
         return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-300, None)
 
-    q = unit(queries[vector]).T
+    q = unit(np.stack([np.asarray(r, dtype=np.float64) for r in queries[vector]])).T
     wanted = None if scope is None else queries[scope].to_numpy()
 
-    def score(batch: pd.DataFrame) -> np.ndarray:
-        s = unit(batch[vector]) @ q
+    def score(batch: Batch) -> np.ndarray:
+        flat = batch[vector].flatten().to_numpy(zero_copy_only=False)
+        s = unit(flat.reshape(len(batch[vector]), -1).astype(np.float64)) @ q
         if wanted is not None:
-            s[batch[scope].to_numpy()[:, None] != wanted[None, :]] = -np.inf
+            s[batch[scope].to_numpy(zero_copy_only=False)[:, None] != wanted[None, :]] = -np.inf
         return s
 
     return score
@@ -60,11 +63,11 @@ def bm25_scorer(queries: pd.DataFrame, k1: float, b: float) -> Scorer:
     mean_length = float(queries["mean_length"].iloc[0]) or 1.0
     n = len(queries)
 
-    def score(batch: pd.DataFrame) -> np.ndarray:
-        lengths = batch["tokens"].map(len).to_numpy()
-        words_, distinct = pd.factorize(np.concatenate([*batch["tokens"], np.array([], dtype=object)]))
-        term = known.get_indexer(distinct)[words_]
-        doc = np.repeat(np.arange(len(batch)), lengths)
+    def score(tokens: pa.Array) -> np.ndarray:
+        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()  # only distinct words become Python objects
+        term = known.get_indexer(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        doc = np.repeat(np.arange(len(tokens)), lengths)
         hit = term >= 0
         pair, tf = np.unique(doc[hit] * np.int64(len(known)) + term[hit], return_counts=True)
         d, t = pair // max(len(known), 1), pair % max(len(known), 1)
@@ -73,11 +76,12 @@ def bm25_scorer(queries: pd.DataFrame, k1: float, b: float) -> Scorer:
         reps = spans[t]
         at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[t], reps)
         cell = np.repeat(d, reps) * np.int64(n) + who[at]
-        return np.bincount(cell, np.repeat(part, reps) * weight[at], len(batch) * n).reshape(len(batch), n)
+        return np.bincount(cell, np.repeat(part, reps) * weight[at], len(tokens) * n).reshape(len(tokens), n)
 
-    def in_steps(batch: pd.DataFrame, step: int = 512) -> np.ndarray:
+    def in_steps(batch: Batch, step: int = 512) -> np.ndarray:
         """A few documents at a time: the product never holds more than their terms."""
-        return np.vstack([score(batch.iloc[i:i + step]) for i in range(0, len(batch), step)])
+        tokens = batch["tokens"]
+        return np.vstack([score(tokens.slice(i, step)) for i in range(0, len(tokens), step)])
 
     return in_steps
 
@@ -117,20 +121,21 @@ def search(
         empty = corpus.sparkSession.createDataFrame([], schema)
         return empty.withColumn("rank", F.lit(0)).select("query_id", "rank", "id", "similarity")
     if len(sent) <= max_broadcast:
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score, ids = make_scorer(sent), sent["query_id"].to_numpy()
             kept = None
-            for pdf in batches:
-                if len(pdf) == 0:
+            for rb in batches:
+                if rb.num_rows == 0:
                     continue
-                found = _best(pdf["id"].to_numpy(), score(pdf), ids, k)
+                batch = {n: rb.column(i) for i, n in enumerate(rb.schema.names)}
+                found = _best(batch["id"].to_numpy(zero_copy_only=False), score(batch), ids, k)
                 kept = found if kept is None else pd.concat([kept, found], ignore_index=True)
                 kept = kept.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
                 kept = kept.groupby("query_id", sort=False).head(k)
             if kept is not None:
-                yield kept
+                yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
 
-        partial = corpus.mapInPandas(scan, schema)
+        partial = corpus.mapInArrow(scan, schema)
     else:
         blocks = math.ceil(queries.count() / max_broadcast)
         slices = max(1, math.ceil(corpus.count() / group_rows))
@@ -145,12 +150,18 @@ def search(
         own = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may share a source
         right = own.withColumn("_b", part("query_id", blocks)).withColumn("_s", every(slices))
 
-        def meet(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if len(docs) == 0 or len(asked) == 0:
-                return pd.DataFrame({f.name: [] for f in schema})
-            return _best(docs["id"].to_numpy(), make_scorer(asked)(docs), asked["query_id"].to_numpy(), k)
-
-        partial = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(meet, schema)
+        def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
+            wanted, found = asked.to_pandas(), []
+            score = make_scorer(wanted) if len(wanted) else None
+            for rb in docs.combine_chunks().to_batches() if score else []:
+                batch = {n: rb.column(i) for i, n in enumerate(rb.schema.names)}
+                ids = batch["id"].to_numpy(zero_copy_only=False)
+                found.append(_best(ids, score(batch), wanted["query_id"].to_numpy(), k))
+            if not found:
+                return pa.table({"query_id": asked["query_id"][:0], "id": docs["id"][:0], "similarity": pa.array([], pa.float64())})
+            return pa.Table.from_pandas(pd.concat(found, ignore_index=True), preserve_index=False)
+
+        partial = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(meet, schema)
     order = [F.desc("similarity"), F.asc("id")]
     return top_n(partial, ["query_id"], order, k, spread=["id"]).select("query_id", "rank", "id", "similarity")
 
@@ -166,7 +177,8 @@ def semantic_search(
     """
     extra = [scope] if scope else []
     return search(
-        corpus.select("id", vector, *extra), queries.select("query_id", vector, *extra), k,
+        corpus.filter(F.col(vector).isNotNull()).select("id", vector, *extra),
+        queries.filter(F.col(vector).isNotNull()).select("query_id", vector, *extra), k,
         lambda sent: cosine_scorer(sent, vector, scope), **kw,
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almenara.operators.ordered import top_n
+from almenara.session import pin
 from almenara.settings import ACCESS
 
 
@@ -14,9 +15,10 @@ def quotas(points: DataFrame, cap: int = ACCESS.sample_cap, by: str = "district"
 
     Seats that rounding or a small stratum leaves over go one at a time to strata with room, by
     decreasing remainder, round after round. Round ``s`` of stratum ``d`` is slot ``(s, d)``, so
-    the outcome is the first so many slots in order of round, remainder and stratum.
+    the outcome is the first so many slots in order of round, remainder and stratum. The one row per
+    stratum is stored, because the totals are read from it several times.
     """
-    strata = points.groupBy(by).agg(F.count("*").alias("available"), F.sum("weight").alias("_w"))
+    strata = pin(points.groupBy(by).agg(F.count("*").alias("available"), F.sum("weight").alias("_w")))
     totals = strata.agg(F.count("*").alias("k"), F.sum("_w").alias("w"))
     budget = F.lit(cap) - totals.select("k").scalar()
     checked = F.when(budget < 0, F.raise_error(F.lit(f"a cap of {cap} cannot give every stratum one point"))).otherwise(budget)

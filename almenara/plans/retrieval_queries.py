@@ -27,7 +27,7 @@ def _hits(t, k=10):
     hits = ops.semantic_search(_corpus(t), _queries(t), k)
     labels = _corpus(t).select("id", F.col("label").alias("value"))
     wanted = _queries(t).select("query_id", F.col("label").alias("want"))
-    return hits.join(labels, "id").join(F.broadcast(wanted), "query_id").withColumn(
+    return hits.join(labels, "id").join(wanted, "query_id").withColumn(
         "relevant", F.col("value") == F.col("want")
     ).drop("want")
 
@@ -218,7 +218,7 @@ def _contains_item(t, hits):
     """A hit is relevant when the document holds the text of the item."""
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
     items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return hits.join(texts, "id").join(F.broadcast(items), "query_id").withColumn(
+    return hits.join(texts, "id").join(items, "query_id").withColumn(
         "relevant", F.contains("text", "item")
     ).drop("text", "item")
 
@@ -302,7 +302,7 @@ def _sizes(t):
     whole = t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
     judged = (
         hits.join(vectors.select("id", "doc"), "id").join(whole, "doc")
-        .join(F.broadcast(asked.select("query_id", F.col("text").alias("item"))), "query_id")
+        .join(asked.select("query_id", F.col("text").alias("item")), "query_id")
         .withColumn("relevant", F.contains("whole", "item"))
     )
     ranked = ops.first_hit(asked.select("query_id", "size", F.lit("in_domain").alias("kind")), judged)
