@@ -114,5 +114,10 @@ def glued_words(col: Column | str) -> Column:
     ))
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def words(col: Column | str) -> Column:
-    return F.filter(F.split(_col(col), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    """Tokens between ASCII white space; none for blank text."""
+    t = F.btrim(_col(col), F.lit(_BLANKS))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{_BLANKS}]+"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almenara.functions.numeric import pct, rounded, share, true
+from almenara.functions.numeric import pct, rounded, true
 from almenara.operators.ordered import (
     null_safe_join, quantiles, quantiles_of, running_sums, sums_by_level, weighted_quantiles, with_levels,
 )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almenara.functions.numeric import pct, rounded, share, true
+from almenara.functions.numeric import pct, rounded, true
 from almenara.functions.text import words
 from almenara.operators.ordered import top_n
 from almenara.session import pin

@@ -256,3 +256,22 @@ def _key_sets(t):
     from almenara.operators.snapshots import key_sets
 
     return key_sets(*_two_snapshots(t))
+
+
+def _misread(t):
+    """Every document as if its UTF-8 bytes had been read as Latin-1."""
+    return t.documents.select(
+        "doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"), F.col("source").alias("origin")
+    )
+
+
+@query("mojibake_repair", (), r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
+def _repair(t):
+    fixed, _ = ops.repair_text_columns(_misread(t), ["text", "origin"])
+    return fixed.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("mojibake_counts", (), r"""SELECT 'text' AS "column", count(*) FILTER (WHERE regexp_matches(text, '[^\x00-\x7f]')) AS flagged,
+count(*) FILTER (WHERE regexp_matches(text, '[^\x00-\x7f]')) AS repaired FROM documents UNION ALL SELECT 'origin', 0, 0""")
+def _counts(t):
+    return ops.repair_text_columns(_misread(t), ["text", "origin"])[1]

@@ -248,10 +248,10 @@ def _styles(t):
 _THEMES = {"T1": "(license|licence)", "T2": "the ", "T3": r"\d{3}", "T4": "(apache|mit license)", "T5": "zzzz", "T6": "tion"}
 
 
-@query("gold_by_pattern", (), """WITH m AS (SELECT doc_id, theme FROM documents, (VALUES ('T1', '(license|licence)'), ('T2', 'the '), ('T3', '\\d{3}'),
+@query("gold_by_pattern", (), r"""WITH m AS (SELECT doc_id, theme FROM documents, (VALUES ('T1', '(license|licence)'), ('T2', 'the '), ('T3', '\d{3}'),
 ('T4', '(apache|mit license)'), ('T5', 'zzzz'), ('T6', 'tion')) v(theme, p) WHERE regexp_matches(lower(concat(source, ' ', text)), p)),
 r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY doc_id) AS r FROM m)
-SELECT theme, count(*) AS relevant, string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) FILTER (WHERE r <= 60) AS relevant_ids FROM r GROUP BY theme HAVING count(*) >= 3""".replace("\\\\d", "\\d"))
+SELECT theme, count(*) AS relevant, string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) FILTER (WHERE r <= 60) AS relevant_ids FROM r GROUP BY theme HAVING count(*) >= 3""")
 def _gold(t):
     return ops.gold_by_pattern(t.documents, _THEMES, "doc_id", F.concat_ws(" ", "source", "text"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almenara.operators import costs
+from almenara.operators import costs, index
 from almenara.operators import documents as docs
+from almenara.plans.document_queries import _FIXED
 from almenara.plans.registry import query
 from almenara.plans.series_queries import _COST
 from almenara.session import scratch
@@ -58,3 +59,13 @@ def _fragments(t):
     )
     sinks.write_json_lines(chunks, path)
     return readers.read_fragments(t.spark, path).select("id", "documento", "pagina", "n_en_pagina", "caracteres")
+
+
+@query("index_loaded_twice", ("book",), f", {_FIXED} SELECT id, doc, chars FROM fx")
+def _index(t):
+    """The second load brings rows that are stored already; each is kept once."""
+    path = scratch(t.spark, "index")
+    chunks = docs.fixed_windows(t.book).select("id", "doc", "chars")
+    for rows in (chunks.filter(F.col("chars") >= 800), chunks):
+        index.load_index(rows, path)
+    return index.read_index(t.spark, path)
