@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import almenara
+
+# Functions that run in tasks travel with their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(almenara)
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -28,16 +34,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, as the session sees it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is used only where
-    neither that setting nor a folder chosen earlier exists, as in a local test.
+    A temporary folder is used only where the cluster names none and none was chosen earlier, as in
+    a local test.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -52,5 +62,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for a table a job writes and reads again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = shared_folder(spark) or tempfile.gettempdir()
     return f"{base.rstrip('/')}/almenara-{name}-{uuid.uuid4().hex}"
