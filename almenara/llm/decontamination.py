@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almenara.llm.columns import ascii_lower, count_between, small
+
 WINDOW = 13
 BROADCAST_WINDOWS = 500_000
 #: Fewest and most words of an item of each class, and the length of the blocks that find it.
@@ -29,19 +31,16 @@ CLASSES = ((13, None, 7), (7, 12, 4), (3, 6, 2), (1, 2, 1))
 #: What separates words once A-Z are lower-cased, and before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """The normalised words of a text, in order."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
     """``size(words(text))`` without lower-casing: splitting is many times cheaper than matching a negated class."""
-    parts = F.split(F.coalesce(text, F.lit("")), RAW_SEPARATORS)
-    edge = lambda k: F.when(F.element_at(parts, k) == "", 1).otherwise(0)  # noqa: E731  only the ends can be empty
-    return F.when(F.size(parts) == 1, 1 - edge(1)).otherwise(F.size(parts) - edge(1) - edge(-1)).cast("long")
+    return count_between(text, RAW_SEPARATORS)
 
 
 def blocks(w: Column, length: int) -> Column:
@@ -56,11 +55,6 @@ def every_run(w: Column, length: int | Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, length).alias("run"))))
 
 
-def within_bound(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, with a broadcast hint if it was counted to be small enough to have one."""
-    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
-
-
 def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per hit document and text: the key, ``digest`` of the text, hit word places as ranges, and items.
 
@@ -83,7 +77,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         F.when((F.col("_n") >= lo) & ((F.col("_n") <= hi) if hi else F.lit(True)), F.transform(every_run(F.col("_words"), q), lambda r: F.xxhash64(r["run"]))).otherwise(F.array().cast("array<bigint>"))
         for lo, hi, q in used
     ])).alias("_block")).distinct()
-    candidates = found.join(within_bound(known, total), "_block", "left_semi").select("_key", "_print").distinct().withColumnRenamed("_key", "_cand").withColumnRenamed("_print", "_cprint")
+    candidates = found.join(small(known, total, BROADCAST_WINDOWS), "_block", "left_semi").select("_key", "_print").distinct().withColumnRenamed("_key", "_cand").withColumnRenamed("_print", "_cprint")
 
     # 2. Every window of those documents, verified word for word.
     whole = docs.withColumn("_print", F.xxhash64("_text")).join(candidates, F.col("_print").eqNullSafe(F.col("_cprint")) & F.col("_key").eqNullSafe(F.col("_cand")), "left_semi")
@@ -93,7 +87,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     lengths = [r["_len"] for r in bench.select(F.least(F.col("_n"), F.lit(WINDOW)).alias("_len")).distinct().collect()]  # at most 13 values
     scanned = whole.select("_key", "digest", F.posexplode(F.concat(*[F.coalesce(every_run(F.col("_words"), n), F.array().cast("array<struct<at:int,run:array<string>>>")) for n in sorted(lengths)])).alias("_p", "_w"))
     scanned = scanned.select("_key", "digest", F.col("_w.at").alias("_at"), F.col("_w.run").alias("_drun"), F.xxhash64("_w.run").alias("_hash"))
-    verified = scanned.join(within_bound(windows, total), "_hash").filter(F.col("_drun") == F.col("_run"))
+    verified = scanned.join(small(windows, total, BROADCAST_WINDOWS), "_hash").filter(F.col("_drun") == F.col("_run"))
     return verified.groupBy("_key", "digest").agg(
         F.sort_array(F.collect_set(F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_len")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"),

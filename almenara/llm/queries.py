@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almenara.llm import decontamination, language, quality, toxicity
+from almenara.llm import decontamination, language, lines, mixing, quality, sharding, toxicity
+from almenara.llm.columns import small
+from almenara.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,37 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_mixing_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = pin(mixing.sized(table(spark, folder, "documents")))
+    goal = mixing.plan(sizes).withColumnRenamed("source", "_source")
+    joined = sizes.join(small(goal, goal.count(), mixing.BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * mixing.copies(F.col("place"))).alias("taken"))
+
+
+ORACLES["op4_mixing_thresholds"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][k % 3 + 1] AS weight, CAST(source_size * 3 AS DOUBLE) / [5, 2, 1][k % 3 + 1] AS ratio FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER f, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+      FROM w WINDOW f AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(CAST(source_size * 3 AS DOUBLE), coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1), 0.0) * weight) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+c AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.passes, g.target - g.passes * g.source_size AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.place) AS own
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
+@query
+def op5_sharding_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.placed(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     judged = decontamination.judge(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -76,6 +109,24 @@ def op8_toxicity_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op9_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT rid, doc_id, i, parts[i] AS line,
+             translate(trim(parts[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT rid, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 3),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.keeper AS gone FROM l LEFT JOIN k USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+
 @query
 def op10_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
