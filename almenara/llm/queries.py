@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almenara.llm import decontamination, language, lines, mixing, quality, sharding, toxicity
+from almenara.llm import decontamination, jaccard, language, lines, mixing, quality, sharding, toxicity
 from almenara.llm.columns import small
 from almenara.session import pin
 
@@ -43,6 +43,11 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_mixing_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     sizes = pin(mixing.sized(table(spark, folder, "documents")))
