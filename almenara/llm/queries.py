@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almenara.llm import decontamination, jaccard, language, lines, mixing, quality, sharding, toxicity
+from almenara.llm import decontamination, jaccard, language, lines, mixing, nearest, quality, sharding, toxicity
 from almenara.llm.columns import small
 from almenara.session import pin
 
@@ -104,6 +104,11 @@ FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+@query
+def op7_multi_index_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op8_toxicity_segments(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
