@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almenara.llm import decontamination, jaccard, language, lines, mixing, nearest, quality, sharding, toxicity
+from almenara.llm import decontamination, jaccard, language, lines, mixing, nearest, pages, quality, sharding, toxicity
 from almenara.llm.columns import small
 from almenara.session import pin
 
@@ -34,6 +34,11 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return documents.select("doc_id", "text").filter(remainder(3) != 1).join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
 
 
+@query
+def op1_html_template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
