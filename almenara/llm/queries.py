@@ -34,6 +34,11 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return documents.select("doc_id", "text").filter(remainder(3) != 1).join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
 
 
+def marks(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """The labels to learn from: those outside the held-out third."""
+    return table(spark, folder, "labels").filter(remainder(3) != 1).select("doc_id", F.col(label).alias("label"))
+
+
 @query
 def op1_html_template_removal(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
@@ -117,7 +122,7 @@ def op7_multi_index_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_toxicity_segments(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    model = toxicity.fit(labelled(documents, table(spark, folder, "labels"), "toxic"))
+    model = toxicity.fit(documents, marks(spark, folder, "toxic"))
     return toxicity.score(documents, model).select(
         "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("passages").cast("long").alias("n_passages"),

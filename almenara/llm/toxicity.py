@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almenara.llm.arrays import WORD, Hasher, lowered, mix, pieces, runs
+from almenara.llm.sampling import labelled_sample
 
 BITS = 20
 SAMPLE_ROWS = 40_000
@@ -135,37 +136,38 @@ def count_cells(texts: pa.Array, toxic: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"kind": seen >> BITS, "cell": seen & ((1 << BITS) - 1), "n": n})
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn counts from four fifths of the sample and the calibration from the rest."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h")
-    )
-    share = min(1.0, sample_rows / max(rows.select("label").count(), 1))
-    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0))
-    rows = rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["t", "label"]).withColumn("part", F.pmod(F.shiftright("h", 22), F.lit(5)))
+    rows, _ = labelled_sample(documents, labels, sample_rows, key, text, label)
+    rows = rows.withColumn("part", F.pmod(F.shiftright("h", 22), F.lit(5)))
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield count_cells(pa.array(b["text"], pa.large_string()), b["label"].to_numpy())
 
     # At most 2 * 2**BITS sums come back, whatever the size of the table.
-    sums = rows.filter("part > 0").mapInPandas(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
-    y = np.zeros((2, 1 << BITS))
-    y[sums["kind"].to_numpy(np.int64), sums["cell"].to_numpy(np.int64)] = sums["n"]
-    total = y.sum(axis=1)
-    prior = PRIOR + PRIOR_WEIGHT * y.sum(axis=0) / max(total.sum(), 1)
-    a, b = y[1] + prior, y[0] + prior
-    whole = prior.sum()
-    odds = np.log(a / np.maximum(total[1] + whole - a, 1)) - np.log(b / np.maximum(total[0] + whole - b, 1))
-    unseen = y.sum(axis=0) == 0
-    certainty = np.where(unseen, 0, odds / np.sqrt(1 / a + 1 / b))
-    model = Model(odds.astype(np.float32), certainty.astype(np.float32))
-    if not total.all():
-        model.certainty[:] = 0
+    sums = rows.filter("part > 0").mapInPandas(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").cast("int").alias("n"))
+    sums = sums.select((F.col("cell") * 2 + F.col("kind")).cast("int").alias("at"), "n").toArrow()
+    y = np.zeros(2 << BITS, np.float32)
+    y[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    del sums
+    model, usable = log_odds(y[1::2], y[0::2])
+    if not usable:
         return model
     return calibrate(model, rows.filter("part = 0"))
 
 
+def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[Model, bool]:
+    """Log-odds of each cell and its deviations from zero; False if either kind of text is missing."""
+    totals = float(toxic.sum(dtype=np.float64)), float(clean.sum(dtype=np.float64))
+    prior = PRIOR + PRIOR_WEIGHT * (toxic + clean) / max(sum(totals), 1)
+    whole = float(prior.sum(dtype=np.float64))
+    a, b = toxic + prior, clean + prior
+    odds = np.log(a / np.maximum(totals[0] + whole - a, 1)) - np.log(b / np.maximum(totals[1] + whole - b, 1))
+    certainty = np.where(toxic + clean == 0, 0, odds / np.sqrt(1 / a + 1 / b)) * (min(totals) > 0)
+    return Model(odds.astype(np.float32), certainty.astype(np.float32)), min(totals) > 0
+
+
 def calibrate(model: Model, rows: DataFrame) -> Model:
     """Set the certainty asked for, lambda, K and the curve from rows that were not counted."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
