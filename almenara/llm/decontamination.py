@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almenara.llm.columns import ascii_lower, count_between, small
+from almenara.session import pin
 
 WINDOW = 13
 BROADCAST_WINDOWS = 500_000
+BROADCAST_KEYS = 200_000
 #: Fewest and most words of an item of each class, and the length of the blocks that find it.
 CLASSES = ((13, None, 7), (7, 12, 4), (3, 6, 2), (1, 2, 1))
 #: What separates words once A-Z are lower-cased, and before.
@@ -58,7 +60,7 @@ def every_run(w: Column, length: int | Column) -> Column:
 def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per hit document and text: the key, ``digest`` of the text, hit word places as ranges, and items.
 
-    ``spans`` holds (first word, last word + 1) of each occurrence, sorted; ``items`` the distinct items, sorted as text.
+    ``words`` is the number of words of the text, ``spans`` holds (first word, last word + 1) of each occurrence, sorted; ``items`` the distinct items, sorted as text.
     """
     docs = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     bench = benchmark.select(F.col(item).cast("string").alias("_item"), words(F.col(item_text)).alias("_words")).withColumn("_n", F.size("_words")).filter("_n > 0")
@@ -68,7 +70,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     used = [(lo, hi, q) for lo, hi, q in CLASSES if sizes[f"c{q}"]]
     total = sum(sizes)
     if not used:
-        return docs.limit(0).select("_key", F.md5("_text").alias("digest"), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"))).alias("spans"), F.array(F.lit("")).alias("items"))
+        return docs.limit(0).select("_key", F.md5("_text").alias("digest"), F.lit(0).alias("words"), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"))).alias("spans"), F.array(F.lit("")).alias("items"))
 
     # 1. Which documents share an aligned block with an item: only hashes move.
     cut = docs.select("_key", F.xxhash64("_text").alias("_print"), words(F.col("_text")).alias("_words"))
@@ -85,10 +87,11 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     windows = bench.select("_item", F.explode(F.transform(every_run(F.col("_words"), F.least(F.col("_n"), F.lit(WINDOW))), lambda r: r["run"])).alias("_run")).distinct()
     windows = windows.groupBy("_run").agg(F.sort_array(F.collect_set("_item")).alias("_items")).withColumn("_hash", F.xxhash64("_run")).withColumn("_len", F.size("_run"))
     lengths = [r["_len"] for r in bench.select(F.least(F.col("_n"), F.lit(WINDOW)).alias("_len")).distinct().collect()]  # at most 13 values
-    scanned = whole.select("_key", "digest", F.posexplode(F.concat(*[F.coalesce(every_run(F.col("_words"), n), F.array().cast("array<struct<at:int,run:array<string>>>")) for n in sorted(lengths)])).alias("_p", "_w"))
-    scanned = scanned.select("_key", "digest", F.col("_w.at").alias("_at"), F.col("_w.run").alias("_drun"), F.xxhash64("_w.run").alias("_hash"))
+    scanned = whole.select("_key", "digest", F.size("_words").alias("_size"), F.explode(F.concat(*[F.coalesce(every_run(F.col("_words"), n), F.array().cast("array<struct<at:int,run:array<string>>>")) for n in sorted(lengths)])).alias("_w"))
+    scanned = scanned.select("_key", "digest", "_size", F.col("_w.at").alias("_at"), F.col("_w.run").alias("_drun"), F.xxhash64("_w.run").alias("_hash"))
     verified = scanned.join(small(windows, total, BROADCAST_WINDOWS), "_hash").filter(F.col("_drun") == F.col("_run"))
     return verified.groupBy("_key", "digest").agg(
+        F.max("_size").alias("words"),
         F.sort_array(F.collect_set(F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_len")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"),
     )
@@ -111,7 +114,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     own = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     left = documents.drop(*own)
-    found = hits(left, benchmark, key, text).withColumnsRenamed({"_key": "_hit_key", "digest": "_hit_digest"})
+    found = hits(left, benchmark, key, text).drop("words").withColumnsRenamed({"_key": "_hit_key", "digest": "_hit_digest"})
     n = word_count(F.col(text))
     joined = left.withColumn("n_words", n).join(
         found, F.col(key).eqNullSafe(F.col("_hit_key")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_hit_digest")), "left"
@@ -121,3 +124,12 @@ def judge(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         *left.columns, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` without the contaminated ones; only keys and digests of these are joined."""
+    found = hits(documents, benchmark, key, text).withColumn("_n", covered(F.col("spans"))).filter("_n > 0 AND 20 * _n >= words")
+    found = pin(found.select(F.col("_key").alias("_hit_key"), F.col("digest").alias("_hit_digest")))
+    gone = small(found, found.count(), BROADCAST_KEYS)
+    same = F.col(key).eqNullSafe(F.col("_hit_key")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_hit_digest"))
+    return documents.join(gone, same, "left_anti")

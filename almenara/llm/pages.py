@@ -68,9 +68,11 @@ def names_of(attributes: str) -> tuple[set[str], bool]:
     for name, a, b, c in NAMES.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            for part in re.split(r"[^A-Za-z]+", value):
-                words.add(part.lower())
-                words.update(w.lower() for w in PIECE.findall(part))
+            for one in value.split():
+                words.add(re.sub(r"[^A-Za-z]+", "", one).lower())  # side-bar
+                for part in re.split(r"[^A-Za-z]+", one):
+                    words.add(part.lower())
+                    words.update(w.lower() for w in PIECE.findall(part))
         elif name == "role":
             words.update("role:" + w for w in value.lower().split())
         elif name == "hidden":

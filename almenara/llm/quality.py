@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almenara.llm.arrays import DIGIT, LETTER, WHITE, WORD, Hasher, combined, lowered, mix, pieces, runs, summed
+from almenara.llm.sampling import labelled_sample
 
 BITS = 20
 SAMPLE_ROWS = 24_000
@@ -110,31 +111,25 @@ def train(texts: pa.Array, labels: np.ndarray, rates: Rates, order: np.ndarray |
     return weights(slice(None))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, rates: Rates = Rates()) -> np.ndarray:
-    """Weights learned from ``labelled``; about ``sample_rows`` of its rows at most, chosen by a hash of ``key``."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h")
-    )
-    total = rows.select("label").count()
-    share = min(1.0, sample_rows / max(total, 1))
-    shards = max(1, round(min(total, sample_rows) / SHARD_ROWS))
-    part = (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0))
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, rates: Rates = Rates()) -> np.ndarray:
+    """Weights learned from the texts that ``labels`` marks; about ``sample_rows`` of them at most."""
+    rows, drawn = labelled_sample(documents, labels, sample_rows, key, text, label)
+    shards = max(1, round(drawn / SHARD_ROWS))
     # One row may repeat without end: equal rows count once, so that no group outgrows its bound.
-    rows = rows.filter(part).dropDuplicates(["h", "label"]).withColumn("shard", F.pmod(F.shiftright("h", 24), F.lit(shards)))
+    rows = rows.dropDuplicates(["h", "label"]).withColumn("shard", F.pmod(F.shiftright("h", 24), F.lit(shards)))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "label"])
         w = train(pa.array(frame["text"], pa.large_string()), frame["label"].to_numpy(float), rates)
         kept = np.flatnonzero(w)
-        return pd.DataFrame({"feature": kept, "weight": w[kept]})
+        return pd.DataFrame({"feature": np.append(kept, -1), "weight": np.append(w[kept], 1.0)})  # -1 counts the learners
 
     learned = rows.groupBy("shard").applyInPandas(learn, "feature long, weight double")
-    parts = rows.select("shard").distinct()
     # At most 2**BITS + 1 averaged weights come back: the bound of the model, whatever the size of the table.
     found = learned.groupBy("feature").agg(F.sum("weight").alias("weight")).toPandas()
-    w = np.zeros((1 << BITS) + 1, np.float32)
-    w[found["feature"].to_numpy(np.int64)] = found["weight"].to_numpy() / max(1, parts.count())
-    return w
+    w = np.zeros((1 << BITS) + 2, np.float32)
+    w[found["feature"].to_numpy(np.int64)] = found["weight"].to_numpy()
+    return w[:-1] / max(w[-1], 1)
 
 
 def margins(weights: np.ndarray, texts: pa.Array) -> np.ndarray:

@@ -29,11 +29,6 @@ def remainder(of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Rows to learn from: text and label of documents outside the held-out third."""
-    return documents.select("doc_id", "text").filter(remainder(3) != 1).join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
-
-
 def marks(spark: SparkSession, folder: str, label: str) -> DataFrame:
     """The labels to learn from: those outside the held-out third."""
     return table(spark, folder, "labels").filter(remainder(3) != 1).select("doc_id", F.col(label).alias("label"))
@@ -47,7 +42,7 @@ def op1_html_template_removal(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    weights = quality.fit(labelled(documents, table(spark, folder, "labels"), "quality"))
+    weights = quality.fit(documents, marks(spark, folder, "quality"))
     return quality.score(documents, weights).select(
         "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

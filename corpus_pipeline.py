@@ -1,8 +1,75 @@
-"""From documents to training shards."""
+"""From documents to training shards: quality, near duplicates, benchmark passages, mixture, shards.
 
-STAGES = []
+Every stage is a function of (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
+return the columns they were given. ``run`` writes each result as Parquet in the shared folder and reads it again, so
+a lost executor costs no more than the stage it was in.
+
+Null and empty texts pass the stages that judge text (they score as the classifier's bias, have no shingles and no
+words) and have size 0 in the mixture, where their hash alone decides. An empty table gives empty tables throughout.
+Rows that repeat are near duplicates of each other: one stays. Further columns of ``documents`` are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from almenara.llm import decontamination, jaccard, mixing, quality, queries, sharding
+from almenara.llm.columns import small
+from almenara.session import pin, scratch
+
+#: Keys of documents to leave out are broadcast up to this number, else joined by shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones outside the held-out third, does not reject."""
+    weights = quality.fit(docs, queries.marks(spark, sf_dir, "quality"))
+    return quality.score(docs, weights, name="_quality").filter("_quality >= 0.5").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more hang together, the one with the smallest id."""
+    found = pin(jaccard.join(docs.select("doc_id", "text")))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(small(gone, gone.count(), BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth lies in benchmark windows."""
+    return decontamination.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, none to three times."""
+    taken = mixing.mix(docs).filter("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_pass")).drop("_pass")
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document that is left; repeats of a document have slots of their own."""
+    return sharding.placed(docs).withColumn("law", F.lit("key"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", uncontaminated),
+    ("mixing", mixture),
+    ("sharding", shards),
+]
+
+#: SQL cannot state a trained classifier; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of the last."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        folder = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return docs
