@@ -32,12 +32,12 @@ def no_access() -> Column:
     return ~true("reachable") | true("off_network")
 
 
-def time_band(t: Column, without_access: Column) -> Column:
-    """Label of the coverage band."""
-    return (
-        F.when(without_access | t.isNull(), BAND_LABELS[4]).when(t <= 30, BAND_LABELS[0])
-        .when(t <= 60, BAND_LABELS[1]).when(t <= 120, BAND_LABELS[2]).otherwise(BAND_LABELS[3])
-    )
+def time_band(t: Column, without_access: Column, bands: tuple[int, ...] = ACCESS.bands_min) -> Column:
+    """Label of the coverage band; ``bands`` are the upper edges of all but the last two labels."""
+    label = F.when(without_access | t.isNull(), BAND_LABELS[-1])
+    for edge, name in zip(bands, BAND_LABELS, strict=False):
+        label = label.when(t <= edge, name)
+    return label.otherwise(BAND_LABELS[len(bands)])
 
 
 def group_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
@@ -423,13 +423,13 @@ def empirical_cdf(access: DataFrame, key: str, value: str = "t_min") -> DataFram
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts of equal-width bins of the clipped value; empty bins are 0."""
-    v = F.least(F.col(value), F.lit(float(high)))
+    v = F.greatest(F.least(F.col(value), F.lit(float(high))), F.lit(float(low)))
     counted = df.filter(F.col(value).isNotNull()).select(
         F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int").alias("bin")
     ).groupBy("bin").agg(F.count("*").alias("rows"))
     axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (high - low) / bins
-    return axis.join(F.broadcast(counted), "bin", "left").select(
+    return axis.join(counted, "bin", "left").select(
         "bin", (F.lit(low) + F.col("bin") * width).alias("bin_from"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
     )

@@ -63,7 +63,7 @@ def contains(edges: Column, x: Column, y: Column) -> Column:
 
 
 def edge_distance(edges: Column, x: Column, y: Column) -> Column:
-    """Shortest distance from the point to any segment, in the units of the coordinates."""
+    """Shortest distance from the point to the outline, in the units of the coordinates."""
     def squared(e: Column) -> Column:
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         along = F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))
@@ -109,8 +109,8 @@ def check_declared_area(
 ) -> DataFrame:
     """R4: the real area of each point and how it agrees with the declared one.
 
-    Only rows with a valid coordinate are judged. A point within ``tolerance`` of the declared area
-    is accepted whatever other area it fell into.
+    Only rows with a valid coordinate are judged. A point inside the declared area or within
+    ``tolerance`` of it is accepted whatever other area it fell into.
     """
     valid = true("coord_valid")
     judged = points.filter(valid)
@@ -118,9 +118,8 @@ def check_declared_area(
     out = points.join(found, key, "left")
     outline = areas.select(F.col("area_id").alias(declared), F.col("edges").alias("_edges"))
     suspects = out.filter(valid & ~true(F.col("real_area") == F.col(declared)))
-    near = suspects.join(outline, declared).filter(
-        edge_distance(F.col("_edges"), F.col("lon"), F.col("lat")) <= tolerance
-    ).select(key, F.lit(True).alias("_near"))
+    here = (F.col("_edges"), F.col("lon"), F.col("lat"))
+    near = suspects.join(outline, declared).filter(contains(*here) | (edge_distance(*here) <= tolerance)).select(key, F.lit(True).alias("_near"))
     return out.join(near, key, "left").withColumn(
         "area_state",
         F.when(~valid, "NO_EVALUADO").when(true("_near"), "OK_TOLERANCIA_BORDE")
@@ -202,6 +201,11 @@ def nearest(
     )
 
 
+def usable_cells(cells: DataFrame) -> DataFrame:
+    """Cells whose value is positive and finite."""
+    return cells.filter((F.col("value") > 0) & ~F.isnan("value") & (F.col("value") < float("inf")))
+
+
 def impute_weights(points: DataFrame, cells: DataFrame, by: str = "district") -> DataFrame:
     """Give every raster cell to the nearest point of its own district and sum per point.
 
@@ -211,10 +215,9 @@ def impute_weights(points: DataFrame, cells: DataFrame, by: str = "district") ->
 
     def plane(df: DataFrame, *cols: str) -> DataFrame:
         x, y = plane_metres(F.col("lon"), F.col("lat"), F.col("_ref"))
-        return df.join(F.broadcast(ref) if ref_is_small else ref, by).select(*cols, by, x.alias("x"), y.alias("y"))
+        return df.join(ref, by).select(*cols, by, x.alias("x"), y.alias("y"))
 
-    ref_is_small = ref.limit(100_001).count() <= 100_000
-    used = cells.filter((F.col("value") > 0) & ~F.isnan("value") & (F.col("value") < float("inf")))
+    used = usable_cells(cells)
     owner = nearest(
         plane(used, "cell_id", "value"), plane(points, "point_id"), "cell_id", "point_id", ["x", "y"], [by],
         carry=("value",),
@@ -226,9 +229,9 @@ def impute_weights(points: DataFrame, cells: DataFrame, by: str = "district") ->
 
 
 def conservation(points: DataFrame, cells: DataFrame, by: str = "district") -> DataFrame:
-    """Total in and total out per district that has points, and whether they agree."""
+    """Total in and total out per district that has points, and whether they agree; unusable cells count on neither side."""
     out = points.groupBy(by).agg(F.sum("imputed").alias("total_out"))
-    inside = cells.filter(F.col("value") > 0).groupBy(by).agg(F.sum("value").alias("total_in"))
+    inside = usable_cells(cells).groupBy(by).agg(F.sum("value").alias("total_in"))
     return out.join(inside, by, "left").withColumn("total_in", F.coalesce("total_in", F.lit(0.0))).withColumn(
         "conserved", F.abs(F.col("total_in") - F.col("total_out")) <= 1e-6 * F.greatest(F.col("total_in"), F.lit(1.0))
     )

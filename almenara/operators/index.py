@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from almenara.operators.quality import enforce, expect_unique
 
 
+#: What Spark says of a path that does not exist or holds no file yet.
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def missing_rows(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not stored yet."""
     return new.join(existing.select(key), key, "left_anti")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table; None only where nothing was stored yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in NOTHING_STORED:
+            raise
         return None
 
 

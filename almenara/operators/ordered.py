@@ -80,14 +80,14 @@ def running_sums(
     ).withColumn("_range", value_range(F.col(value), per_unit))
 
     # Both branches read every column of the collapsed rows, so they share one shuffle of them.
-    complete = [F.count(n) > 0 for n in extras or {}]
+    read = [F.count(n) for n in extras or {}]
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     per_range = collapsed.groupBy(*keys, "_range").agg(
-        *[F.sum(n).alias(n) for n in sums], *[c.alias(f"_has_{i}") for i, c in enumerate(complete)]
+        *[F.sum(n).alias(n) for n in sums], *[c.alias(f"_has_{i}") for i, c in enumerate(read)]
     )
-    for i in range(len(complete)):
-        per_range = per_range.filter(F.col(f"_has_{i}"))
+    for i in range(len(read)):
+        per_range = per_range.filter(F.col(f"_has_{i}") >= 0)  # always so
     ranges = per_range.select(
         *keys, "_range",
         *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_off_{n}") for n in sums],

@@ -83,13 +83,13 @@ def flag_tenders(
 
 
 TENDER_RULES = (
-    ("duplicados", "flag_duplicate", "Mismo ocid en mas de una fila"),
-    ("sin_monto", "flag_no_amount", "Monto ausente, cero o negativo"),
-    ("sin_descripcion", "flag_no_description", "Descripcion vacia o demasiado corta"),
-    ("localidad_no_dep", "flag_locality_not_department", "La localidad no es un departamento"),
-    ("codificacion", "flag_spelling", "Tildes o mayusculas distintas del canonico"),
-    ("sin_departamento", "flag_no_department", "Sin departamento tras la cascada"),
-    ("sin_fecha", "flag_no_date", "Fecha de publicacion ausente o ilegible"),
+    ("duplicados", "flag_duplicate", "El ocid se repite"),
+    ("sin_monto", "flag_no_amount", "No hay un importe positivo"),
+    ("sin_descripcion", "flag_no_description", "El texto no alcanza la longitud minima"),
+    ("localidad_no_dep", "flag_locality_not_department", "El lugar nombra otra cosa que un departamento"),
+    ("codificacion", "flag_spelling", "El nombre se escribe de otra manera que en la lista"),
+    ("sin_departamento", "flag_no_department", "Ningun paso dio con un departamento"),
+    ("sin_fecha", "flag_no_date", "No se puede leer cuando se publico"),
 )
 
 
@@ -288,7 +288,8 @@ def distribution(df: DataFrame, by: str) -> DataFrame:
     return sums.join(q, by, "left").withColumn("amount_median", rounded(F.col("amount_median"), 0))
 
 
-def largest(df: DataFrame, n: int = RISK.ranking_cap) -> DataFrame:
+def largest(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest amounts."""
     return df.orderBy(F.desc_nulls_last("amount"), "ocid").limit(n)
 
 

@@ -6,7 +6,6 @@ equal vectors tie whatever the order of summation, and ties go to the smaller id
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ from almenara.session import pin
 from almenara.settings import RETRIEVAL
 
 SCORE_DECIMALS = 6
-MAX_BROADCAST_QUERIES = 1024
-CORPUS_ROWS_PER_GROUP = 50_000
+CELLS = 2_000_000
+QUERY_ROWS = 1024
 
 # Scores every row of a corpus batch (Arrow columns) against every query: (rows, queries).
 Batch = dict[str, pa.Array]
@@ -88,84 +87,85 @@ def bm25_scorer(queries: pd.DataFrame, k1: float, b: float) -> Scorer:
 
 # ---------------------------------------------------------------- search
 def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query."""
+    """The k best rows of each query (a column of ``scores``), all queries at once."""
     scores = np.round(scores, SCORE_DECIMALS)
     take = min(k, len(ids))
-    parts = []
-    for j, qid in enumerate(query_ids):
-        s = scores[:, j]
-        floor = np.partition(s, len(s) - take)[len(s) - take]
-        near = np.flatnonzero((s >= floor) & np.isfinite(s))
-        near = near[np.lexsort((ids[near], -s[near]))][:take]
-        parts.append(pd.DataFrame({"query_id": qid, "id": ids[near], "similarity": s[near]}))
-    return pd.concat(parts, ignore_index=True)
+    floor = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
+    row, query = np.nonzero((scores >= floor) & np.isfinite(scores))
+    s = scores[row, query]
+    order = np.lexsort((ids[row], -s, query))
+    row, query, s = row[order], query[order], s[order]
+    begin = np.searchsorted(query, np.arange(len(query_ids)))
+    first = np.arange(len(query)) - begin[query] < take
+    return pd.DataFrame({"query_id": query_ids[query[first]], "id": ids[row[first]], "similarity": s[first]})
 
 
 def search(
-    corpus: DataFrame, queries: DataFrame, k: int, make_scorer: Callable[[pd.DataFrame], Scorer],
-    max_broadcast: int = MAX_BROADCAST_QUERIES, group_rows: int = CORPUS_ROWS_PER_GROUP,
+    corpus: DataFrame, queries: DataFrame, k: int, make_scorer: Callable[[pd.DataFrame], Scorer], blocks: int | None = None,
 ) -> DataFrame:
-    """Exact top-k of every query over the whole corpus.
+    """Exact top-k of every query over the whole corpus, for any number of queries.
 
-    ``corpus`` has ``id`` and ``queries`` has ``query_id`` beside what the scorer reads. Each task
-    keeps the k best of its rows per query, so only k rows per query and task are ever shuffled. Up
-    to ``max_broadcast`` queries are sent to the tasks; more are cut into blocks of that size that
-    meet bounded slices of the corpus through a shuffle.
+    ``corpus`` has ``id`` and ``queries`` has ``query_id`` beside what the scorer reads. The corpus is dealt to
+    ``blocks`` (the shuffle partitions by default, so a block is of the size the session chose for a task); every
+    query visits every block. A task holds one block and lets the queries pass in Arrow batches; a step of the
+    product never holds more than ``CELLS`` scores, and k rows per query and block go on. Nothing runs before the
+    result is asked for.
     """
+    spark = corpus.sparkSession
+    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_type, query_type = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
     schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("id", corpus.schema["id"].dataType), T.StructField("similarity", T.DoubleType()),
+        T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("similarity", T.DoubleType()),
     ])
-    sent = queries.limit(max_broadcast + 1).toPandas()
-    if len(sent) == 0:
-        empty = corpus.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(0)).select("query_id", "rank", "id", "similarity")
-    if len(sent) <= max_broadcast:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score, ids = make_scorer(sent), sent["query_id"].to_numpy()
-            kept = None
-            for rb in batches:
-                if rb.num_rows == 0:
+    own = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may share a source
+    left = corpus.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_b"), F.struct(*corpus.columns).alias("_c"))
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"), F.struct(*own.columns).alias("_q"))
+    both = left.withColumn("_q", F.lit(None).cast(right.schema["_q"].dataType)).unionByName(right.withColumn("_c", F.lit(None).cast(left.schema["_c"].dataType)))
+    dealt = both.withColumn("_side", F.col("_q").isNotNull().cast("int")).select("_b", "_side", "_c", "_q")
+
+    def fields(rows: pa.Array) -> dict[str, pa.Array]:
+        return dict(zip((f.name for f in rows.type), rows.flatten()))
+
+    def meet(stored: list[pa.Array], asked: pa.Array) -> Iterator[pa.RecordBatch]:
+        wanted = pa.table(fields(asked)).to_pandas()
+        score, names, found = make_scorer(wanted), wanted["query_id"].to_numpy(), []
+        step = max(1, CELLS // len(names))
+        for part in stored:
+            for lo in range(0, len(part), step):
+                batch = fields(part.slice(lo, step))
+                found.append(_best(batch["id"].to_numpy(zero_copy_only=False), score(batch), names, k))
+                if len(found) > 8:
+                    found = [_cut(found, k)]
+        if found:
+            yield pa.RecordBatch.from_pandas(_cut(found, k), preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, stored = None, []
+        for rb in batches:
+            place, side = rb.column(0).to_numpy(), rb.column(1).to_numpy()
+            cuts = np.flatnonzero((place[1:] != place[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
+                if lo == hi:
                     continue
-                batch = {n: rb.column(i) for i, n in enumerate(rb.schema.names)}
-                found = _best(batch["id"].to_numpy(zero_copy_only=False), score(batch), ids, k)
-                kept = found if kept is None else pd.concat([kept, found], ignore_index=True)
-                kept = kept.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-                kept = kept.groupby("query_id", sort=False).head(k)
-            if kept is not None:
-                yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
-
-        partial = corpus.mapInArrow(scan, schema)
-    else:
-        blocks = math.ceil(queries.count() / max_broadcast)
-        slices = max(1, math.ceil(corpus.count() / group_rows))
-
-        def every(n: int) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-        def part(key: str, n: int) -> Column:
-            return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-        left = corpus.withColumn("_s", part("id", slices)).withColumn("_b", every(blocks))
-        own = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may share a source
-        right = own.withColumn("_b", part("query_id", blocks)).withColumn("_s", every(slices))
-
-        def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
-            wanted, found = asked.to_pandas(), []
-            score = make_scorer(wanted) if len(wanted) else None
-            for rb in docs.combine_chunks().to_batches() if score else []:
-                batch = {n: rb.column(i) for i, n in enumerate(rb.schema.names)}
-                ids = batch["id"].to_numpy(zero_copy_only=False)
-                found.append(_best(ids, score(batch), wanted["query_id"].to_numpy(), k))
-            if not found:
-                return pa.table({"query_id": asked["query_id"][:0], "id": docs["id"][:0], "similarity": pa.array([], pa.float64())})
-            return pa.Table.from_pandas(pd.concat(found, ignore_index=True), preserve_index=False)
-
-        partial = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(meet, schema)
+                if place[lo] != block:
+                    block, stored = place[lo], []
+                if side[lo] == 0:
+                    stored.append(rb.column(2).slice(lo, hi - lo))
+                else:
+                    for at in range(lo, hi, QUERY_ROWS):
+                        yield from meet(stored, rb.column(3).slice(at, min(QUERY_ROWS, hi - at)))
+
+    partial = dealt.repartition(n, "_b").sortWithinPartitions("_b", "_side").mapInArrow(run, schema)
     order = [F.desc("similarity"), F.asc("id")]
     return top_n(partial, ["query_id"], order, k, spread=["id"]).select("query_id", "rank", "id", "similarity")
 
 
+def _cut(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best of each query of several partial results."""
+    rows = pd.concat(found, ignore_index=True).sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+    return rows.groupby("query_id", sort=False).head(k)
+
+
 def semantic_search(
     corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL.top_k, vector: str = "embedding",
     scope: str | None = None, **kw,
@@ -249,20 +249,18 @@ def on_expected_page(doc: Column, page: Column, want_doc: Column, want_pages: Co
 
 
 def gold_by_pattern(
-    rows: DataFrame, themes: dict[str, str], key: str, text: Column, min_matches: int = 3, keep: int = 60
+    rows: DataFrame, themes: dict[str, str], key: str, text: Column, min_matches: int = 3
 ) -> DataFrame:
-    """Themes defined by a regular expression: how many rows match, and the first ``keep`` ids.
+    """Themes defined by a regular expression: one row per theme and matching id, and how many match.
 
-    Rows are tested once for all themes; a theme with fewer than ``min_matches`` is dropped.
+    Rows are tested once for all themes; a theme with fewer than ``min_matches`` is dropped. A theme may match most
+    rows, so its ids are never gathered in one row; the counts, one row per theme, are joined to the matches.
     """
     lowered = F.lower(text)
     hits = F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(name)) for name, p in themes.items()]))
     matched = rows.select(F.col(key), F.explode(hits).alias("theme"))
     counts = matched.groupBy("theme").agg(F.count("*").alias("relevant")).filter(F.col("relevant") >= min_matches)
-    first = top_n(matched, ["theme"], [F.asc(key)], keep, spread=[key]).groupBy("theme").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda i: i.cast("string")), ";").alias("relevant_ids")
-    )
-    return counts.join(first, "theme")
+    return matched.join(counts, "theme")
 
 
 def first_hit(queries: DataFrame, hits: DataFrame) -> DataFrame:

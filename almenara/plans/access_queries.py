@@ -146,7 +146,7 @@ def _ecdf(t):
     return ops.empirical_cdf(t.access, "region").withColumn("cdf", F.round("cdf", 9))
 
 
-@query("time_histogram", ("access",), """, c AS (SELECT least(floor(least(t_min, 300) / 7.5), 39) AS bin, count(*) AS rows
+@query("time_histogram", ("access",), """, c AS (SELECT least(floor(greatest(least(t_min, 300), 0) / 7.5), 39) AS bin, count(*) AS rows
   FROM access WHERE t_min IS NOT NULL GROUP BY 1)
 SELECT CAST(r.bin AS INTEGER) AS bin, r.bin * 7.5::DOUBLE AS bin_from, coalesce(c.rows, 0) AS rows
 FROM range(40) r(bin) LEFT JOIN c ON r.bin = c.bin""")

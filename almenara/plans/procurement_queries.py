@@ -9,7 +9,7 @@ from almenara.operators import procurement as ops
 from almenara.operators import quality, territory
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
-from almenara.settings import METHOD_CONCEPTS, NO_EQUIVALENT_CONCEPT, NO_EQUIVALENT_NOTICE
+from almenara.settings import METHOD_CONCEPTS, NO_EQUIVALENT_CONCEPT, NO_EQUIVALENT_NOTICE, RISK
 
 # Names of the 25 rows of the nation table, which stand for the departments.
 _CANON = tuple(f"NATION_{i}" for i in range(25))
@@ -239,7 +239,7 @@ def _dist_month(t):
 
 @query("largest_tenders", _READS, f", {_BUILD} SELECT ocid, amount FROM pr ORDER BY amount DESC NULLS LAST, ocid LIMIT 500")
 def _largest(t):
-    return ops.largest(_processes(t).select("ocid", "amount"))
+    return ops.largest(_processes(t).select("ocid", "amount"), RISK.ranking_cap)
 
 
 @query("category_options", ("tenders",), "SELECT DISTINCT category FROM tenders WHERE category IS NOT NULL")

@@ -61,10 +61,10 @@ _R3 = "count(*) FILTER (WHERE r3)"
 
 
 @query("supply_rule_report", ("facilities",), f", {_COORD} " + " UNION ALL ".join([
-    _rule_row("R5", "Codigos duplicados", "is_repeat", "0", "count(*) FILTER (WHERE is_repeat)", "se conserva la primera aparicion"),
-    _rule_row("R1", "Coordenadas ausentes, nulas o cero", "r1", "0", "count(*) FILTER (WHERE r1)", "sin posicion recuperable"),
-    _rule_row("R3", "Latitud y longitud intercambiadas", "r3", _R3, "0", "solo admite una lectura"),
-    _rule_row("R2", "Coordenadas fuera del area", "r2", "0", "count(*) FILTER (WHERE r2)", "sin lectura alternativa"),
+    _rule_row("R5", "El mismo codigo se repite", "is_repeat", "0", "count(*) FILTER (WHERE is_repeat)", "se conserva la primera aparicion"),
+    _rule_row("R1", "Falta la posicion o vale cero", "r1", "0", "count(*) FILTER (WHERE r1)", "sin posicion recuperable"),
+    _rule_row("R3", "Los dos ejes estan cambiados", "r3", _R3, "0", "solo admite una lectura"),
+    _rule_row("R2", "La posicion cae fuera del recuadro", "r2", "0", "count(*) FILTER (WHERE r2)", "sin lectura alternativa"),
 ]))
 def _rule_report(t):
     return ops.rule_report(ops.build_supply(t.facilities), ops.supply_rules())
@@ -150,7 +150,7 @@ def _nation_keys(t):
 @query("source_check", ("docs",), r""", pg AS (SELECT doc, page, text, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS words,
   len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: length(w) > 6 AND regexp_matches(w, '\p{Ll}\p{Lu}'))) AS glued FROM docs),
 s AS (SELECT doc, count(*) AS pages, sum(length(text)) AS chars, count(*) FILTER (WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200) AS low_pages,
-  sum(length(text) + 1) FILTER (WHERE page <= 5) - 1 AS sample, sum(words) FILTER (WHERE page <= 5) AS words, sum(glued) FILTER (WHERE page <= 5) AS glued FROM pg GROUP BY doc),
+  sum(length(text) + 1) - 1 AS sample, sum(words) AS words, sum(glued) AS glued FROM pg GROUP BY doc),
 v AS (SELECT doc, pages, chars, low_pages, 100.0 * low_pages / pages AS pct, sample >= 200 AND coalesce(glued / nullif(words, 0) < 0.15, false) AS order_ok FROM s)
 SELECT doc, pages, CAST(chars AS BIGINT) AS chars, low_pages, round(pct, 6) AS pct_low_pages, order_ok, pct <= 5 AND order_ok AS usable,
 CASE WHEN pct <= 5 AND order_ok THEN 'usable tal cual' ELSE concat_ws('; ', CASE WHEN pct > 5 THEN 'paginas sin texto extraible' END,

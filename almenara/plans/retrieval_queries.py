@@ -10,7 +10,7 @@ from almenara.operators import retrieval as ops
 from almenara.plans.document_queries import _FIXED
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
-from almenara.session import pin, spread
+from almenara.session import pin
 from almenara.settings import CHUNK_SWEEP
 
 
@@ -49,7 +49,7 @@ def _semantic(t):
 
 @query("semantic_search_in_blocks", ("retrieval",), f", {_search_sql(10)} SELECT query_id, rank, id, similarity FROM hi")
 def _blocks(t):
-    return ops.semantic_search(_corpus(t), _queries(t), 10, max_broadcast=10, group_rows=200)
+    return ops.semantic_search(_corpus(t), _queries(t), 10, blocks=7)
 
 
 @query("filtered_search", ("retrieval",), f", {_search_sql(8, where='c.label IN (1, 2, 3)')} SELECT query_id, rank, id, similarity FROM hi")
@@ -162,12 +162,12 @@ def _filter_effect(t):
 
 
 @query("abstention", ("retrieval",), f""", {_search_sql(5)}, {_QS},
-b AS (SELECT query_id, max(similarity) AS s FROM hi WHERE query_id <> 3 GROUP BY 1),
+b AS (SELECT query_id, max(similarity) AS s FROM hi GROUP BY 1),
 d AS (SELECT qs.query_id, s AS top_similarity, CASE WHEN s IS NULL THEN 'sin resultados' WHEN s < 0.55 THEN 'similitud baja' ELSE 'responder' END AS decision
   FROM qs LEFT JOIN b ON qs.query_id = b.query_id)
 SELECT *, decision <> 'responder' AS abstains FROM d""")
 def _abstention(t):
-    hits = ops.semantic_search(_corpus(t), _queries(t), 5).filter("query_id <> 3")
+    hits = ops.semantic_search(_corpus(t), _queries(t), 5)
     return ops.decide(_queries(t).select("query_id"), hits, 0.55)
 
 
@@ -205,7 +205,7 @@ bm AS (SELECT item_id AS query_id, doc_id AS id, s AS similarity, CAST(row_numbe
 
 
 def _lexical(t, k=5):
-    corpus = spread(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    corpus = t.documents.select(F.col("doc_id").alias("id"), "text")
     return ops.bm25_search(corpus, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), k)
 
 
@@ -238,7 +238,7 @@ def _bm25_first(t):
 
 @query("lexical_and_semantic_by_style")
 def _styles(t):
-    corpus = docs.encode_passages(spread(t.documents.select(F.col("doc_id").alias("id"), "text"))).select("id", "embedding")
+    corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text")).select("id", "embedding")
     asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", "embedding")
     return ops.compare_rankings(
         _items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5))
@@ -250,8 +250,8 @@ _THEMES = {"T1": "(license|licence)", "T2": "the ", "T3": r"\d{3}", "T4": "(apac
 
 @query("gold_by_pattern", (), r"""WITH m AS (SELECT doc_id, theme FROM documents, (VALUES ('T1', '(license|licence)'), ('T2', 'the '), ('T3', '\d{3}'),
 ('T4', '(apache|mit license)'), ('T5', 'zzzz'), ('T6', 'tion')) v(theme, p) WHERE regexp_matches(lower(concat(source, ' ', text)), p)),
-r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY doc_id) AS r FROM m)
-SELECT theme, count(*) AS relevant, string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) FILTER (WHERE r <= 60) AS relevant_ids FROM r GROUP BY theme HAVING count(*) >= 3""")
+r AS (SELECT theme, doc_id, count(*) OVER (PARTITION BY theme) AS relevant FROM m)
+SELECT theme, doc_id, relevant FROM r WHERE relevant >= 3""")
 def _gold(t):
     return ops.gold_by_pattern(t.documents, _THEMES, "doc_id", F.concat_ws(" ", "source", "text"))
 
@@ -290,7 +290,7 @@ def _answers(t):
 def _sizes(t):
     """Re-chunk, re-encode and score every size in one job; a fragment's size is part of its search scope."""
     sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in CHUNK_SWEEP])
-    pages = spread(t.documents.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text"))
+    pages = t.documents.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
     chunks = docs.chunk_pages(pages.select("*", F.inline(sizes)))
     vectors = docs.encode_passages(chunks).select(
         F.concat_ws("|", F.col("size").cast("string"), "id").alias("id"), "doc", "size", "chars", "text", "embedding"

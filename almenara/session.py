@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ import almenara
 # Functions that run in tasks travel with their code, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(almenara)
 
+_local_folder: str | None = None
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -34,33 +38,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints, as the session sees it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints, as the session sees it.
 
+    A session that runs inside one process may do without; it gets a temporary folder, the same one every time.
+    On a cluster a folder of one machine would lose rows, so there the setting is required.
+    """
+    global _local_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
+    return _local_folder
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
 
-    A temporary folder is used only where the cluster names none and none was chosen earlier, as in
-    a local test.
-    """
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work when a small input arrives in fewer partitions.
-
-    A large input already has more partitions than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for a table a job writes and reads again."""
-    base = shared_folder(spark) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/almenara-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/almenara-{name}-{uuid.uuid4().hex}"

@@ -130,7 +130,6 @@ class TextSettings:
     low_text_chars: int = 200
     max_low_text_pct: float = 5.0
     glued_share: float = 0.15
-    sample_pages: int = 5
     min_sample_chars: int = 200
     chars_per_token: float = 3.7
     token_limit: int = 512

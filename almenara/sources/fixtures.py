@@ -126,8 +126,8 @@ SELECT source AS doc, doc_id + 1 AS page,
     text, CASE WHEN doc_id % 5 = 0 THEN concat(' contrata-', chr(10), 'ción   final', chr(10), chr(10), chr(10), chr(10), 'fin ') ELSE '' END) AS text
 FROM documents""",
     "retrieval": """
-SELECT vec_id, label, embedding, vec_id < 25 AS is_query,
-  CASE WHEN vec_id % 5 = 0 THEN 'out_domain' ELSE 'in_domain' END AS kind,
+SELECT vec_id, label, embedding, vec_id % 20 = 0 AS is_query,
+  CASE WHEN vec_id % 100 = 0 THEN 'out_domain' ELSE 'in_domain' END AS kind,
   CASE WHEN vec_id % 3 = 0 THEN 'colloquial' ELSE 'formal' END AS style FROM embeddings""",
 }
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from almenara.operators.index import read_index
 
 LOG_COLUMNS = (
     "call_id", "ts", "task", "model", "band", "tokens_in", "tokens_hit", "tokens_out", "tokens_total", "latency_s",
@@ -55,10 +56,8 @@ def cached_table(
 ) -> DataFrame:
     """The stored table for ``key``, computed and stored the first time or when forced."""
     path = f"{folder.rstrip('/')}/key={key}"
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    stored = None if force else read_index(spark, path)
+    if stored is not None:
+        return stored
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -158,3 +158,19 @@ def test_carry_forward(spark):
     assert usd == [(1, 3.7, "publicado", 1), (2, 3.7, "arrastrado", 1), (3, 3.7, "arrastrado", 1), (4, 3.8, "publicado", 4), (5, 3.8, "arrastrado", 4)]
     summary = {r.c: tuple(r)[1:] for r in series.series_summary(out, "c").collect()}
     assert summary == {"usd": (5, 2, 3, 0), "eur": (5, 1, 3, 1)}
+
+
+def test_histogram_counts_values_below_its_axis(spark):
+    df = spark.createDataFrame([(-5.0,), (1.0,), (999.0,)], "t double")
+    assert [r.rows for r in ops.histogram(df, "t", 0, 300, 3).orderBy("bin").collect()] == [2, 0, 1]
+
+
+def test_bands_follow_their_edges(spark):
+    from pyspark.sql import functions as F
+
+    from almenara.settings import ACCESS
+
+    df = spark.createDataFrame([(10.0,), (45.0,)], "t double")
+    default = [r.b for r in df.select(ops.time_band(F.col("t"), F.lit(False)).alias("b")).collect()]
+    moved = [r.b for r in df.select(ops.time_band(F.col("t"), F.lit(False), (50, 60, 120)).alias("b")).collect()]
+    assert ACCESS.bands_min == (30, 60, 120) and default[0] != default[1] and moved == [default[0]] * 2

@@ -147,3 +147,16 @@ def test_strata_without_weight_are_split_evenly(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.0), (3, 1, 5.0)], "point_id long, district int, weight double")
     out = {r.point_id: r.sample_weight for r in sampling.expansion_weights(df, df).collect()}
     assert out == {1: 0.0, 2: 0.0, 3: 5.0}
+
+
+def test_a_point_inside_its_declared_area_is_accepted_where_areas_overlap(spark, areas):
+    both = areas.unionByName(areas.filter("area_id = 'square'").select(F.lit("later").alias("area_id"), F.lit(9).alias("ordinal"), "edges"))
+    df = spark.createDataFrame([(1, 6.0, 2.0, "later", True), (2, 6.0, 2.0, "hook", True)], "point_id long, lon double, lat double, declared string, coord_valid boolean")
+    out = {r.point_id: (r.real_area, r.area_state) for r in geo.check_declared_area(df, both, "declared").collect()}
+    assert out == {1: ("square", "OK_TOLERANCIA_BORDE"), 2: ("square", "CONFLICTO")}
+
+
+def test_unusable_cells_count_on_neither_side(spark):
+    points = spark.createDataFrame([(1, "d", 5.0)], "point_id long, district string, imputed double")
+    cells = spark.createDataFrame([("d", 5.0), ("d", float("nan")), ("d", float("inf")), ("d", -1.0)], "district string, value double")
+    assert [(r.total_in, r.total_out, r.conserved) for r in geo.conservation(points, cells).collect()] == [(5.0, 5.0, True)]

@@ -127,3 +127,13 @@ def test_spearman_uses_average_ranks(spark, n):
     r = inequality.correlations(df, ["g"], "x", "y").first()
     assert r.pearson_r == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert r.spearman_rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
+
+
+def test_running_sums_keep_values_without_an_extra(spark):
+    from pyspark.sql import functions as F
+
+    from almenara.operators.ordered import running_sums
+
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 500.0, 2.0)], "g string, v double, x double")
+    rows = running_sums(df, ["g"], "v", {"n": F.lit(1)}, {"top": F.max("x")}).orderBy("v").collect()
+    assert [(r["v"], r["before_n"], r["total_n"], r["top"]) for r in rows] == [(1.0, 0, 2, None), (500.0, 1, 2, 2.0)]
