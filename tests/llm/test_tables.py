@@ -193,7 +193,9 @@ def test_neighbours_of_odd_vectors(spark):
     assert all([x[0] for x in v] == list(range(1, 21)) for v in got.values())
     hit = sum(len({x[1] for x in got[q]} & set(want[q])) for q in want) / sum(map(len, want.values()))
     assert hit >= 0.9
-    assert [x[1] for x in got[1000]] == want[1000]  # ties go to the smaller id
+    for q, rows in got.items():  # ties go to the smaller id
+        twins = [x[1] for x in rows if 1000 <= x[1] < 1150]
+        assert twins == [k for k in range(1000, 1150) if k != q][: len(twins)]
     assert all(a[2] >= b[2] for v in got.values() for a, b in zip(v, v[1:]))
 
 
