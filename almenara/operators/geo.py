@@ -187,7 +187,9 @@ def nearest(
         if keys:
             met = open_cells.join(nodes, keys)
         else:
-            met = open_cells.join(F.broadcast(nodes))  # at most ``first_cells`` rows, or the eight of 2^23 m
+            # At most ``first_cells`` boxes, or the eight of 2^23 m, go to every query as one value.
+            boxes = nodes.agg(F.collect_list(F.struct(*nodes.columns)).alias("boxes")).scalar()
+            met = open_cells.withColumn("_box", F.explode(boxes)).select(*keep, "_box.*")
         low = _squared([(F.greatest(c(f"_lo{d}"), F.least(c(d), c(f"_hi{d}"))), c(d)) for d in dims])
         far = _squared([(F.greatest(F.abs(c(d) - c(f"_lo{d}")), F.abs(c(d) - c(f"_hi{d}"))), F.lit(0.0)) for d in dims])
         best = F.min(far).over(Window.partitionBy(query_key))
