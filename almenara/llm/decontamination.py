@@ -116,9 +116,9 @@ def judge(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     left = documents.drop(*own)
     found = hits(left, benchmark, key, text).drop("words").withColumnsRenamed({"_key": "_hit_key", "digest": "_hit_digest"})
     n = word_count(F.col(text))
-    joined = left.withColumn("n_words", n).join(
-        found, F.col(key).eqNullSafe(F.col("_hit_key")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_hit_digest")), "left"
-    )
+    # The digest is a column of its own, so the join moves no text that nobody asks for.
+    known = left.withColumn("n_words", n).withColumn("_digest", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    joined = known.join(found, F.col(key).eqNullSafe(F.col("_hit_key")) & (F.col("_digest") == F.col("_hit_digest")), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0))
     return joined.select(
         *left.columns, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
