@@ -4,15 +4,16 @@ Tokens are the lower-cased words of a text; a long word is also known by its fir
 forms share evidence. Each token's log-odds between toxic and other labelled texts has a Dirichlet prior
 (``PRIOR`` pseudo-counts and a share of the token's overall rate) and a variance; the most certain of a word's four
 forms speaks for it, and only if it lies far enough from zero: of the deviations in ``CERTAIN`` the one that tells
-the kept-out rows apart best. Every other word costs ``GAP``.
+the kept-out rows apart best. Every other word costs ``GAP``, also one that only repeats the word before it.
 
 A text's maximal-scoring segments are found in one pass (linear time): each is a passage none of whose parts
 would score more by being joined with or cut from its neighbours. A passage of score S in n words is expected
 K n exp(-lambda S) times in harmless text, with lambda from the harmless scores and K from harmless maxima; passages
 add up to one figure per text, and a logistic curve fitted on rows kept out of the counts turns it into a chance.
 
-Learning takes about ``sample_rows`` labelled rows at most, chosen by a hash of the id, equal texts once. Counts are
-summed by Spark into ``2**BITS`` cells, the bound of the model. Whole texts are scored where they lie.
+Learning takes about ``sample_rows`` labelled rows at most, chosen by a hash of the id, equal texts once. Spark sums
+the texts that hold each form; forms of fewer than ``MIN_TEXTS`` texts can never be certain and stay out of the model,
+which so is bounded by the sample. Forms are known by ``BITS`` bits of a hash. Whole texts are scored where they lie.
 
 Null and empty texts have no passage and get the curve's lowest value. Labels other than 0 and 1 are not learned
 from; without any labelled row no passage is found. Repeated rows are scored alike.
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almenara.llm.arrays import WORD, Hasher, lowered, mix, pieces, runs
+from almenara.llm.language import Table
 from almenara.llm.sampling import labelled_sample
+from almenara.session import pin
 
-BITS = 20
+BITS = 40
+MIN_TEXTS = 4
 SAMPLE_ROWS = 40_000
 PRIOR = 0.5
 PRIOR_WEIGHT = 1.0
@@ -40,12 +44,14 @@ CERTAIN = (2.0, 2.4, 2.8, 3.2, 3.6)
 GAP = -0.5
 TOP = 8.0
 PREFIXES = (4, 5, 6)
+NONE = np.uint64(2**64 - 1)
 
 
 @dataclass
 class Model:
-    """Score of each cell with certainty, the two extreme-value constants and the logistic curve."""
+    """Score of each known form with certainty, the two extreme-value constants and the logistic curve."""
 
+    forms: Table
     odds: np.ndarray
     certainty: np.ndarray
     certain: float = CERTAIN[-1]
@@ -56,16 +62,16 @@ class Model:
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words of a piece: starts, ends, text number, and the cell of each form (-1: the word is too short)."""
+    """Words of a piece: starts, ends, text number, and the hash of each form (``NONE``: the word is too short)."""
     low, _ = lowered(data)
     starts, ends, doc = runs(WORD[low], at)
     shift = np.uint64(64 - BITS)
     hasher = Hasher(low, seed=3)
-    cells = [(hasher(starts, ends) >> shift).astype(np.int64)]
+    cells = [hasher(starts, ends) >> shift]
     for k in PREFIXES:
         long = ends - starts > k
         stop = np.minimum(starts + k, ends)
-        cells.append(np.where(long, (mix(hasher(starts, stop) + np.uint64(k)) >> shift).astype(np.int64), -1))
+        cells.append(np.where(long, mix(hasher(starts, stop) + np.uint64(k)) >> shift, NONE))
     return starts, ends, doc, cells
 
 
@@ -73,11 +79,13 @@ def word_scores(model: Model, cells: list[np.ndarray], certain: float) -> np.nda
     """Score of each word: the log-odds of its most certain form, or the price of a gap."""
     best, score = np.zeros(len(cells[0]), np.float32), np.full(len(cells[0]), GAP)
     for cell in cells:
-        sure = np.where(cell >= 0, np.abs(model.certainty[cell]), 0)
-        better = sure > best
-        best[better] = sure[better]
-        value = np.clip(model.odds[cell], -TOP, TOP)
-        score[better] = np.where(sure[better] >= certain, value[better], GAP)
+        place = model.forms.find(cell)
+        known = np.flatnonzero(place >= 0)
+        sure = np.abs(model.certainty[place[known]])
+        better = sure > best[known]
+        known, place, sure = known[better], place[known[better]], sure[better]
+        best[known] = sure
+        score[known] = np.where(sure >= certain, np.clip(model.odds[place], -TOP, TOP), GAP)
     return np.where(score > 0, score, np.minimum(score, GAP))
 
 
@@ -107,6 +115,8 @@ def passages(model: Model, texts: pa.Array, certain: float | None = None) -> tup
     for lo, hi, data, at in pieces(texts):
         starts, ends, doc, cells = tokens(data, at)
         score = word_scores(model, cells, model.certain if certain is None else certain)
+        again = np.flatnonzero((cells[0][1:] == cells[0][:-1]) & (doc[1:] == doc[:-1])) + 1
+        score[again] = np.minimum(score[again], GAP)
         cut = np.searchsorted(doc, np.arange(hi - lo + 1))
         words[lo:hi] = np.diff(cut)
         for k in np.unique(doc[score > 0]).tolist():
@@ -123,12 +133,11 @@ def evidence(model: Model, words: int, found: list[tuple[int, int, float]]) -> f
 
 
 def count_cells(texts: pa.Array, toxic: np.ndarray) -> pd.DataFrame:
-    """Texts of either kind that hold each cell, and in cell -1 and -2 nothing: one partial table per call."""
-    seen: dict[int, np.ndarray] = {}
+    """Texts of either kind that hold each form: one partial table per call."""
     out = []
     for lo, hi, data, at in pieces(texts, 4 << 20):
         _, _, doc, cells = tokens(data, at)
-        flat = np.concatenate([doc[c >= 0] << BITS | c[c >= 0] for c in cells]) if len(doc) else np.zeros(0, np.int64)
+        flat = np.concatenate([doc[c != NONE] << BITS | c[c != NONE].astype(np.int64) for c in cells]) if len(doc) else np.zeros(0, np.int64)
         own = np.unique(flat)
         kind = toxic[lo:hi].astype(np.int64)[own >> BITS]
         out.append(own & ((1 << BITS) - 1) | kind << BITS)
@@ -145,27 +154,33 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
         for b in batches:
             yield count_cells(pa.array(b["text"], pa.large_string()), b["label"].to_numpy())
 
-    # At most 2 * 2**BITS sums come back, whatever the size of the table.
-    sums = rows.filter("part > 0").mapInPandas(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").cast("int").alias("n"))
-    sums = sums.select((F.col("cell") * 2 + F.col("kind")).cast("int").alias("at"), "n").toArrow()
-    y = np.zeros(2 << BITS, np.float32)
-    y[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    del sums
-    model, usable = log_odds(y[1::2], y[0::2])
+    sums = rows.filter("part > 0").mapInPandas(count, "kind long, cell long, n long").groupBy("cell").agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("clean")
+    )
+    # The forms of a bounded sample that several texts share, and the totals of all forms.
+    sums = pin(sums)
+    totals = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("toxic", "clean")], F.count(F.lit(1))).first()
+    known = sums.filter(F.col("toxic") + F.col("clean") >= MIN_TEXTS).toArrow()
+    model, usable = log_odds(*(c.to_numpy() for c in known.columns), tuple(map(float, totals)))
     if not usable:
         return model
     return calibrate(model, rows.filter("part = 0"))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[Model, bool]:
-    """Log-odds of each cell and its deviations from zero; False if either kind of text is missing."""
-    totals = float(toxic.sum(dtype=np.float64)), float(clean.sum(dtype=np.float64))
-    prior = PRIOR + PRIOR_WEIGHT * (toxic + clean) / max(sum(totals), 1)
-    whole = float(prior.sum(dtype=np.float64))
+def log_odds(forms: np.ndarray, toxic: np.ndarray, clean: np.ndarray, totals: tuple[float, float, float]) -> tuple[Model, bool]:
+    """Log-odds of each form and its deviations from zero; False if either kind of text is missing.
+
+    ``totals`` are the sums of both counts over all forms, also those left out, and the number of all forms.
+    """
+    order = np.argsort(forms)
+    forms, toxic, clean = forms[order].astype(np.uint64), toxic[order].astype(float), clean[order].astype(float)
+    prior = PRIOR + PRIOR_WEIGHT * (toxic + clean) / max(totals[0] + totals[1], 1)
+    whole = PRIOR * totals[2] + PRIOR_WEIGHT
     a, b = toxic + prior, clean + prior
     odds = np.log(a / np.maximum(totals[0] + whole - a, 1)) - np.log(b / np.maximum(totals[1] + whole - b, 1))
-    certainty = np.where(toxic + clean == 0, 0, odds / np.sqrt(1 / a + 1 / b)) * (min(totals) > 0)
-    return Model(odds.astype(np.float32), certainty.astype(np.float32)), min(totals) > 0
+    usable = min(totals[0], totals[1]) > 0
+    certainty = odds / np.sqrt(1 / a + 1 / b) * usable
+    return Model(Table(forms), odds.astype(np.float32), certainty.astype(np.float32)), usable
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
