@@ -116,7 +116,18 @@ def _correlations(t):
     return ops.poverty_correlations(pin(_joined(t))).drop("pearson_p", "spearman_p")
 
 
-@query("poverty_correlation_p_values", ("access", "poverty"))
+def _p_sql(r: str) -> str:
+    """Two-sided p-value of a correlation of ``units`` pairs: the tail of Student's t as an integral of cosines."""
+    at = f"asin(least(abs({r}), 1.0))"
+    tail = f"sum(pow(cos({at} + f * (pi() / 2 - {at})), units - 3)) * (pi() / 2 - {at})"
+    return f"(SELECT {tail} / (sum(pow(cos(f * pi() / 2), units - 3)) * pi() / 2) FROM grid)"
+
+
+@query("poverty_correlation_p_values", ("access", "poverty"), f"""{_CORR_SQL},
+grid AS (SELECT (i + 0.5) / 4000 AS f FROM range(4000) x(i)),
+co AS (SELECT scope, count(*) AS units, corr(poverty_rate, t_mean) AS r, corr(rx, ry) AS s, avg(poverty_rate) AS m FROM rk GROUP BY scope HAVING count(*) >= 4)
+SELECT scope, units, {rnd('r', 3)} AS pearson_r, {rnd(_p_sql('r'), 4)} AS pearson_p, {rnd('s', 3)} AS spearman_rho, {rnd(_p_sql('s'), 4)} AS spearman_p,
+{rnd('m', 1)} AS poverty_mean FROM co""")
 def _p_values(t):
     return ops.poverty_correlations(pin(_joined(t)))
 

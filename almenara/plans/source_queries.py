@@ -50,7 +50,8 @@ def _log(t):
     return t.spark.read.parquet(path).select("call_id", "task", "band", "cost_usd")
 
 
-@query("fragment_json_round_trip", ("book",))
+@query("fragment_json_round_trip", ("book",), f""", {_FIXED} SELECT id, doc AS documento, CAST(page AS INTEGER) AS pagina,
+n_in_page AS n_en_pagina, chars AS caracteres FROM fx""")
 def _fragments(t):
     path = scratch(t.spark, "fragments")
     chunks = docs.fixed_windows(t.book).select(
