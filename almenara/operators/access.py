@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from almenara.functions.numeric import pct, rounded, true
 from almenara.operators.ordered import (
-    null_safe_join, quantiles, quantiles_of, running_sums, sums_by_level, weighted_quantiles, with_levels,
+    collapsed_weighted_quantiles, null_safe_join, quantiles, quantiles_of, running_sums, sums_by_level, weighted_quantiles, with_levels,
 )
 from almenara.settings import ACCESS, ACTIVE_STATES, UPGRADABLE_CATEGORIES
 
@@ -258,28 +258,38 @@ def coverage_bands(
     )
 
 
-def _level_sums() -> dict[str, Column]:
+def _by_time(access: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per unit and valid time (NULL: none): what both sums and weighted quantiles need."""
     ok, w = valid_time(), F.col("weight")
-    ok_w = F.when(ok, w).otherwise(0.0)
-    used = ok & (w > 0)
-    return {
-        "points": F.count("*"), "_total": F.sum(w), "_ok": F.sum(ok_w),
-        "_vw": F.sum(F.when(used, F.col("t_min") * w)), "_w": F.sum(F.when(used, w)),
-    }
+    used = F.when(ok & (w > 0), w)
+    return access.groupBy(*keys, F.when(ok, F.col("t_min").cast("double")).alias("_t")).agg(
+        F.count("*").alias("_n"), F.sum(w).alias("_all"), F.sum(F.when(ok, w)).alias("_ok"),
+        F.sum(used).alias("_used"), F.min(used).alias("_first"), F.max(used).alias("_last"),
+    )
 
 
 def aggregate_by_level(access: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """Weighted time statistics per unit of every level; NULL keys form their own unit."""
+    """Weighted time statistics per unit of every level; NULL keys form their own unit.
+
+    Sums and quantiles come from the same collapsed rows: ``access`` is read and shuffled once.
+    """
     keys = list(dict.fromkeys(k for cols in levels.values() for k in cols))
     by = ["level", *keys]
-    sums = sums_by_level(access, levels, _level_sums())
-    q = weighted_quantiles(
-        with_levels(access.filter(valid_time()), levels), by, "t_min", "weight", {"t_p50": 0.5, "t_p90": 0.9}
+    rows = _by_time(access, keys)
+    sums = sums_by_level(rows, levels, {
+        "points": F.sum("_n"), "_total": F.sum("_all"), "_with": F.sum(F.coalesce("_ok", F.lit(0.0))),
+        "_vw": F.sum(F.col("_t") * F.col("_used")), "_w": F.sum("_used"),
+        "_seen": F.count("_first") + F.count("_last"),  # reads what the quantiles read, so both share one shuffle
+    })
+    # A condition on a sum stays above the aggregation, where one on the time would split the two branches.
+    q = collapsed_weighted_quantiles(
+        with_levels(rows.filter(F.col("_used") > 0), levels), by, "_t", "_used", "_first", "_last",
+        {"t_p50": 0.5, "t_p90": 0.9}, also=("_n", "_all", "_ok"),
     )
     return null_safe_join(sums, q, by, "left").select(
         *by, "points", rounded(F.col("_total"), 0).alias("weight"),
-        rounded(F.col("_ok"), 0).alias("weight_with_access"),
-        pct(F.col("_total") - F.col("_ok"), F.col("_total")).alias("pct_without_access"),
+        rounded(F.col("_with"), 0).alias("weight_with_access"),
+        pct(F.col("_total") - F.col("_with"), F.col("_total")).alias("pct_without_access"),
         rounded(F.try_divide("_vw", "_w"), 1).alias("t_mean"),
         rounded(F.col("t_p50"), 1).alias("t_p50"), rounded(F.col("t_p90"), 1).alias("t_p90"),
     )

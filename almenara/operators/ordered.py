@@ -138,9 +138,9 @@ def quantiles_of(
     df: DataFrame, by: list[str], measures: dict[str, Column], wanted: dict[str, tuple[str, float]]
 ) -> DataFrame:
     """Quantiles of several measures in one pass: ``wanted`` maps a name to (measure, q)."""
-    rows = df.select(*by, F.explode(F.array(*[
+    rows = df.select(*by, F.explode(F.filter(F.array(*[
         F.struct(F.lit(m).alias("_m"), c.cast("double").alias("_v")) for m, c in measures.items()
-    ])).alias("_x")).select(*by, "_x.*")
+    ]), lambda x: x["_v"].isNotNull())).alias("_x")).select(*by, "_x.*")
     qs = sorted({q for _, q in wanted.values()})
     found = quantiles(rows, [*by, "_m"], "_v", {f"_q{i}": q for i, q in enumerate(qs)})
     return found.groupBy(*by).agg(*[
@@ -156,12 +156,22 @@ def weighted_quantiles(
     Rows with equal values are ordered by weight; only the first and the last of them can be a
     neighbour of the wanted position, so the tie block is kept as its smallest and largest weight.
     """
+    w = F.col(weight).cast("double")
     valid = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).select(
-        *by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"),
+        *by, F.col(value).cast("double").alias("_v"), w.alias("_w"), w.alias("_first"), w.alias("_last"),
     )
+    return collapsed_weighted_quantiles(valid, by, "_v", "_w", "_first", "_last", qs)
+
+
+def collapsed_weighted_quantiles(
+    df: DataFrame, by: list[str], value: str, weight: str, first: str, last: str, qs: dict[str, float],
+    also: tuple[str, ...] = (),
+) -> DataFrame:
+    """:func:`weighted_quantiles` of rows that stand for several of equal value: their summed,
+    smallest and largest weight. ``also`` names columns to read although nothing comes of them."""
     rows = running_sums(
-        valid, by, "_v", {"w": F.col("_w")},
-        {"w_first": F.min("_w"), "w_last": F.max("_w")},
+        df.withColumn("_v", F.col(value)), by, "_v", {"w": F.col(weight), **{f"x{c}": F.col(c) for c in also}},
+        {"w_first": F.min(first), "w_last": F.max(last)},
     )
     v = F.col("_v")
     c_first = F.col("before_w") + F.col("w_first") / 2

@@ -113,7 +113,7 @@ rk AS (SELECT scope, poverty_rate, t_mean,
 SELECT scope, count(*) AS units, {rnd('corr(poverty_rate, t_mean)', 3)} AS pearson_r, {rnd('corr(rx, ry)', 3)} AS spearman_rho,
 {rnd('avg(poverty_rate)', 1)} AS poverty_mean FROM rk GROUP BY scope HAVING count(*) >= 4""")
 def _correlations(t):
-    return ops.poverty_correlations(pin(_joined(t))).drop("pearson_p", "spearman_p")
+    return ops.poverty_correlations(_joined(t)).drop("pearson_p", "spearman_p")
 
 
 def _p_sql(r: str) -> str:
@@ -129,7 +129,7 @@ co AS (SELECT scope, count(*) AS units, corr(poverty_rate, t_mean) AS r, corr(rx
 SELECT scope, units, {rnd('r', 3)} AS pearson_r, {rnd(_p_sql('r'), 4)} AS pearson_p, {rnd('s', 3)} AS spearman_rho, {rnd(_p_sql('s'), 4)} AS spearman_p,
 {rnd('m', 1)} AS poverty_mean FROM co""")
 def _p_values(t):
-    return ops.poverty_correlations(pin(_joined(t)))
+    return ops.poverty_correlations(_joined(t))
 
 
 @query("weight_time_rank_correlation", ("access",), """, r AS (SELECT region, weight, t_min,
