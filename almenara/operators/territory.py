@@ -29,16 +29,40 @@ def canonical(key: Column, canon: tuple[str, ...], aliases: dict[str, str]) -> C
     return out
 
 
+def edit_score(a: Column, b: Column) -> Column:
+    """``100 * (1 - edits / longer length)``."""
+    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
+
+def partial_score(a: Column, b: Column) -> Column:
+    """The best score of the shorter text against any stretch of its length in the longer one."""
+    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
+    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    places = F.sequence(F.lit(0), F.length(long) - F.length(short))
+    return F.array_max(F.transform(places, lambda i: edit_score(F.substr(long, i + 1, F.length(short)), short)))
+
+
+def in_order(a: Column) -> Column:
+    """The words of a text in alphabetical order."""
+    return F.array_join(F.array_sort(F.split(a, " ")), " ")
+
+
+def match_score(a: Column, b: Column) -> Column:
+    """The best of several readings: whole, with sorted words, and, where one text is half as long again as the
+    other, as a part of it. Sorted words weigh 0.95; a part weighs 0.9, or 0.6 where the longer text is over eight
+    times as long. The readings and weights are those of the study; a single reading is edit distance."""
+    ratio = F.greatest(F.length(a), F.length(b)) / F.least(F.length(a), F.length(b))
+    weight = F.when(ratio <= 8, 0.9).otherwise(0.6)
+    part = F.greatest(weight * partial_score(a, b), 0.95 * weight * partial_score(in_order(a), in_order(b)))
+    return F.greatest(edit_score(a, b), F.when(ratio < 1.5, 0.95 * edit_score(in_order(a), in_order(b))).otherwise(part))
+
+
 def fuzzy(key: Column, canon: tuple[str, ...]) -> Column:
-    """Closest canonical name and its score, ``100 * (1 - edits / longer length)``.
+    """Closest canonical name and its :func:`match_score`; the first of the list wins a tie.
 
-    The list is short and fixed, so the comparison is one expression per distinct value. The score
-    is not the one of the original study; its threshold has to be validated on real data.
+    The list is short and fixed, so the comparison is one expression per distinct value.
     """
-    scored = F.transform(_names(canon), lambda c, i: F.struct(
-        (100.0 * (1 - F.levenshtein(key, c) / F.greatest(F.length(key), F.length(c)))).alias("score"),
-        (-i).alias("order"), c.alias("name"),
-    ))
+    scored = F.transform(_names(canon), lambda c, i: F.struct(match_score(key, c).alias("score"), (-i).alias("order"), c.alias("name")))
     return F.when(key != "", F.array_max(scored))
 
 

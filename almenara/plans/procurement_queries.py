@@ -22,6 +22,25 @@ def _canonical(c: str) -> str:
     return f"CASE WHEN {k} IN (SELECT n_name FROM nation) THEN {k} WHEN {k} = 'NATIONX_7' THEN 'NATION_7' END"
 
 
+def _edit(a: str, b: str) -> str:
+    return f"100.0::DOUBLE * (1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
+
+
+def _partial(a: str, b: str) -> str:
+    short, long = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
+    piece = f"substr({long}, CAST(i AS INTEGER) + 1, length({short}))"
+    return f"list_max(list_transform(range(0, length({long}) - length({short}) + 1), lambda i: {_edit(piece, short)}))"
+
+
+def _match(a: str, b: str) -> str:
+    """Score of two texts as DuckDB text."""
+    sa, sb = (f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b))
+    ratio = f"(greatest(length({a}), length({b})) / least(length({a}), length({b})))"
+    weight = f"(CASE WHEN {ratio} <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)"
+    return f"""greatest({_edit(a, b)}, CASE WHEN {ratio} < 1.5 THEN 0.95::DOUBLE * {_edit(sa, sb)}
+  ELSE greatest({weight} * {_partial(a, b)}, 0.95::DOUBLE * {weight} * {_partial(sa, sb)}) END)"""
+
+
 _BUILD = """lt AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ocid ORDER BY month_file DESC) AS r FROM tenders) x WHERE r = 1),
 bu AS (SELECT * EXCLUDE (r, roles, ord) FROM (SELECT *, row_number() OVER (PARTITION BY ocid ORDER BY ord) AS r FROM parties WHERE lower(coalesce(roles, '')) LIKE '%buyer%') x WHERE r = 1),
 aw AS (SELECT ocid, count(*) AS awards, coalesce(sum(amount), 0) AS awarded_amount, max(award_date) AS award_date FROM awards GROUP BY ocid),
@@ -32,9 +51,8 @@ _RESOLVE = f"""{_BUILD},
 t1 AS (SELECT *, {_canonical('department_raw')} AS d1, {_canonical('region_raw')} AS d2, {_KEY.format(c='locality_raw')} AS k FROM pr),
 vt AS (SELECT entity_id, coalesce(d1, d2) AS d, count(*) AS n FROM t1 WHERE coalesce(d1, d2) IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1, 2),
 us AS (SELECT entity_id, d AS d3 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, d) AS r FROM vt) x WHERE r = 1),
-fz AS (SELECT k, max(100.0 * (1 - levenshtein(k, n_name) / greatest(length(k), length(n_name)))) AS score,
-  arg_max(n_name, {{'s': 100.0 * (1 - levenshtein(k, n_name) / greatest(length(k), length(n_name))), 'o': -n_nationkey}}) AS name
-  FROM (SELECT DISTINCT k FROM t1 WHERE k <> '') y, nation GROUP BY k),
+fz AS (SELECT k, max(s) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name
+  FROM (SELECT k, n_name, n_nationkey, {_match('k', 'n_name')} AS s FROM (SELECT DISTINCT k FROM t1 WHERE k <> '') y, nation) z GROUP BY k),
 t2 AS (SELECT t1.*, d3, CASE WHEN coalesce(d1, d2, d3) IS NULL AND score >= 88 THEN name END AS d4, score FROM t1
   LEFT JOIN us ON t1.entity_id = us.entity_id LEFT JOIN fz ON t1.k = fz.k),
 rs AS (SELECT * EXCLUDE (d1, d2, d3, d4, k, score), coalesce(d1, d2, d3, d4, 'NO_LOCALIZADO') AS department,
@@ -95,8 +113,8 @@ def _canonical_query(t):
 
 
 @query("fuzzy_names", ("parties",), f""", k AS (SELECT DISTINCT {_KEY.format(c='locality_raw')} AS k FROM parties)
-SELECT k AS key, round(max(100.0 * (1 - levenshtein(k, n_name) / greatest(length(k), length(n_name)))), 6) AS score,
-arg_max(n_name, {{'s': 100.0 * (1 - levenshtein(k, n_name) / greatest(length(k), length(n_name))), 'o': -n_nationkey}}) AS name FROM k, nation GROUP BY k""")
+SELECT k AS key, round(max(s), 6) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name
+FROM (SELECT k, n_name, n_nationkey, {_match('k', 'n_name')} AS s FROM k, nation WHERE k <> '') z GROUP BY k""")
 def _fuzzy(t):
     words = t.parties.select(latin_key("locality_raw").alias("key")).distinct()
     f = territory.fuzzy(F.col("key"), _CANON)

@@ -120,3 +120,7 @@ def test_department_names(spark):
     assert [name(x) for x in ("Junín", "cuzco", "San Martín de Porres", "nowhere", None)] == ["JUNIN", "CUSCO", "LIMA", None, None]
     best = one(spark, "LAMBAYEQE", lambda c: territory.fuzzy(c, DEPARTMENTS))
     assert best["name"] == "LAMBAYEQUE" and best.score == pytest.approx(90.0)
+    for text_, found, score in (("LIMA PROVINCIA", "LIMA", 90.0), ("DEPARTAMENTO DE PIURA", "PIURA", 90.0), ("LIBERTAD LA", "LA LIBERTAD", 95.0), ("CUSCO", "CUSCO", 100.0)):
+        best = one(spark, text_, lambda c: territory.fuzzy(c, DEPARTMENTS))
+        assert (best["name"], round(best.score, 6)) == (found, score)
+    assert one(spark, "", lambda c: territory.fuzzy(c, DEPARTMENTS)) is None
