@@ -17,20 +17,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels spread along links and labels of labels are followed, so chains shorten by half or more in a
     round. Every round ends in the shared checkpoint folder. A node with very many links is summed on the map side,
-    and both sides of each join are plain tables, which Spark may split where a key is hot.
+    and the links meet the labels as plain tables, which Spark may split where a key is hot.
     """
     both = links.filter("u <> v").select("u", "v")
     both = pin(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = pin(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
-        spread = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label").union(labels)
-        near = pin(spread.groupBy("node").agg(F.min("label").alias("label")))
+        told = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        near = told.union(labels.select("node", "label", F.col("label").alias("own"))).groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own"))
         above = near.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        far = pin(near.join(above, near["label"] == above["_node"]).select("node", F.col("_label").alias("label")))
-        old = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        if far.join(old, (far["node"] == old["_node"]) & (far["label"] < old["_label"])).isEmpty():
-            return far
-        labels = far
+        far = pin(near.join(above, near["label"] == above["_node"]).select("node", F.col("_label").alias("label"), "own"))
+        labels = far.select("node", "label")
+        if far.filter("label < own").isEmpty():
+            return labels
 
 
 def groups(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:

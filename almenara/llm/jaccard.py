@@ -7,8 +7,8 @@ linked when the Jaccard similarity of their sets is at least 0.8, judged on whol
 Finding candidates. Each class has 64 tokens, the minima of its set under 64 hashes. A run deals classes to nodes: at
 each level a class draws about ``BRANCHES`` of its tokens by a hash of path and token, so two classes that share a
 token and a path draw it together. Nodes of at most ``LIMIT`` classes are compared pair by pair in one task; larger
-ones are split by further tokens. A large node in which classes agree in half their tokens on average would not get
-smaller that way: it becomes one candidate group as a whole. Every level loses some similar pairs, so runs are
+ones are split by further tokens. A large node in which classes agree in ``ALIKE`` of their tokens on average would
+not get smaller that way for long: it becomes one candidate group as a whole. Every level loses some similar pairs, so runs are
 repeated until ``RECALL`` of the pairs at the threshold are expected to survive ``DEPTH`` levels; copies of one text
 find each other by many ways.
 
@@ -43,12 +43,12 @@ from almenara.session import pin
 WORDS = 5
 TOKENS = 64
 BRANCHES = 2.0
-LIMIT = 256
+LIMIT = 1024
 BLOCK = 400
 RECALL = 0.999
 DEPTH = 3
 MAX_LEVELS = 20
-PROBES = 8
+ALIKE = 0.4
 BROADCAST_MEMBERS = 200_000
 #: Tokens in which two classes must agree to be verified: at similarity 0.8 one pair in two thousand has fewer.
 AGREE = 39
@@ -150,20 +150,45 @@ def children(path: np.ndarray, tokens: np.ndarray, seed: int) -> tuple[np.ndarra
     return row, node[row, at]
 
 
-def deal(rows: DataFrame, level: int, repeats: int) -> DataFrame:
-    """(node, a) of the next level from (node, a, tokens)."""
+def deal(rows: DataFrame, level: int, repeats: int, steps: int, carry: bool) -> DataFrame:
+    """(node, a) of the next level from (node, a, tokens), with the tokens if they are to be carried on.
+
+    Each repeat is a run of its own; in each, ``steps`` tokens are drawn one after the other. A node's name comes from
+    its path, so no row is made twice.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
-                path = np.asarray(part.column(0)).view(np.uint64)
-                name = np.asarray(part.column(1))
                 tokens = unpacked(part.column(2))
                 for k in range(repeats):
-                    row, node = children(path, tokens, level * 1000 + k)
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(name[row])], names=["node", "a"])
-
-    return rows.select("node", "a", "tokens").mapInArrow(run, "node long, a long").distinct()
+                    row, node = np.arange(len(part)), np.asarray(part.column(0)).view(np.uint64)
+                    for step in range(steps):
+                        child, node = children(node, tokens[row], (level * 1000 + k) * 10 + step)
+                        row = row[child]
+                    columns = [pa.array(node.view(np.int64)), part.column(1).take(pa.array(row))]
+                    yield pa.RecordBatch.from_arrays([*columns, part.column(2).take(pa.array(row))] if carry else columns, names=["node", "a", "tokens"][: 2 + carry])
+
+    return rows.select("node", "a", "tokens").mapInArrow(run, "node long, a long" + ", tokens binary" * carry)
+
+
+def likeness(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, pairs, agreements, smallest a): neighbours of one node in a task's rows, compared in all tokens."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    node = table.column(0).to_numpy()
+    order = np.argsort(node, kind="stable")
+    node, name = node[order], table.column(1).to_numpy()[order]
+    begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    agree = np.zeros(len(node), np.int64)
+    for lo in range(0, len(node) - 1, 4096):
+        part = unpacked(table.column(2).take(pa.array(order[lo : lo + 4097])))
+        agree[lo + 1 : lo + len(part)] = (part[1:] == part[:-1]).sum(axis=1)
+    agree[begin] = 0
+    size = np.diff(np.append(begin, len(node)))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[begin], size - 1, np.add.reduceat(agree, begin), np.minimum.reduceat(name, begin))], names=["node", "pairs", "agree", "least"])
 
 
 def compare_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,38 +217,35 @@ def compare_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Links (u, v) that join all classes which may be similar; ``classes`` has a and tokens."""
+    known = classes.select(F.col("a").alias("_a"), "tokens")
     rows = classes.select(F.lit(0).cast("long").alias("node"), "a", "tokens")
-    leaves, whole = [], []
+    found = links = None
     for level in range(MAX_LEVELS):
-        dealt = deal(rows, level, run_count() if level == 0 else 1)
-        if level:
-            dealt = pin(dealt)
+        # Deeper levels have few rows: they carry their tokens, and draw two at once to fall apart in fewer rounds.
+        dealt = pin(deal(rows, level, 1, 2, True)) if level else deal(rows, 0, run_count(), 1, False)
         counts = pin(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         kept = pin(dealt.join(counts, "node"))
-        leaves.append(kept.filter(F.col("n") <= LIMIT).select("node", "a"))
+        few = kept.filter(F.col("n") <= LIMIT).select("node", "a")
+        found = few if found is None else found.union(few)
         hot = kept.filter(F.col("n") > LIMIT)
-        if hot.isEmpty():
+        hot = hot.select("node", "a", "tokens") if level else pin(hot.join(known, F.col("a") == F.col("_a")).select("node", "a", "tokens"))
+        # How alike a node's classes are: the share of tokens in which two of them agree, over neighbouring rows.
+        seen = hot.mapInArrow(likeness, "node long, pairs long, agree long, least long").groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("agree").alias("agree"), F.min("least").alias("v"))
+        last = F.lit(level == MAX_LEVELS - 1)
+        judged = pin(seen.select(F.col("node").alias("_node"), "v", (last | (F.col("agree") >= ALIKE * TOKENS * F.col("pairs"))).alias("whole")))
+        some_whole, all_whole = judged.agg(F.max("whole"), F.min("whole")).first()
+        if all_whole is None:
             break
-        hot = pin(hot.join(classes.select(F.col("a").alias("_a"), "tokens"), F.col("a") == F.col("_a")).select("node", "a", "n", "tokens"))
-        # How alike a node's classes are: the chance that two of them agree in a token, over some of the tokens.
-        probes = hot.select("node", "n", F.posexplode(F.array(*[F.substring("tokens", 4 * (k * TOKENS // PROBES) + 1, 4) for k in range(PROBES)])).alias("k", "value"))
-        same = probes.groupBy("node", "n", "k", "value").agg(F.count(F.lit(1)).alias("c"))
-        alike = same.groupBy("node").agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.max(F.col("n").cast("double") * F.col("n")) / PROBES).alias("alike"))
-        dense = alike.filter(F.col("alike") >= 0.5) if level < MAX_LEVELS - 1 else alike
-        dense = pin(dense.select(F.col("node").alias("_node")))
-        ends = pin(hot.join(dense, F.col("node") == F.col("_node"), "left_semi").groupBy("node").agg(F.min("a").alias("v")).select(F.col("node").alias("_node"), "v"))
-        whole.append(hot.join(ends, F.col("node") == F.col("_node")).select(F.col("a").alias("u"), "v"))
-        rows = pin(hot.join(dense, F.col("node") == F.col("_node"), "left_anti").select("node", "a", "tokens"))
-        if rows.isEmpty():
+        met = hot.join(judged, F.col("node") == F.col("_node"))
+        if some_whole:
+            more = met.filter("whole").select(F.col("a").alias("u"), "v")
+            links = more if links is None else links.union(more)
+        if all_whole:
             break
-    found = leaves[0]
-    for more in leaves[1:]:
-        found = found.union(more)
-    met = found.join(classes.select(F.col("a").alias("_a"), "tokens"), F.col("a") == F.col("_a")).select("node", "a", "tokens")
-    links = met.repartition("node").sortWithinPartitions("node").mapInArrow(compare_nodes, "u long, v long")
-    for more in whole:
-        links = links.union(more)
-    return links
+        rows = met.filter("NOT whole").select("node", "a", "tokens")
+    met = found.join(known, F.col("a") == F.col("_a")).select("node", "a", "tokens")
+    small_nodes = met.repartition("node").sortWithinPartitions("node").mapInArrow(compare_nodes, "u long, v long")
+    return small_nodes if links is None else small_nodes.union(links)
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
