@@ -174,10 +174,10 @@ def drop_words(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with ``n_lines``, ``n_dropped`` and ``kept``: the text without its dropped lines (null stays null)."""
     documents = documents.drop("n_lines", "n_dropped", "kept")
-    words = drop_words(documents, key, text).withColumnsRenamed({"id": "_id", "print": "_print", "n_dropped": "_n"})
+    words = drop_words(documents, key, text).withColumnsRenamed({"id": "_id", "print": "_print", "n_dropped": "_n", "words": "_words"})
     clean = F.coalesce(F.col(text), F.lit(""))
     joined = documents.join(words, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(clean) == F.col("_print")), "left")
-    stays = F.filter(split_lines(F.col(text)), lambda line, i: F.coalesce(F.try_element_at("words", F.shiftright(i, 6)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)
+    stays = F.filter(split_lines(F.col(text)), lambda line, i: F.coalesce(F.try_element_at("_words", F.shiftright(i, 6)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)
     n_lines = (F.length(clean) - F.length(F.translate(clean, "\n", "")) + 1).cast("long")
     return joined.select(
         *documents.columns, n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).alias("n_dropped"),

@@ -259,8 +259,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """``pages`` with ``text``, the main text, and ``n_chars``, its code points."""
     pages = pages.drop("text", "n_chars")
     kept = pages.columns
-    lists = pin(templates(pages, url, html).select(F.col("site").alias("_site"), "hashes"))
-    total = lists.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    lists = pin(templates(pages, url, html).select(F.col("site").alias("_site"), F.col("hashes").alias("_hashes")))
+    total = lists.agg(F.coalesce(F.sum(F.size("_hashes")), F.lit(0))).first()[0]
     joined_pages = pages.withColumn("_own", F.xxhash64(host(F.col(url)))).join(small(lists, total, BROADCAST_HASHES), F.col("_own") == F.col("_site"), "left").drop("_own", "_site")
     at = kept.index(html)
 

@@ -38,9 +38,9 @@ def test_site_templates_go_and_copies_stay(spark):
     rows += [(100 + i, f"https://b.org/{i}", "<body><div>Same article</div></body>") for i in range(9)]  # copies of one page
     rows += [(200, None, "<p>no site</p>"), (201, "https://a.org/x", None), (202, "not a url", "<p>Follow us today</p>"), (203, "https://c.org", "")]
     rows += rows[:1]
-    df = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(*r, "old", 1) for r in rows], "page_id long, url string, html string, text string, hashes int")
     out = pages.extract(df)
-    assert out.columns == ["page_id", "url", "html", "text", "n_chars"] and out.count() == len(rows)
+    assert out.columns == ["page_id", "url", "html", "hashes", "text", "n_chars"] and out.count() == len(rows)
     by = {r["page_id"]: r["text"] for r in out.collect()}
     assert all(by[i] == f"Article {i} body" for i in range(8))
     assert all(by[100 + i] == "Same article" for i in range(9))
@@ -72,7 +72,7 @@ def test_lines_match_the_plain_rule(spark, parts):
     docs = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for k in range(120)]
     docs += [(200 + k, "One very common line in a third of all\nown line of document %d here" % k) for k in range(90)]
     docs += [(500, None), (501, ""), (None, "One very common line in a third of all"), (502, "\n\n"), (503, "One very common line in a third of all\n" * 70)]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, kept int")
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, kept int, words int")
     words = lines.drop_words(df, parts=parts)
     assert words.columns == ["id", "print", "n_dropped", "words"]
     before = lines.drop_words
@@ -82,7 +82,7 @@ def test_lines_match_the_plain_rule(spark, parts):
         rows = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"] or "") for r in got.collect()), key=str)
     finally:
         lines.drop_words = before
-    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped", "kept"]
+    assert got.columns == ["doc_id", "text", "words", "n_lines", "n_dropped", "kept"]
     assert rows == keep_lines(docs)
 
 
