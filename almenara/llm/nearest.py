@@ -8,7 +8,9 @@ r_j in at least one substring j when the r_j + 1 sum to r + 1, so probing the st
 query's retrieves every code within r, and nothing within r is lost. The retrieved are ranked by their float vectors.
 
 The radius is measured on the sample: the distance within which ``RECALL`` of true neighbours lie. On data without
-near neighbours it is wide and most of the index is probed; that is what the recall costs.
+near neighbours it is wide and most of the index is probed; that is what the recall costs. Queries that hold fewer
+than ``k`` neighbours after that, as isolated vectors of clustered data do, are searched again with all bits as the
+radius, which is exact; no query has a short list while there are more candidates.
 
 Queries meet the index in blocks of bounded size: each task has one block of queries and one block of the index, and
 passes on the best ``k + 1`` of each query. Equal vectors are searched once: of each, the ``k + 1`` smallest ids are
@@ -21,7 +23,7 @@ without id take no part. Rows of equal id and vector are one. Fewer candidates t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -160,28 +162,40 @@ def search(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
     once = pin(asked.select(F.col("rep").alias("_rep")).distinct())
 
     index_blocks = max(1, -(-stands.count() // INDEX_BLOCK))
-    query_blocks = max(1, -(-once.count() // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = stands.select("rep", "v", block("rep", index_blocks).alias("i"), numbers(query_blocks).alias("j")).withColumn("side", F.lit(0))
-    probing = stands.join(once, F.col("rep") == F.col("_rep"), "left_semi").select("rep", "v", numbers(index_blocks).alias("i"), block("rep", query_blocks).alias("j")).withColumn("side", F.lit(1))
-    tasks = stored.unionByName(probing).select((F.col("i").cast("long") * query_blocks + F.col("j")).alias("task"), "side", "rep", "v")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cut in groups(batches):
-            side, rep, x = table.column(1).to_numpy(), table.column(2).to_numpy(), matrix(table.column(3))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                s = np.flatnonzero(side[lo:hi] == 0) + lo
-                q = np.flatnonzero(side[lo:hi] == 1) + lo
-                if len(s) and len(q):
-                    row, found, score = best(model.value, rep[s], x[s], x[q], k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[q][row]), pa.array(found), pa.array(score)], names=["_rep", "found", "score"])
-
-    near = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "_rep long, found long, score double")
-    top = Window.partitionBy("_rep").orderBy(F.desc("score"), "found")
-    near = near.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1)
-    spread = near.join(twins_of, near["found"] == twins_of["rep"]).select("_rep", "score", F.explode("ids").alias("id"))
-    spread = spread.withColumn("r", F.row_number().over(Window.partitionBy("_rep").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
-    lists = pin(spread.groupBy("_rep").agg(F.sort_array(F.collect_list(F.struct(F.col("r"), "id", "score"))).alias("list")))
+
+    def lists_of(once: DataFrame, everywhere: bool) -> DataFrame:
+        """``(_rep, list)``: for each vector of ``once`` the best ``k + 1`` within the radius, or of all."""
+        query_blocks = max(1, -(-once.count() // QUERY_BLOCK))
+        stored = stands.select("rep", "v", block("rep", index_blocks).alias("i"), numbers(query_blocks).alias("j")).withColumn("side", F.lit(0))
+        probing = stands.join(once, F.col("rep") == F.col("_rep"), "left_semi").select("rep", "v", numbers(index_blocks).alias("i"), block("rep", query_blocks).alias("j")).withColumn("side", F.lit(1))
+        tasks = stored.unionByName(probing).select((F.col("i").cast("long") * query_blocks + F.col("j")).alias("task"), "side", "rep", "v")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = replace(model.value, radius=model.value.bits) if everywhere else model.value
+            for table, cut in groups(batches):
+                side, rep, x = table.column(1).to_numpy(), table.column(2).to_numpy(), matrix(table.column(3))
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    s = np.flatnonzero(side[lo:hi] == 0) + lo
+                    q = np.flatnonzero(side[lo:hi] == 1) + lo
+                    if len(s) and len(q):
+                        row, found, score = best(own, rep[s], x[s], x[q], k + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[q][row]), pa.array(found), pa.array(score)], names=["_rep", "found", "score"])
+
+        near = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "_rep long, found long, score double")
+        top = Window.partitionBy("_rep").orderBy(F.desc("score"), "found")
+        near = near.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1)
+        spread = near.join(twins_of, near["found"] == twins_of["rep"]).select("_rep", "score", F.explode("ids").alias("id"))
+        spread = spread.withColumn("r", F.row_number().over(Window.partitionBy("_rep").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
+        return pin(spread.groupBy("_rep").agg(F.sort_array(F.collect_list(F.struct(F.col("r"), "id", "score"))).alias("list")))
+
+    lists = lists_of(once, False)
+    # A query and its k neighbours, or all rows there are; queries with fewer, or with none, meet the whole index.
+    full = min(k + 1, ranked.count())
+    held = lists.filter(F.size("list") >= full)
+    short = pin(once.join(held.select(F.col("_rep").alias("_held")), F.col("_rep") == F.col("_held"), "left_anti"))
+    if not short.isEmpty():
+        lists = held.unionByName(lists_of(short, True))
     answers = asked.join(lists, F.col("rep") == F.col("_rep")).select("query_id", F.slice(F.filter("list", lambda e: e["id"] != F.col("query_id")), 1, k).alias("list"))
     return answers.select("query_id", F.posexplode("list").alias("p", "e")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.id").alias(key), F.col("e.score").alias("score"))

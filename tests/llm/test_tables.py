@@ -207,6 +207,23 @@ def test_neighbours_of_few_vectors(spark):
     assert nearest.search(df.limit(1), F.lit(True), 20).count() == 0
 
 
+def test_isolated_vectors_have_whole_lists(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.vstack([np.repeat(rng.normal(size=(30, 32)), 100, axis=0) + 0.001 * rng.normal(size=(3000, 32)), rng.normal(size=(30, 32))]))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, (F.col("vec_id") >= 3000) | (F.col("vec_id") % 500 == 0), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {*range(3000, 3030), *range(0, 3000, 500)} and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for q in range(3000, 3030):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 30
+
+
 @needs_tables
 def test_recall_on_embeddings(spark):
     rows = queries.table(spark, FOLDER, "embeddings").collect()
