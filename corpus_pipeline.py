@@ -29,11 +29,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more hang together, the one with the smallest id."""
-    found = pin(jaccard.join(docs.select("doc_id", "text")))
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(gone, gone.count(), BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    """Of documents that links of 0.8 or more hang together, the one with the smallest id; of rows that repeat, one.
+
+    Rows are told apart by id and text: an id that stands on two texts is judged by each of them. A null id comes
+    last; if no row has an id, or several have the smallest, the smallest hash of a text decides.
+    """
+    marks = {"_x": F.xxhash64("text"), "_y": F.xxhash64(F.lit(7919), "text")}
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    found = pin(jaccard.join(docs.withColumns(marks).select(row.alias("row"), "text"), "row"))
+    gone = found.filter("row <> class_id").select(F.col("row.id").alias("_id"), F.col("row.x").alias("_gx"), F.col("row.y").alias("_gy")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_gx")) & (F.col("_y") == F.col("_gy"))
+    kept = docs.withColumns(marks).join(small(gone, gone.count(), BROADCAST_KEYS), same, "left_anti").drop(*marks)
+    again = found.groupBy("row").count().filter("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 

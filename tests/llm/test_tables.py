@@ -265,6 +265,26 @@ def test_pipeline_stage_by_stage(spark):
     assert corpus_pipeline.shards(spark, mixed, FOLDER).count() == mixed.count()
 
 
+def test_near_duplicates_are_judged_by_row(spark):
+    base = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"]
+    near = [b + " more" for b in base]
+    rows = [
+        (1, base[0]), (None, near[0]), (None, base[1]),  # a null id near a document with an id, and a unique one
+        (2, base[2]), (3, near[2]), (3, base[3]),  # an id on a copy and on a unique text
+        (None, base[4]), (None, near[4]), (None, base[5]), (None, base[5]),  # near and exact copies without ids
+        (4, base[6]), (4, near[6]),  # one id on two near texts
+        (None, None), (5, None), (6, ""),
+    ]
+    one = lambda r: Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.one_of_each(spark, spark.createDataFrame(r, "doc_id long, text string"), FOLDER).collect())
+    for part in (rows, rows[::-1]):
+        got = one(part)
+        choice = {(None, base[4]), (None, near[4])}, {(4, base[6]), (4, near[6])}
+        assert all(sum(got[r] for r in c) == 1 for c in choice)
+        fixed = {r: n for r, n in got.items() if r not in set.union(*choice)}
+        assert fixed == dict.fromkeys([rows[k] for k in (0, 2, 3, 5, 8, 12, 13, 14)], 1)
+    assert one(rows[8:10]) == {rows[8]: 1}
+
+
 @needs_tables
 def test_pipeline_of_an_empty_table(spark):
     docs = queries.table(spark, FOLDER, "documents").limit(0)
