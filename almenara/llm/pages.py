@@ -8,8 +8,8 @@ divided by that share, so its list is small; the lists are broadcast only below
 Copies of one article under several addresses count once, so copying a page does not make its text a template.
 
 Besides, what names itself as no part of the article goes: menus, page headers, footers, sidebars, notices, adverts,
-forms, reader comments, scripts and styles, by element, role, class or id. The main text is that of the article
-elements, else of main, else of the largest element called content, else of the body.
+forms, reader comments, scripts and styles, by element, role, class or id. The main text is that of the article elements, else of main, else of the largest container called
+content and its siblings of that name, if they hold most of the text that is left; else all of it.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined in page order by an
 empty line. Null html gives an empty text. A url without a host belongs to no site: no template is sought there.
@@ -58,6 +58,7 @@ NOT_ARTICLE = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond replies ad ads advert advertisement sponsored promo related recommended widget sidebar".split())
 HEADERS = frozenset("header head".split())
+CONTAINERS = frozenset("div section td center".split())
 CONTENT = frozenset("content article post entry story maincontent".split())
 
 
@@ -88,7 +89,7 @@ class Page:
     """Elements in page order (parent first) and text segments (block number, element, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.dropped, self.kind = ["#page"], [0], [False], [0]
+        self.tag, self.parent, self.words = ["#page"], [0], [(frozenset(), False)]
         self.parts: list[list] = [[]]
         self.segments: list[tuple[int, int, str]] = []
         self.block = 0
@@ -145,26 +146,10 @@ class Page:
                     del stack[k:]
                     break
         above = stack[-1]
-        drop, kind = self.dropped[above], self.kind[above]
-        if not drop:
-            words, hidden = names_of(attributes) if attributes else (set(), False)
-            roles = {w[5:] for w in words if w.startswith("role:")}
-            if tag in ("html", "body", "main") or "main" in roles:
-                drop = hidden and tag != "html"
-            elif tag == "article":
-                drop = hidden or bool(words & COMMENTS)
-            else:
-                drop = hidden or tag in DROPPED or bool(words & NOT_ARTICLE) or bool(roles & ROLES)
-                drop |= kind != 2 and (tag == "header" or bool(words & HEADERS))
-            if not drop and kind < 2:
-                kind = 2 if tag == "article" else 1 if kind == 1 or tag == "main" or "main" in roles else 0
-            if not drop and kind == 0 and words & CONTENT:
-                kind = -len(self.tag)  # an element called content, by its number
+        self.words.append(names_of(attributes) if attributes else (frozenset(), False))
         self.parts[above].append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(above)
-        self.dropped.append(drop)
-        self.kind.append(kind)
         self.parts.append([])
         self.block += tag in BLOCK
         if not attributes.endswith("/"):
@@ -193,25 +178,56 @@ class Page:
                     out[k] = int.from_bytes(digest[k], "little", signed=True) or 1
         return out
 
+    def judged(self, names: bool, spared: frozenset[int] = frozenset()) -> tuple[list[bool], list[int], list[int]]:
+        """For each element whether it is dropped, its kind of root (2 article, 1 main, negative: the number of an
+        element called content) and the outermost element whose name dropped it; ``spared`` ignore their names."""
+        dropped, kinds, named = [False], [0], [0]
+        for k in range(1, len(self.tag)):
+            tag, above, (words, hidden) = self.tag[k], self.parent[k], self.words[k]
+            drop, kind, by = dropped[above], kinds[above], named[above]
+            roles = {w[5:] for w in words if w.startswith("role:")} if words else words
+            main = tag == "main" or "main" in roles
+            hard = hidden and tag != "html"
+            if tag not in ("html", "body") and not main and tag != "article":
+                hard |= tag in DROPPED or bool(roles & ROLES) or kind != 2 and tag == "header"
+            if hard:
+                drop, by = True, 0
+            elif not drop and names and k not in spared and tag not in ("html", "body") and not main:
+                called = words & COMMENTS if tag == "article" else words & NOT_ARTICLE or kind != 2 and words & HEADERS
+                if called:
+                    drop, by = True, k
+            if not drop and kind < 2:
+                kind = 2 if tag == "article" else 1 if kind == 1 or main else kind
+            if not drop and kind == 0 and tag in CONTAINERS and words & CONTENT:
+                kind = -k
+            dropped.append(drop)
+            kinds.append(kind)
+            named.append(by)
+        return dropped, kinds, named
+
     def main_text(self, template: set[int] | None = None) -> str:
-        """The text of the first kind of root that has any, without dropped elements and template subtrees."""
-        gone = self.dropped
-        if template:
-            gone = list(gone)
-            for k, h in enumerate(self.hashes()):
-                gone[k] = gone[k] or gone[self.parent[k]] or h in template
-        kept = [s for s in self.segments if not gone[s[1]] and not s[2].isspace()]
-        called: dict[int, int] = {}
-        for _, node, text in kept:
-            if self.kind[node] < 0:
-                called[self.kind[node]] = called.get(self.kind[node], 0) + len(text)
-        wanted = [lambda k: k == 2, lambda k: k >= 1]
-        if called:
-            largest = max(called, key=lambda k: (called[k], k))
-            wanted.append(lambda k: k == largest)
-        for want in (*wanted, lambda k: True):
-            rows = [s for s in self.segments if not gone[s[1]] and want(self.kind[s[1]])]
-            text = joined(rows)
+        """The text of the narrowest root that holds most of what is left without dropped elements and templates."""
+        recurring = self.hashes() if template else []
+        for _ in (True,):
+            gone, kinds, _ = self.judged(True)
+            if template:
+                for k, h in enumerate(recurring):
+                    gone[k] = gone[k] or gone[self.parent[k]] or h in template
+            kept = [s for s in self.segments if not gone[s[1]]]
+            size: dict[int, int] = {}
+            for _, node, text in kept:
+                size[kinds[node]] = size.get(kinds[node], 0) + len(text.strip())
+            roots = [{2}, {1, 2}]
+            called = [k for k in size if k < 0]
+            if called:
+                largest = max(called, key=lambda k: (size[k], k))
+                roots.append({k for k in called if self.parent[-k] == self.parent[-largest]})
+            for root in roots:
+                if 2 * sum(size.get(k, 0) for k in root) > sum(size.values()):
+                    text = joined([s for s in kept if kinds[s[1]] in root])
+                    if text:
+                        return text
+            text = joined(kept)
             if text:
                 return text
         return ""

@@ -27,6 +27,15 @@ def test_main_text(html, text):
     assert Page(html).main_text() == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<h1 class='entry-title'>T</h1><div class='text'><p>long body</p></div>", "T\n\nlong body"),
+    ("<div class='content'>first part</div><div class='content'>second</div>", "first part\n\nsecond"),
+    ("<main><p>The long body of the page</p></main><article class='card'>teaser</article>", "The long body of the page\n\nteaser"),
+])
+def test_roots_hold_most_of_the_text(html, text):
+    assert Page(html).main_text() == text
+
+
 def test_equal_subtrees_have_equal_hashes():
     a, b = Page("<div><p>x  y</p></div>").hashes(), Page("<section><div>\n<p>x y</p></div></section>").hashes()
     assert set(a) - {0} <= set(b)
