@@ -8,7 +8,9 @@ divided by that share, so its list is small; the lists are broadcast only below
 Copies of one article under several addresses count once, so copying a page does not make its text a template.
 
 Besides, what names itself as no part of the article goes: menus, page headers, footers, sidebars, notices, adverts,
-forms, reader comments, scripts and styles, by element, role, class or id. The main text is that of the article elements, else of main, else of the largest container called
+forms, reader comments, scripts and styles, by element, role, class or id. A name with has, no or with says nothing of
+the element itself, and names do not count for what holds main, or most of the text with a title or article, nor if
+they leave nothing. The main text is that of the article elements, else of main, else of the largest container called
 content and its siblings of that name, if they hold most of the text that is left; else all of it.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined in page order by an
@@ -58,6 +60,7 @@ NOT_ARTICLE = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond replies ad ads advert advertisement sponsored promo related recommended widget sidebar".split())
 HEADERS = frozenset("header head".split())
+MODIFIERS = frozenset("has no not with without".split())
 CONTAINERS = frozenset("div section td center".split())
 CONTENT = frozenset("content article post entry story maincontent".split())
 
@@ -72,8 +75,12 @@ def names_of(attributes: str) -> tuple[set[str], bool]:
             for one in value.split():
                 words.add(re.sub(r"[^A-Za-z]+", "", one).lower())  # side-bar
                 for part in re.split(r"[^A-Za-z]+", one):
+                    pieces = [w.lower() for w in PIECE.findall(part)]
+                    stop = next((k for k, w in enumerate(pieces) if w in MODIFIERS), None)
+                    words.update(pieces[:stop])
+                    if stop is not None:  # no-sidebar, content-with-sidebar, hasComments: not what it is
+                        break
                     words.add(part.lower())
-                    words.update(w.lower() for w in PIECE.findall(part))
         elif name == "role":
             words.update("role:" + w for w in value.lower().split())
         elif name == "hidden":
@@ -205,11 +212,35 @@ class Page:
             named.append(by)
         return dropped, kinds, named
 
+    def spared(self) -> frozenset[int]:
+        """Elements whose names do not count: they hold main, or a title or article and most of the page's text."""
+        out: set[int] = set()
+        while True:
+            dropped, _, named = self.judged(True, frozenset(out))
+            held: dict[int, int] = {}
+            total = 0
+            for _, node, text in self.segments:
+                if named[node] or not dropped[node]:
+                    n = len(text.strip())
+                    total += n
+                    held[named[node]] = held.get(named[node], 0) + n
+            new = set()
+            for k, by in enumerate(named):
+                if by and (self.tag[k] == "main" or "role:main" in self.words[k][0]):
+                    new.add(by)
+                elif by and 2 * held.get(by, 0) > total and (self.tag[k] == "h1" or self.tag[k] == "article" and not self.words[k][0] & COMMENTS):
+                    new.add(by)
+            if not new:
+                return frozenset(out)
+            out |= new
+
     def main_text(self, template: set[int] | None = None) -> str:
-        """The text of the narrowest root that holds most of what is left without dropped elements and templates."""
+        """The text of the narrowest root that holds most of what is left without dropped elements and templates.
+
+        If names leave nothing, they do not count."""
         recurring = self.hashes() if template else []
-        for _ in (True,):
-            gone, kinds, _ = self.judged(True)
+        for names in (True, False):
+            gone, kinds, _ = self.judged(names, self.spared() if names else frozenset())
             if template:
                 for k, h in enumerate(recurring):
                     gone[k] = gone[k] or gone[self.parent[k]] or h in template

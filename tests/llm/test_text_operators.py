@@ -36,6 +36,15 @@ def test_roots_hold_most_of_the_text(html, text):
     assert Page(html).main_text() == text
 
 
+@pytest.mark.parametrize("html", [
+    "<div class='wrapper no-sidebar'><p>body</p></div>x", "<div id='page' class='has-sidebar'><p>body</p></div>x",
+    "<div class='content-with-sidebar'><p>body</p></div>x", "<article class='post has-comments'><p>body</p></article>x",
+    "<div class='sidebar-layout'><h1>body</h1></div>x", "<div class='sidebar layout'><main>body</main></div>x", "<div class='widget'>body</div>",
+])
+def test_names_of_wrappers_take_no_article_along(html):
+    assert "body" in Page(html).main_text()
+
+
 def test_equal_subtrees_have_equal_hashes():
     a, b = Page("<div><p>x  y</p></div>").hashes(), Page("<section><div>\n<p>x y</p></div></section>").hashes()
     assert set(a) - {0} <= set(b)
