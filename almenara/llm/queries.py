@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almenara.llm import decontamination, jaccard, language, lines, mixing, nearest, pages, quality, sharding, toxicity
+from almenara.llm import decontamination, jaccard, language, lines, mixing, nearest, packing, pages, quality, ranked, sharding, toxicity, whitening
 from almenara.llm.columns import small
 from almenara.session import pin
 
@@ -147,3 +148,37 @@ def op10_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.fit(documents.filter(remainder(4) != 2))
     return language.predict(documents.drop("lang"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_block_matrix_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_fp_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: Fixed values of the contract: characters that are not part of a term, A-Z being lower-cased first.
+_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op12_fp_tree_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS words FROM documents),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) GROUP BY rid, term),
+s AS (SELECT count(*) AS n_all, CAST(sum(len(words)) AS BIGINT) AS l_all FROM d WHERE len(words) > 0),
+m AS (SELECT rid, doc_id, 50 + (50 * CAST(len(words) AS BIGINT) * n_all) // l_all AS m FROM d, s WHERE len(words) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, n_all),
+r AS (SELECT item_id, doc_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (rid) GROUP BY item_id, doc_id, rid),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
+@query
+def op13_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    pieces = packing.pack(table(spark, folder, "documents"), tokenizer)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
