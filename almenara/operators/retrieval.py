@@ -11,18 +11,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almenara.functions.numeric import pct, rounded, true
-from almenara.functions.text import words
+from almenara.operators.lexical import SCORE_DECIMALS, bm25_search  # noqa: F401  lexical and vector search side by side
 from almenara.operators.ordered import top_n
-from almenara.session import pin
 from almenara.settings import RETRIEVAL
 
-SCORE_DECIMALS = 6
 CELLS = 2_000_000
 QUERY_ROWS = 1024
 
@@ -49,42 +46,6 @@ def cosine_scorer(queries: pd.DataFrame, vector: str, scope: str | None = None)
     return score
 
 
-def bm25_scorer(queries: pd.DataFrame, k1: float, b: float) -> Scorer:
-    """``queries`` carries the weighted terms of each query and the mean document length."""
-    sizes = queries["terms"].map(len).to_numpy()
-    codes, vocabulary = pd.factorize(np.concatenate([*queries["terms"], np.array([], dtype=object)]))
-    known = pd.Index(vocabulary)
-    by_term = np.argsort(codes, kind="stable")
-    who = np.repeat(np.arange(len(queries)), sizes)[by_term]
-    weight = np.concatenate([*queries["weights"], np.array([])]).astype(np.float64)[by_term]
-    first = np.searchsorted(codes[by_term], np.arange(len(known) + 1))
-    spans = np.diff(first)
-    mean_length = float(queries["mean_length"].iloc[0]) or 1.0
-    n = len(queries)
-
-    def score(tokens: pa.Array) -> np.ndarray:
-        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-        coded = tokens.flatten().dictionary_encode()  # only distinct words become Python objects
-        term = known.get_indexer(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        doc = np.repeat(np.arange(len(tokens)), lengths)
-        hit = term >= 0
-        pair, tf = np.unique(doc[hit] * np.int64(len(known)) + term[hit], return_counts=True)
-        d, t = pair // max(len(known), 1), pair % max(len(known), 1)
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[d] / mean_length))
-        # Every (document, term) meets the queries that hold the term: a sparse product, added up.
-        reps = spans[t]
-        at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[t], reps)
-        cell = np.repeat(d, reps) * np.int64(n) + who[at]
-        return np.bincount(cell, np.repeat(part, reps) * weight[at], len(tokens) * n).reshape(len(tokens), n)
-
-    def in_steps(batch: Batch, step: int = 512) -> np.ndarray:
-        """A few documents at a time: the product never holds more than their terms."""
-        tokens = batch["tokens"]
-        return np.vstack([score(tokens.slice(i, step)) for i in range(0, len(tokens), step)])
-
-    return in_steps
-
-
 # ---------------------------------------------------------------- search
 def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of each query (a column of ``scores``), all queries at once."""
@@ -191,51 +152,6 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-# ---------------------------------------------------------------- lexical ranking
-def bm25_terms(
-    corpus: DataFrame, queries: DataFrame, text: str = "text", epsilon: float = RETRIEVAL.bm25_epsilon
-) -> DataFrame:
-    """Queries as weighted terms. A term in over half of the documents gets ``epsilon`` x mean idf.
-
-    One pass over the documents combines on the map side; the NULL term of each document counts the
-    documents and adds up their lengths. The result is stored, since four figures are read from it.
-    """
-    docs = corpus.select(words(F.lower(text)).alias("tokens"))
-    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
-    frequency = pin(
-        docs.select(F.size("tokens").alias("length"), F.explode(marked).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
-    )
-    whole = frequency.filter(F.col("term").isNull())
-    total = whole.select("df").scalar()
-    idf = F.ln(total - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weighted = frequency.filter(F.col("term").isNotNull()).select("term", idf.alias("idf"))
-    floor = weighted.agg(F.avg("idf").alias("m")).scalar() * epsilon
-    asked = queries.select("query_id", F.explode(words(F.lower(text))).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("repeats")
-    )
-    final = F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("repeats")
-    terms = asked.join(weighted, "term").groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("term", final.alias("w")))).alias("t")
-    )
-    return queries.select("query_id").join(terms, "query_id", "left").select(
-        "query_id", F.coalesce("t.term", F.array().cast("array<string>")).alias("terms"),
-        F.coalesce("t.w", F.array().cast("array<double>")).alias("weights"),
-        whole.select(F.col("length") / F.col("df")).scalar().alias("mean_length"),
-    )
-
-
-def bm25_search(
-    corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL.top_k, text: str = "text",
-    k1: float = RETRIEVAL.bm25_k1, b: float = RETRIEVAL.bm25_b, epsilon: float = RETRIEVAL.bm25_epsilon, **kw,
-) -> DataFrame:
-    """Okapi BM25 over lower-case whitespace tokens."""
-    return search(
-        corpus.select("id", words(F.lower(text)).alias("tokens")), bm25_terms(corpus, queries, text, epsilon), k,
-        lambda sent: bm25_scorer(sent, k1, b), **kw,
-    )
-
-
 # ---------------------------------------------------------------- relevance
 def page_set(cell: Column) -> Column:
     """``3;4,5`` as an array of integers; parts that are not numbers are ignored."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almenara.operators import index, retrieval as ops
+from almenara.operators import index, lexical, retrieval as ops
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +158,58 @@ def test_index_load_is_idempotent(spark, tmp_path):
         index.load_index(a.unionByName(a), path)
     index.rebuild_index(a, path)
     assert spark.read.parquet(path).count() == 2
+
+
+def passages(seed, n, words=60):
+    rng = np.random.default_rng(seed)
+    share = 1 / (np.arange(words) + 1)
+    return [" ".join(f"w{t}" for t in rng.choice(words, rng.integers(0, 40), p=share / share.sum())) for _ in range(n)]
+
+
+def test_pruned_bm25_loses_nothing(spark):
+    """Long and short queries over copies, against every score; what is scored in full is a part of what shares a term."""
+    docs = passages(5, 600) + ["w0 w1 w50"] * 300
+    asked = passages(6, 12) + ["w0 w0 w1", "w59", "w58 w57 w0 w1 w2"]
+    corpus = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(6)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    tokens = [d.split() for d in docs]
+    for k in (1, 5, 40):
+        found = {}
+        for r in ops.bm25_search(corpus, queries, k, blocks=5).collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.id, r.similarity))
+        for j, q in enumerate(asked):
+            s = np.round(okapi(tokens, q.split()), 6)
+            best = np.lexsort((np.arange(len(s)), -s))[:k]
+            assert [i for _, i, _ in sorted(found[j])] == list(best)
+            assert [x for _, _, x in sorted(found[j])] == pytest.approx(list(s[best]), abs=1e-6)
+
+
+def test_bm25_candidates_share_a_term_and_are_pruned(spark):
+    docs, asked = passages(7, 800), passages(8, 10)
+    corpus = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(6)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    weights = lexical.term_weights(corpus, queries)
+    rows, mean = weights.agg(F.count("*"), F.max("mean_length")).first()
+    held = lexical.postings(corpus, weights.select("term").distinct(), mean, 8)
+    assert held.count() == sum(len({w for w in d.split()} & {w for q in asked for w in q.split()}) for d in docs)
+    plan = lexical.reach(weights, held)
+    open_, late = lexical.candidates(held, plan, rows, 5)
+    got = {(r.query_id, r.id) for r in open_.collect()}
+    sharing = {(j, i) for j, q in enumerate(asked) for i, d in enumerate(docs) if set(q.split()) & set(d.split())}
+    assert got <= sharing and len(got) < len(sharing) / 2
+    assert late.count() > 0
+
+
+def test_bm25_joins_on_terms(spark):
+    corpus = spark.createDataFrame(list(enumerate(passages(9, 50))), "id long, text string")
+    terms = spark.createDataFrame([("w1",), ("w2",)], "term string")
+    plan = lexical.postings(corpus, terms, 10.0, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi, (term" in plan and "MapInArrow" not in plan
+
+
+def test_bm25_without_queries_or_documents(spark):
+    corpus = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, None)], "query_id long, text string")
+    assert ops.bm25_search(corpus, queries.limit(0), 3).count() == 0
+    assert ops.bm25_search(corpus.limit(0), queries, 3).count() == 0
+    assert [(r.query_id, r["rank"], r.id) for r in ops.bm25_search(corpus, queries, 2).orderBy("query_id", "rank").collect()][0] == (1, 1, 1)
