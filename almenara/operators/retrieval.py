@@ -6,10 +6,9 @@ equal vectors tie whatever the order of summation, and ties go to the smaller id
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,111 +21,157 @@ from almenara.settings import RETRIEVAL
 
 CELLS = 2_000_000
 QUERY_ROWS = 1024
+#: What the vectors of a block may take; a task holds one block at a time (and a reordered copy of it).
+BLOCK_BYTES = 32 << 20
+#: Angles are compared with this much room, so rounding never leaves a row out.
+ROOM = 1e-6
 
-# Scores every row of a corpus batch (Arrow columns) against every query: (rows, queries).
-Batch = dict[str, pa.Array]
-Scorer = Callable[[Batch], np.ndarray]
 
+# ---------------------------------------------------------------- search
+def _units(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column, and which of them have a direction at all."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(rows), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.clip(norm, 1e-300, None), np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
 
-# ---------------------------------------------------------------- scorers
-def cosine_scorer(queries: pd.DataFrame, vector: str, scope: str | None = None) -> Scorer:
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-300, None)
-
-    q = unit(np.stack([np.asarray(r, dtype=np.float64) for r in queries[vector]])).T
-    wanted = None if scope is None else queries[scope].to_numpy()
-
-    def score(batch: Batch) -> np.ndarray:
-        flat = batch[vector].flatten().to_numpy(zero_copy_only=False)
-        s = unit(flat.reshape(len(batch[vector]), -1).astype(np.float64)) @ q
-        if wanted is not None:
-            s[batch[scope].to_numpy(zero_copy_only=False)[:, None] != wanted[None, :]] = -np.inf
-        return s
 
-    return score
+class Block:
+    """Vectors of a block in clusters with a radius; a query skips clusters that cannot hold one of its k best.
 
+    A cluster is a direction and the largest angle of its members from it. By the triangle inequality no member is
+    nearer to a query than the query's angle to that direction less the radius. Vectors without a direction (zero or not
+    finite) form a cluster that is never skipped.
+    """
 
-# ---------------------------------------------------------------- search
-def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query (a column of ``scores``), all queries at once."""
-    scores = np.round(scores, SCORE_DECIMALS)
-    take = min(k, len(ids))
-    floor = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
-    row, query = np.nonzero((scores >= floor) & np.isfinite(scores))
-    s = scores[row, query]
-    order = np.lexsort((ids[row], -s, query))
-    row, query, s = row[order], query[order], s[order]
-    begin = np.searchsorted(query, np.arange(len(query_ids)))
-    first = np.arange(len(query)) - begin[query] < take
-    return pd.DataFrame({"query_id": query_ids[query[first]], "id": ids[row[first]], "similarity": s[first]})
+    def __init__(self, ids: np.ndarray, vectors: pa.Array, scope: np.ndarray | None = None) -> None:
+        unit, sound = _units(vectors)
+        n = len(unit)
+        self.scored = 0
+        sample = unit[sound][:: max(1, int(np.sqrt(sound.sum())))] if sound.any() else unit[:0]
+        self.centre, label = sample, np.full(n, len(sample))
+        for _ in range(2 if len(sample) else 0):
+            label[sound] = np.concatenate([(unit[sound][i : i + 4096] @ self.centre.T).argmax(axis=1) for i in range(0, int(sound.sum()), 4096)])
+            total = np.zeros_like(self.centre)
+            np.add.at(total, label[sound], unit[sound])
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            self.centre = np.where(size > 0, total / np.clip(size, 1e-300, None), self.centre)
+        order = np.argsort(label, kind="stable")
+        self.unit, self.ids, self.scope = unit[order], ids[order], None if scope is None else scope[order]
+        self.at = np.searchsorted(label[order], np.arange(len(self.centre) + 2))
+        near = np.einsum("ij,ij->i", self.unit[: self.at[-2]], self.centre[label[order][: self.at[-2]]])
+        held = np.flatnonzero(np.diff(self.at[:-1]))
+        self.radius = np.zeros(len(self.centre))
+        if len(held):
+            self.radius[held] = np.arccos(np.clip(np.minimum.reduceat(near, self.at[held]), -1, 1))
+
+    def most(self, queries: np.ndarray, sound: np.ndarray) -> np.ndarray:
+        """The largest cosine a member of each cluster can have with each query: (clusters + 1, queries)."""
+        angle = np.arccos(np.clip(self.centre @ queries.T, -1, 1)) - self.radius[:, None] - ROOM
+        bound = np.vstack([np.cos(np.clip(angle, 0, np.pi)), np.ones(len(queries))])
+        bound[:, ~sound] = np.inf
+        return bound
+
+    def search(self, queries: np.ndarray, sound: np.ndarray, wanted: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and similarity of the k best rows of each query, ties by id."""
+        bound, m = self.most(queries, sound), len(queries)
+        bar = np.full(m, -np.inf)
+        held = (np.zeros(0, np.int64), self.ids[:0], np.zeros(0))
+        todo = np.ones(bound.shape, bool)
+        # First every query's most promising cluster, then all that are still open.
+        first = bound.argmax(axis=0)
+        turns = [(c, first == c) for c in np.unique(first).tolist()] + [(c, True) for c in np.argsort(-bound.max(axis=1), kind="stable").tolist()]
+        for c, asking in turns:
+            who = np.flatnonzero(asking & todo[c] & (bound[c] >= bar - ROOM))
+            lo, hi = self.at[c], self.at[c + 1]
+            todo[c, who] = False
+            if lo == hi or not len(who):
+                continue
+            step = max(1, CELLS // len(who))
+            for a in range(lo, hi, step):
+                held = self._take(held, bar, queries, who, wanted, a, min(a + step, hi), k)
+        return held
+
+    def _take(self, held: tuple, bar: np.ndarray, queries: np.ndarray, who: np.ndarray, wanted: np.ndarray | None, lo: int, hi: int, k: int) -> tuple:
+        """Score rows lo to hi for the queries ``who`` and keep the k best of each; ``bar`` is raised."""
+        scores = np.round(self.unit[lo:hi] @ queries[who].T, SCORE_DECIMALS)
+        self.scored += scores.size
+        if wanted is not None:
+            scores[self.scope[lo:hi, None] != wanted[None, who]] = -np.inf
+        row, column = np.nonzero((scores >= bar[who]) & np.isfinite(scores))
+        if not len(row):
+            return held
+        query = np.concatenate([held[0], who[column]])
+        ids, s = np.concatenate([held[1], self.ids[lo + row]]), np.concatenate([held[2], scores[row, column]])
+        order = np.lexsort((ids, -s, query))
+        query, ids, s = query[order], ids[order], s[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < k
+        last = place == k - 1
+        bar[query[last]] = s[last]
+        return query[kept], ids[kept], s[kept]
 
 
 def search(
-    corpus: DataFrame, queries: DataFrame, k: int, make_scorer: Callable[[pd.DataFrame], Scorer], blocks: int | None = None,
+    corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", scope: str | None = None, blocks: int | None = None,
 ) -> DataFrame:
-    """Exact top-k of every query over the whole corpus, for any number of queries.
+    """Exact cosine top-k of every query over the whole corpus, for any number of queries.
 
-    ``corpus`` has ``id`` and ``queries`` has ``query_id`` beside what the scorer reads. The corpus is dealt to
-    ``blocks`` (the shuffle partitions by default, so a block is of the size the session chose for a task); every
-    query visits every block. A task holds one block and lets the queries pass in Arrow batches; a step of the
-    product never holds more than ``CELLS`` scores, and k rows per query and block go on. Nothing runs before the
-    result is asked for.
+    ``corpus`` has ``id`` and ``queries`` has ``query_id`` beside the vector. The corpus is dealt to blocks whose number
+    follows from its bytes, so that a block has ``BLOCK_BYTES`` at most (half of it on average, as rows are dealt by
+    hash); every query visits every block. A task holds one block, in clusters, and lets the queries pass in Arrow
+    batches; a step of the product never holds more than ``CELLS`` scores, and k rows per query and block go on.
+    Nothing runs before the result is asked for: the number of blocks is a subquery of the plan.
     """
-    spark = corpus.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type, query_type = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("similarity", T.DoubleType()),
     ])
+    size = F.sum(F.size(vector).cast("long") * 8 + 64)
+    n = F.lit(blocks) if blocks else corpus.select(F.coalesce(F.ceil(size * 2 / BLOCK_BYTES), F.lit(1)).cast("int").alias("n")).scalar()
     own = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may share a source
-    left = corpus.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_b"), F.struct(*corpus.columns).alias("_c"))
-    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"), F.struct(*own.columns).alias("_q"))
+    left = corpus.select(F.pmod(F.xxhash64("id"), n).cast("int").alias("_b"), F.struct(*corpus.columns).alias("_c"))
+    right = own.select(F.explode(F.sequence(F.lit(0), n - 1)).alias("_b"), F.struct(*own.columns).alias("_q"))
     both = left.withColumn("_q", F.lit(None).cast(right.schema["_q"].dataType)).unionByName(right.withColumn("_c", F.lit(None).cast(left.schema["_c"].dataType)))
     dealt = both.withColumn("_side", F.col("_q").isNotNull().cast("int")).select("_b", "_side", "_c", "_q")
 
-    def fields(rows: pa.Array) -> dict[str, pa.Array]:
-        return dict(zip((f.name for f in rows.type), rows.flatten()))
-
-    def meet(stored: list[pa.Array], asked: pa.Array) -> Iterator[pa.RecordBatch]:
-        wanted = pa.table(fields(asked)).to_pandas()
-        score, names, found = make_scorer(wanted), wanted["query_id"].to_numpy(), []
-        step = max(1, CELLS // len(names))
-        for part in stored:
-            for lo in range(0, len(part), step):
-                batch = fields(part.slice(lo, step))
-                found.append(_best(batch["id"].to_numpy(zero_copy_only=False), score(batch), names, k))
-                if len(found) > 8:
-                    found = [_cut(found, k)]
-        if found:
-            yield pa.RecordBatch.from_pandas(_cut(found, k), preserve_index=False)
+    def column(parts: list[pa.Array], name: str) -> pa.Array:
+        return pa.concat_arrays([part.field(name) for part in parts])
+
+    def values(parts: list[pa.Array], name: str) -> np.ndarray:
+        return column(parts, name).to_numpy(zero_copy_only=False)
+
+    def meet(block: Block, asked: pa.Array) -> Iterator[pa.RecordBatch]:
+        unit, sound = _units(asked.field(vector))
+        query, ids, s = block.search(unit, sound, values([asked], scope) if scope else None, k)
+        names = asked.field("query_id").take(pa.array(query))
+        if len(query):
+            yield pa.RecordBatch.from_arrays([names, pa.array(ids, names.type if id_type == query_type else None), pa.array(s)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, stored = None, []
+        number, stored, block = None, [], None
         for rb in batches:
             place, side = rb.column(0).to_numpy(), rb.column(1).to_numpy()
             cuts = np.flatnonzero((place[1:] != place[:-1]) | (side[1:] != side[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
                 if lo == hi:
                     continue
-                if place[lo] != block:
-                    block, stored = place[lo], []
+                if place[lo] != number:
+                    number, stored, block = place[lo], [], None
                 if side[lo] == 0:
                     stored.append(rb.column(2).slice(lo, hi - lo))
-                else:
-                    for at in range(lo, hi, QUERY_ROWS):
-                        yield from meet(stored, rb.column(3).slice(at, min(QUERY_ROWS, hi - at)))
+                    continue
+                if stored:
+                    block = Block(values(stored, "id"), column(stored, vector), values(stored, scope) if scope else None)
+                    stored = []
+                for at in range(lo, hi, QUERY_ROWS) if block else ():
+                    yield from meet(block, rb.column(3).slice(at, min(QUERY_ROWS, hi - at)))
 
-    partial = dealt.repartition(n, "_b").sortWithinPartitions("_b", "_side").mapInArrow(run, schema)
+    partial = dealt.repartition("_b").sortWithinPartitions("_b", "_side").mapInArrow(run, schema)
     order = [F.desc("similarity"), F.asc("id")]
     return top_n(partial, ["query_id"], order, k, spread=["id"]).select("query_id", "rank", "id", "similarity")
 
 
-def _cut(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """The k best of each query of several partial results."""
-    rows = pd.concat(found, ignore_index=True).sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-    return rows.groupby("query_id", sort=False).head(k)
-
-
 def semantic_search(
     corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL.top_k, vector: str = "embedding",
     scope: str | None = None, **kw,
@@ -139,8 +184,7 @@ def semantic_search(
     extra = [scope] if scope else []
     return search(
         corpus.filter(F.col(vector).isNotNull()).select("id", vector, *extra),
-        queries.filter(F.col(vector).isNotNull()).select("query_id", vector, *extra), k,
-        lambda sent: cosine_scorer(sent, vector, scope), **kw,
+        queries.filter(F.col(vector).isNotNull()).select("query_id", vector, *extra), k, vector, scope, **kw,
     )
 
 

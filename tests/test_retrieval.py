@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,48 @@ def test_bm25_without_queries_or_documents(spark):
     assert ops.bm25_search(corpus, queries.limit(0), 3).count() == 0
     assert ops.bm25_search(corpus.limit(0), queries, 3).count() == 0
     assert [(r.query_id, r["rank"], r.id) for r in ops.bm25_search(corpus, queries, 2).orderBy("query_id", "rank").collect()][0] == (1, 1, 1)
+
+
+def clustered(rng, groups, size, dims, spread):
+    centres = rng.normal(size=(groups, dims))
+    return (centres[:, None, :] + spread * rng.normal(size=(groups, size, dims))).reshape(-1, dims)
+
+
+def listed(m):
+    return pa.array([[float(x) for x in r] for r in m], pa.list_(pa.float64()))
+
+
+@pytest.mark.parametrize("spread, part", [(0.05, 0.2), (3.0, 1.01)])
+def test_whole_clusters_are_skipped_without_loss(spread, part):
+    rng = np.random.default_rng(8)
+    v, q = clustered(rng, 40, 60, 16, spread), None
+    v[17], v[18], v[100:160] = 0, 0, v[100]
+    q = np.vstack([v[::97] + 0.01, rng.normal(size=(5, 16)), np.zeros((1, 16))])
+    unit = lambda m: m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-300, None)
+    block = ops.Block(np.arange(len(v)), listed(v))
+    who, ids, s = block.search(*ops._units(listed(q)), None, 7)
+    scores = np.round(unit(q) @ unit(v).T, 6)
+    for j in range(len(q)):
+        best = np.lexsort((np.arange(len(v)), -scores[j]))[:7]
+        assert list(ids[who == j]) == list(best) and list(s[who == j]) == pytest.approx(list(scores[j][best]))
+    assert block.scored <= part * scores.size
+
+
+def test_blocks_follow_the_bytes_of_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v, q = clustered(rng, 10, 100, 8, 0.1), rng.normal(size=(9, 8))
+    monkeypatch.setattr(ops, "BLOCK_BYTES", 16_000)  # 128 bytes a row
+    corpus = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "query_id long, embedding array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    check(ops.semantic_search(corpus, queries, 4), np.round(unit(q) @ unit(v).T, 6), 4)
+    n = math.ceil(len(v) * 128 * 2 / 16_000)
+    sizes = corpus.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).count().collect()
+    assert len(sizes) == n and max(r["count"] for r in sizes) * 128 <= 16_000
+
+
+def test_text_ids_and_unusable_vectors(spark):
+    corpus = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", [float("nan"), 1.0]), ("e", None)], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, embedding array<double>")
+    found = sorted((r.query_id, r["rank"], r.id, r.similarity) for r in ops.semantic_search(corpus, queries, 5).collect())
+    assert found == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "c", 0.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0), (2, 3, "c", 0.0)]
