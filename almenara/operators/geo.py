@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from almenara.functions.numeric import true
 from almenara.operators.ordered import null_safe_join, value_range
+from almenara.session import pin
 from almenara.settings import ACCESS, METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 
 EARTH_RADIUS_M = 6_371_008.8
@@ -83,43 +84,130 @@ def _extent(areas: DataFrame) -> DataFrame:
     })
 
 
-def locate(points: DataFrame, areas: DataFrame, key: str = "point_id", cell: float = 1.0) -> DataFrame:
-    """Area holding each point (the lowest ordinal where areas overlap), NULL where none does.
+#: A cell with more points than this is dealt to several tasks.
+CROWD = 1_000_000
+#: The list of such cells is broadcast; the limit rises with the points, so that it never has more rows than this.
+CROWDED_CELLS = 10_000
+#: A cell that an outline crosses is cut into 4**DEPTH leaves.
+DEPTH = 3
+
 
-    Points and areas meet on the grid cell they share; the extent is tested before the outline.
+def cover(areas: DataFrame, cell: float, margin: float = 0.0, depth: int = DEPTH) -> DataFrame:
+    """Each area as grid cells: ``area_id, ordinal, _cx, _cy, leaves``.
+
+    A cell is one leaf if no segment comes within ``margin`` of it: it lies inside the area as a whole, or is left out.
+    Other cells are cut into 4**``depth`` squares; what is still crossed keeps the segments that matter there, ``ray``
+    (those right of it, for the even-odd rule) and ``near``. Leaves are squares in parts of the cell, so they split it
+    without a gap whatever ``cell`` is. The cover, as large as the outlines, is stored: plans that read it stay small.
     """
+    c = F.col
+    room = margin + 1e-9 * max(cell, 1.0)
+
     def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+        return F.explode(F.sequence(F.floor((c(lo) - room) / cell), F.floor((c(hi) + room) / cell)))
+
+    def outer(e: Column, *names: str) -> tuple[Column, Column]:
+        return F.least(*[e[n] for n in names]), F.greatest(*[e[n] for n in names])
+
+    def judged(df: DataFrame) -> DataFrame:
+        x0, y0 = (c("_cx") + c("_u")) * cell, (c("_cy") + c("_v")) * cell
+        x1, y1 = x0 + c("_side") * cell, y0 + c("_side") * cell
+
+        def is_near(e: Column) -> Column:
+            (xa, xb), (ya, yb) = outer(e, "x1", "x2"), outer(e, "y1", "y2")
+            return (xa <= x1 + room) & (xb >= x0 - room) & (ya <= y1 + room) & (yb >= y0 - room)
+
+        def is_right(e: Column) -> Column:
+            (_, xb), (ya, yb) = outer(e, "x1", "x2"), outer(e, "y1", "y2")
+            return (xb >= x0 - room) & (ya <= y1 + room) & (yb >= y0 - room)
+
+        cut = df.withColumns({"near": F.filter("near", is_near), "ray": F.filter("ray", is_right)})
+        middle = contains(c("ray"), (x0 + x1) / 2, (y0 + y1) / 2)
+        return cut.withColumn("inner", (F.size("near") == 0) & middle).filter(c("inner") | (F.size("near") > 0))
+
+    step = 1.0 / (1 << depth)
+    squares = F.array(*[F.struct(F.lit(i * step).alias("u"), F.lit(j * step).alias("v"), F.lit(step).alias("s")) for i in range(1 << depth) for j in range(1 << depth)])
+    whole = F.array(F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(1.0).alias("s")))
+    cells = _extent(areas).withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1"))
+    out = judged(cells.select("area_id", "ordinal", "_cx", "_cy", F.lit(0.0).alias("_u"), F.lit(0.0).alias("_v"), F.lit(1.0).alias("_side"), c("edges").alias("near"), c("edges").alias("ray")))
+    split = out.withColumn("_q", F.explode(F.when(c("inner"), whole).otherwise(squares)))
+    out = judged(split.withColumns({"_u": c("_q.u"), "_v": c("_q.v"), "_side": c("_q.s")}).drop("_q", "inner"))
+    leaf = F.struct(c("_u").alias("u"), c("_v").alias("v"), c("_side").alias("side"), "inner", "near", "ray")
+    return pin(out.groupBy("area_id", "ordinal", "_cx", "_cy").agg(F.collect_list(leaf).alias("leaves")))  # at most 4**depth leaves
+
+
+def crowded(placed: DataFrame, keys: list[str], crowd: int) -> DataFrame:
+    """Keys with more rows than ``crowd`` and into how many parts each is dealt."""
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = F.greatest(F.lit(crowd).cast("double"), placed.select((F.count("*") / CROWDED_CELLS).alias("n")).scalar())
+    return counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+
 
-    covered = _extent(areas).withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1"))
+def meet_in_cells(placed: DataFrame, covered: DataFrame, key: str, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``placed`` and ``covered`` joined on ``keys``; ``hot`` keys are dealt to parts and the few areas there repeated."""
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = placed.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(key, "lon", "lat"), parts).cast("int")).drop("_parts")
+    spread = covered.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(spread, [*keys, "_part"])
+
+
+def _placed(points: DataFrame, cell: float, *more: str) -> DataFrame:
     x, y = F.col("lon"), F.col("lat")
-    placed = points.filter(x.isNotNull() & y.isNotNull()).select(
-        key, "lon", "lat", F.floor(x / cell).alias("_cx"), F.floor(y / cell).alias("_cy")
-    )
-    hits = placed.join(covered, ["_cx", "_cy"]).filter(
-        x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1")) & contains(F.col("edges"), x, y)
-    )
+    return points.filter(x.isNotNull() & y.isNotNull()).select(*more, "lon", "lat", F.floor(x / cell).alias("_cx"), F.floor(y / cell).alias("_cy"))
+
+
+def _in_leaf(cell: float, within: float | None = None) -> Column:
+    """Whether the point is in the area (or ``within`` of its outline), given the leaves of its cell."""
+    x, y = F.col("lon"), F.col("lat")
+    u, v = x / cell - F.col("_cx"), y / cell - F.col("_cy")
+
+    def holds(leaf: Column) -> Column:
+        here = (u >= leaf["u"]) & (u < leaf["u"] + leaf["side"]) & (v >= leaf["v"]) & (v < leaf["v"] + leaf["side"])
+        exact = contains(leaf["ray"], x, y)
+        if within is not None:
+            exact = exact | F.coalesce(edge_distance(leaf["near"], x, y) <= within, F.lit(False))
+        return here & (leaf["inner"] | exact)
+
+    return F.exists("leaves", holds)
+
+
+def locate(points: DataFrame, areas: DataFrame, key: str = "point_id", cell: float = 1.0, crowd: int = CROWD, covered: DataFrame | None = None) -> DataFrame:
+    """Area holding each point (the lowest ordinal where areas overlap), NULL where none does.
+
+    Points meet the areas' cover on the grid cell they share. Only points in a leaf that an outline crosses are tested
+    against segments, and only against those near it. Cells with more than ``crowd`` points are dealt to several tasks.
+    ``covered`` is a cover of the areas with this ``cell`` that is known already.
+    """
+    covered = cover(areas, cell) if covered is None else covered
+    placed, keys = _placed(points, cell, key), ["_cx", "_cy"]
+    hits = meet_in_cells(placed, covered, key, keys, crowded(placed, keys, crowd)).filter(_in_leaf(cell))
     first = hits.groupBy(key).agg(F.min_by("area_id", "ordinal").alias("area_id"))
     return points.join(first, key, "left")
 
 
 def check_declared_area(
     points: DataFrame, areas: DataFrame, declared: str, key: str = "point_id",
-    tolerance: float = ACCESS.edge_tolerance_deg,
+    tolerance: float = ACCESS.edge_tolerance_deg, cell: float = 1.0, crowd: int = CROWD,
 ) -> DataFrame:
     """R4: the real area of each point and how it agrees with the declared one.
 
     Only rows with a valid coordinate are judged. A point inside the declared area or within
-    ``tolerance`` of it is accepted whatever other area it fell into.
+    ``tolerance`` of it is accepted whatever other area it fell into. Suspects meet the cells of
+    their declared area (grown by the tolerance), not its whole outline.
     """
     valid = true("coord_valid")
     judged = points.filter(valid)
-    found = locate(judged.select(key, "lon", "lat"), areas, key).select(key, F.col("area_id").alias("real_area"))
+    covered = cover(areas, cell, tolerance)
+    found = locate(judged.select(key, "lon", "lat"), areas, key, cell, crowd, covered).select(key, F.col("area_id").alias("real_area"))
     out = points.join(found, key, "left")
-    outline = areas.select(F.col("area_id").alias(declared), F.col("edges").alias("_edges"))
     suspects = out.filter(valid & ~true(F.col("real_area") == F.col(declared)))
-    here = (F.col("_edges"), F.col("lon"), F.col("lat"))
-    near = suspects.join(outline, declared).filter(contains(*here) | (edge_distance(*here) <= tolerance)).select(key, F.lit(True).alias("_near"))
+    outline = covered.select(F.col("area_id").alias(declared), "_cx", "_cy", "leaves")
+    keys = [declared, "_cx", "_cy"]
+    # All judged points stand for the suspects among them: crowds are found without computing the suspects twice.
+    hot = crowded(_placed(judged, cell, key, declared), keys, crowd)
+    met = meet_in_cells(_placed(suspects, cell, key, declared), outline, key, keys, hot)
+    near = met.filter(_in_leaf(cell, tolerance)).select(key, F.lit(True).alias("_near")).distinct()
     return out.join(near, key, "left").withColumn(
         "area_state",
         F.when(~valid, "NO_EVALUADO").when(true("_near"), "OK_TOLERANCIA_BORDE")

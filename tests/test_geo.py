@@ -1,6 +1,7 @@
 """Areas, nearest neighbours, ids and samples against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -160,3 +161,86 @@ def test_unusable_cells_count_on_neither_side(spark):
     points = spark.createDataFrame([(1, "d", 5.0)], "point_id long, district string, imputed double")
     cells = spark.createDataFrame([("d", 5.0), ("d", float("nan")), ("d", float("inf")), ("d", -1.0)], "district string, value double")
     assert [(r.total_in, r.total_out, r.conserved) for r in geo.conservation(points, cells).collect()] == [(5.0, 5.0, True)]
+
+
+def star(cx, cy, size, n, rng):
+    """A jagged ring around a centre."""
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    return [(cx + size * rng.uniform(0.2, 1) * math.cos(t), cy + size * rng.uniform(0.2, 1) * math.sin(t)) for t in turns]
+
+
+def even_odd(rings, x, y):
+    inside = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                inside = not inside
+    return inside
+
+
+def outline_distance(rings, x, y):
+    best = math.inf
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            dx, dy = x2 - x1, y2 - y1
+            t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy or 1)))
+            best = min(best, math.hypot(x - x1 - t * dx, y - y1 - t * dy))
+    return best
+
+
+@pytest.fixture(scope="module")
+def jagged(spark):
+    rng = random.Random(3)
+    shapes = [[star(rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(0.3, 2.5), rng.randint(3, 40), rng)] for _ in range(12)]
+    shapes.append([star(0.5, 0.5, 3.5, 60, rng), star(0.5, 0.5, 0.6, 9, rng)])
+    rows = [(i, i, [[{"lon": x, "lat": y} for x, y in ring] for ring in rings]) for i, rings in enumerate(shapes)]
+    areas = spark.createDataFrame(rows, "area_id int, ordinal int, rings array<array<struct<lon:double,lat:double>>>")
+    points = [(i, rng.uniform(-4, 4), rng.uniform(-4, 4), i % 13) for i in range(600)] + [(1000 + i, 0.25, -0.25, 12) for i in range(900)]
+    points += [(3000 + i, float(i % 5 - 2), float(i // 5 - 2), 12) for i in range(25)] + [(4000, None, 1.0, 1), (4001, 1.0, None, 1)]
+    df = spark.createDataFrame([(*p, True) for p in points], "point_id int, lon double, lat double, said int, coord_valid boolean")
+    return shapes, areas.withColumn("edges", geo.ring_edges(F.col("rings"))), points, df
+
+
+@pytest.mark.parametrize("cell, crowd", [(1.0, 1_000_000), (0.3, 50), (7.0, 100)])
+def test_covered_areas_equal_the_even_odd_rule(jagged, cell, crowd):
+    shapes, areas, points, df = jagged
+    got = {r.point_id: r.area_id for r in geo.locate(df, areas, cell=cell, crowd=crowd).collect()}
+    for i, x, y, _ in points:
+        want = next((a for a, rings in enumerate(shapes) if even_odd(rings, x, y)), None) if None not in (x, y) else None
+        assert got[i] == want
+
+
+def test_declared_areas_by_cells_equal_the_whole_outline(jagged):
+    shapes, areas, points, df = jagged
+    got = {r.point_id: r.area_state for r in geo.check_declared_area(df, areas, "said", tolerance=0.05, crowd=40).collect()}
+    for i, x, y, said in points:
+        if None in (x, y):
+            continue
+        real = next((a for a, rings in enumerate(shapes) if even_odd(rings, x, y)), None)
+        near = real != said and (even_odd(shapes[said], x, y) or outline_distance(shapes[said], x, y) <= 0.05)
+        assert got[i] == ("OK" if real == said else "OK_TOLERANCIA_BORDE" if near else "FUERA_DE_TODO_DISTRITO" if real is None else "CONFLICTO")
+
+
+def test_most_leaves_of_a_large_area_need_no_outline(spark):
+    ring = [[{"lon": x, "lat": y} for x, y in ((0.1, 0.1), (9.9, 0.1), (9.9, 9.9), (0.1, 9.9))]]
+    areas = spark.createDataFrame([(1, 1, ring)], "area_id int, ordinal int, rings array<array<struct<lon:double,lat:double>>>").withColumn("edges", geo.ring_edges(F.col("rings")))
+    leaves = geo.cover(areas, 1.0).select(F.inline("leaves"))
+    inner = leaves.filter("inner").agg(F.sum(F.col("side") * F.col("side"))).first()[0]
+    border = leaves.filter("not inner").agg(F.sum(F.col("side") * F.col("side")), F.max(F.size("near"))).first()
+    assert inner >= 64 + 4 * 8 * 0.5 and border[0] <= 9.8 * 9.8 - 64 and border[1] <= 2
+
+
+def test_a_crowded_cell_is_read_by_many_tasks(spark, jagged):
+    _, areas, points, df = jagged
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "24")):
+            spark.conf.set(k, v)
+        placed, keys = geo._placed(df, 1.0, "point_id"), ["_cx", "_cy"]
+        met = geo.meet_in_cells(placed, geo.cover(areas, 1.0), "point_id", keys, geo.crowded(placed, keys, 40))
+        here = met.filter((F.col("lon") == 0.25) & (F.col("lat") == -0.25))
+        tasks = here.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("point_id").alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(tasks) >= 8 and sum(r.n for r in tasks) == 900 and max(r.n for r in tasks) < 300
