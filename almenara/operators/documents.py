@@ -5,8 +5,6 @@ Pages are ``doc, page, text``; fragments add ``n_in_page, id, chars``.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -205,27 +203,33 @@ def fragment_summary(chunks: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding
 Encoder = Callable[[list[str]], np.ndarray]
-_WORD = re.compile(r"\w+")
 
+#: Slots of a hashed vector.
+SLOTS = 384
+#: What parts words: every ASCII character that is neither letter nor digit.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-def hashed_encoder(dims: int = 384) -> Encoder:
-    """Signed word counts in ``dims`` slots; stands in wherever no language model is installed."""
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims), dtype=np.float32)
-        for row, text in zip(out, texts):
-            for word in _WORD.findall(text.lower()):
-                h = zlib.crc32(word.encode("utf-8"))
-                row[h % dims] += 1.0 if (h >> 16) & 1 else -1.0
-        return out
 
-    return encode
+def hashed_vectors(df: DataFrame, key: str, text: str, prefix: str = "", out: str = "embedding", slots: int = SLOTS) -> DataFrame:
+    """``key`` and a unit vector of signed word counts, entirely inside the JVM; ``key`` is unique.
 
-
-def encode(
-    df: DataFrame, text: str, make_encoder: Callable[[], Encoder] = hashed_encoder,
-    prefix: str = "passage: ", out: str = "embedding",
-) -> DataFrame:
-    """Unit-length vectors. The encoder is made once per task and sees one Arrow batch at a time."""
+    A word's MD5 sum gives its slot (first eight digits) and its sign (ninth). Counts are added per key and slot on the
+    map side, so what is shuffled is no larger than the vectors. The vector of a text without words is zero.
+    """
+    words = F.split(F.lower(F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))), NO_WORD)
+    each = df.select(F.col(key).alias("_key"), F.explode_outer(words).alias("_word")).withColumn("_sum", F.md5("_word"))
+    slot = F.pmod(F.conv(F.substring("_sum", 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
+    sign = F.when(F.col("_word") == "", 0).when(F.substring("_sum", 9, 1) < "8", 1).otherwise(-1)
+    counts = each.groupBy("_key", slot.alias("_slot")).agg(F.sum(sign).cast("double").alias("_n"))
+    rows = counts.groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("_slot", "_n"))).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm")
+    )  # at most ``slots`` entries
+    value = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("_m", i), F.col("_norm")), F.lit(0.0)))
+    return rows.select(F.col("_key").alias(key), value.alias(out))
+
+
+def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix: str = "passage: ", out: str = "embedding") -> DataFrame:
+    """Unit-length vectors of a model. The encoder is made once per task and sees one Arrow batch at a time."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_encoder()
@@ -237,9 +241,20 @@ def encode(
     return df.withColumn(out, run(F.col(text)))
 
 
-def encode_passages(df: DataFrame, text: str = "text", **kw) -> DataFrame:
-    return encode(df, text, prefix="passage: ", **kw)
+def _encoded(df: DataFrame, text: str, key: str | None, prefix: str, make_encoder: Callable[[], Encoder] | None) -> DataFrame:
+    if make_encoder is not None:
+        return encode(df, text, make_encoder, prefix)
+    if key is not None:
+        return df.join(hashed_vectors(df, key, text, prefix), key)
+    # A text is its own key: copies add up to a multiple of one vector, which has the same direction.
+    marked = df.withColumn("_text", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7919), text).alias("b")))
+    return marked.join(hashed_vectors(marked, "_text", text, prefix), "_text").drop("_text")
+
+
+def encode_passages(df: DataFrame, text: str = "text", key: str | None = None, make_encoder: Callable[[], Encoder] | None = None) -> DataFrame:
+    """``df`` with ``embedding``: of a model, or hashed word counts where none is given. A unique ``key`` saves the join on texts."""
+    return _encoded(df, text, key, "passage: ", make_encoder)
 
 
-def encode_queries(df: DataFrame, text: str = "text", **kw) -> DataFrame:
-    return encode(df, text, prefix="query: ", **kw)
+def encode_queries(df: DataFrame, text: str = "text", key: str | None = None, make_encoder: Callable[[], Encoder] | None = None) -> DataFrame:
+    return _encoded(df, text, key, "query: ", make_encoder)

@@ -111,8 +111,21 @@ def _sweep(t):
     )
 
 
-@query("passage_vectors", ("documents",))
+#: Signed word counts in 384 slots by MD5, as (key, slot, n) rows without zeros.
+def hashed_sql(name: str, table: str, key: str, prefix: str) -> str:
+    return rf"""{name}_w AS (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower(concat('{prefix}', coalesce(text, ''))), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS w FROM {table}),
+{name} AS (SELECT k, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS INTEGER) AS slot, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS n FROM {name}_w GROUP BY 1, 2 HAVING n <> 0),
+{name}_n AS (SELECT k, sqrt(sum(n * n)) AS norm FROM {name} GROUP BY 1)"""
+
+
+@query("passage_vectors", (), f"""WITH {hashed_sql("hp", "documents", "doc_id", "passage: ")}
+SELECT k AS doc_id, 384 AS dims, round(sqrt(sum((n / norm) * (n / norm))), 4) AS norm, CAST(count(*) AS INTEGER) AS used, round(sum((slot + 1) * n / norm), 4) AS moment
+FROM hp JOIN hp_n USING (k) GROUP BY k""")
 def _vectors(t):
-    v = ops.encode_passages(t.documents.select("doc_id", "text"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return v.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
+    v = ops.encode_passages(t.documents.select("doc_id", "text"), key="doc_id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select(
+        "doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), F.round(moment, 4).alias("moment"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from almenara.operators import documents as docs
 from almenara.operators import index
 from almenara.operators import retrieval as ops
-from almenara.plans.document_queries import _FIXED
+from almenara.plans.document_queries import _FIXED, hashed_sql
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
 from almenara.session import pin
@@ -131,24 +131,6 @@ def _margins(t):
     return ops.control_margins(_experiment(t))
 
 
-@query("ranking_comparison", ("retrieval",), f""", {_search_sql(5, 'ha', 'c.label % 2 = 0')}, {_search_sql(5, 'hb')}, {_QS},
-ra AS (SELECT qs.query_id, qs.style, min(rank) FILTER (WHERE relevant) AS r FROM qs LEFT JOIN ha ON qs.query_id = ha.query_id WHERE kind = 'in_domain' GROUP BY 1, 2),
-rb AS (SELECT qs.query_id, min(rank) FILTER (WHERE relevant) AS r FROM qs LEFT JOIN hb ON qs.query_id = hb.query_id WHERE kind = 'in_domain' GROUP BY 1)
-SELECT style, count(*) AS queries, {pct('count(*) FILTER (WHERE ra.r <= 3)', 'count(*)', 1)} AS pct_lexical, {pct('count(*) FILTER (WHERE rb.r <= 3)', 'count(*)', 1)} AS pct_semantic
-FROM ra JOIN rb ON ra.query_id = rb.query_id GROUP BY style""")
-def _rankings(t):
-    wanted = _queries(t).select("query_id", F.col("label").alias("want"))
-    labels = _corpus(t).select("id", "label")
-
-    def judged(corpus):
-        hits = ops.semantic_search(corpus, _queries(t), 5)
-        return hits.join(labels, "id").join(wanted, "query_id").withColumn("relevant", F.col("label") == F.col("want"))
-
-    return ops.compare_rankings(
-        _queries(t).select("query_id", "kind", "style"), judged(_corpus(t).filter("label % 2 = 0")), judged(_corpus(t))
-    )
-
-
 @query("filter_effect", ("retrieval",), f""", {_search_sql(10, 'ht')}, {_search_sql(10, 'hf', 'c.label = q.label')}, {_QS},
 a AS (SELECT label, count(*) AS retrieved_text, count(*) FILTER (WHERE relevant) AS match_text FROM ht JOIN qs ON ht.query_id = qs.query_id GROUP BY label),
 b AS (SELECT label, count(*) AS retrieved_filter, count(*) FILTER (WHERE relevant) AS match_filter FROM hf JOIN qs ON hf.query_id = qs.query_id GROUP BY label)
@@ -237,13 +219,38 @@ def _bm25_first(t):
     return ops.first_hit(_items(t), _contains_item(t, _lexical(t))).select("query_id", "first_rank", "top_similarity")
 
 
-@query("lexical_and_semantic_by_style")
+_HASHED = f""", {hashed_sql("hd", "documents", "doc_id", "passage: ")}, {hashed_sql("hq", "benchmark", "item_id", "query: ")},
+hs AS (SELECT q.k AS query_id, d.k AS id, round(sum(q.n * d.n) / any_value(qn.norm * dn.norm), 6) AS similarity
+  FROM hq q JOIN hd d USING (slot) JOIN hq_n qn ON qn.k = q.k JOIN hd_n dn ON dn.k = d.k GROUP BY 1, 2),
+hv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM hs)"""
+
+
+def _compared_sql(within: int) -> str:
+    def first(hits: str) -> str:
+        return f"""(SELECT b.item_id, min(h.rank) FILTER (WHERE contains(d.text, b.text)) AS r FROM benchmark b
+  LEFT JOIN (SELECT * FROM {hits} WHERE rank <= 5) h ON h.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = h.id GROUP BY 1)"""
+
+    return f"""WITH x AS (SELECT 1){_BM25}{_HASHED}
+SELECT CASE WHEN l.item_id % 3 = 0 THEN 'colloquial' ELSE 'formal' END AS style, count(*) AS queries,
+{pct(f'count(*) FILTER (WHERE l.r <= {within})', 'count(*)', 1)} AS pct_lexical, {pct(f'count(*) FILTER (WHERE v.r <= {within})', 'count(*)', 1)} AS pct_semantic
+FROM {first('bm')} l JOIN {first('hv')} v USING (item_id) GROUP BY 1"""
+
+
+def _compared(t, within):
+    """BM25 and hashed vectors over all documents and items."""
+    corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text"), key="id").select("id", "embedding")
+    asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), key="query_id").select("query_id", "embedding")
+    return ops.compare_rankings(_items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5)), within)
+
+
+@query("lexical_and_semantic_by_style", (), _compared_sql(3))
 def _styles(t):
-    corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text")).select("id", "embedding")
-    asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", "embedding")
-    return ops.compare_rankings(
-        _items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5))
-    )
+    return _compared(t, 3)
+
+
+@query("ranking_comparison", (), _compared_sql(1))
+def _rankings(t):
+    return _compared(t, 1)
 
 
 _THEMES = {"T1": "(license|licence)", "T2": "the ", "T3": r"\d{3}", "T4": "(apache|mit license)", "T5": "zzzz", "T6": "tion"}
@@ -293,12 +300,10 @@ def _sizes(t):
     sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in CHUNK_SWEEP])
     pages = t.documents.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
     chunks = docs.chunk_pages(pages.select("*", F.inline(sizes)))
-    vectors = docs.encode_passages(chunks).select(
-        F.concat_ws("|", F.col("size").cast("string"), "id").alias("id"), "doc", "size", "chars", "text", "embedding"
-    )
-    vectors = pin(vectors)
-    asked = docs.encode_queries(t.benchmark.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size")))
-    asked = asked.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), F.col("item_id").cast("string")))
+    chunks = chunks.withColumn("id", F.concat_ws("|", F.col("size").cast("string"), "id")).select("id", "doc", "size", "chars", "text")
+    vectors = pin(docs.encode_passages(chunks, key="id").drop("text"))
+    each = t.benchmark.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size"))
+    asked = docs.encode_queries(each.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), F.col("item_id").cast("string"))), key="query_id")
     hits = ops.semantic_search(vectors, asked.select("query_id", "size", "embedding"), 5, scope="size")
     whole = t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
     judged = (

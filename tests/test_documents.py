@@ -1,5 +1,8 @@
 """Cleaning, the splitter and encoding."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -80,3 +83,17 @@ def test_encoder_can_be_replaced(spark):
 
     df = spark.createDataFrame([("abc",)], "text string")
     assert ops.encode(df, "text", make, prefix="").first().embedding == [1.0, 0.0]
+
+
+def test_hashed_vectors_are_signed_word_counts(spark):
+    texts = ["The the tree, naïve!", "", None, "a b c " * 200, "x" * 5000, "--- ..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.embedding for r in ops.hashed_vectors(df, "id", "text", "p: ").collect()}
+    for i, text in enumerate(texts):
+        want = np.zeros(ops.SLOTS)
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", ("p: " + (text or "")).lower()):
+            digits = hashlib.md5(word.encode()).hexdigest()
+            want[int(digits[:8], 16) % ops.SLOTS] += 1 if digits[8] < "8" else -1
+        assert got[i] == pytest.approx(list(want / np.linalg.norm(want)))
+    bare = {r.id: r.embedding for r in ops.hashed_vectors(df, "id", "text").collect()}
+    assert set(bare) == set(range(6)) and all(not any(bare[i]) for i in (1, 2, 5))
