@@ -38,6 +38,8 @@ from almenara.session import pin
 K = 50
 LEAF = 64
 CHUNK = 4_000_000
+#: Ranges are told apart by which of so many commonest terms a document holds; only these bits are sampled by Spark.
+HEAD = 256
 QUERY_BYTES = 32 << 20
 #: Tasks whose results are merged in one slice before all slices are.
 SLICE = 64
@@ -107,7 +109,7 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordered(batches: Iterable[pa.RecordBatch], rank: np.ndarray, documents: int, total: int) -> Iterator[pa.RecordBatch]:
-    """Vectors in order of term rank, with the length norm m."""
+    """Vectors in order of term rank, with the length norm m and, as a few bytes that sort alike, the commonest terms."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,7 +119,11 @@ def ordered(batches: Iterable[pa.RecordBatch], rank: np.ndarray, documents: int,
         order = np.lexsort((rank[terms], owner))
         m = NORM_BASE + NORM_BASE * np.asarray(batch.column(1)).astype(np.int64) * documents // total
         lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values[order].astype(np.int32))) for values in (rank[terms], counts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m), *lists], names=["key", "m", "path", "counts"])
+        head = np.zeros((batch.num_rows, HEAD // 8), np.uint8)
+        early = rank[terms] < HEAD
+        np.bitwise_or.at(head, (owner[early], rank[terms][early] >> 3), (128 >> (rank[terms][early] & 7)).astype(np.uint8))
+        heads = pa.array([row.tobytes() for row in ~head], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m), *lists, heads], names=["key", "m", "path", "counts", "head"])
 
 
 def gain(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -324,10 +330,10 @@ def block(documents: DataFrame, asked: list[tuple[object, str | None]], kind: st
         terms = np.asarray(sorted(rank[number[t]] for t in by_key[name] if frequency[number[t]]), np.int64)
         queries.append((terms, weight[terms]))
     shared = spark.sparkContext.broadcast((rank, queries))
-    vectored = held.filter(F.size("terms") > 0).mapInArrow(lambda batches: ordered(batches, shared.value[0], n, total), "key long, m long, path array<int>, counts array<int>")
+    vectored = held.filter(F.size("terms") > 0).mapInArrow(lambda batches: ordered(batches, shared.value[0], n, total), "key long, m long, path array<int>, counts array<int>, head binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     along = (F.col("path"), F.col("counts"), F.col("m"), F.col("key").asc_nulls_last())
-    dealt = vectored.repartitionByRange(parts, *along).sortWithinPartitions(*along)
+    dealt = vectored.repartitionByRange(parts, "head", "key").drop("head").sortWithinPartitions(*along)
     width = len(order)
     found = dealt.mapInArrow(lambda batches: walk(batches, shared.value[1], width, k, chunk), "query int, doc long, score long")
     sliced = top(found.withColumn("slice", F.floor(F.spark_partition_id() / SLICE)), ["query", "slice"], k).drop("rank", "slice")
