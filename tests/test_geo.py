@@ -244,3 +244,23 @@ def test_a_crowded_cell_is_read_by_many_tasks(spark, jagged):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(tasks) >= 8 and sum(r.n for r in tasks) == 900 and max(r.n for r in tasks) < 300
+
+
+@pytest.mark.parametrize("cap", [7, 5000, 11000])
+def test_draws_beyond_a_thousand_equal_ranking_all_keys(spark, cap):
+    """The default cap on a hot stratum with many equal weights, against a ranking of every draw key."""
+    rows = spark.range(9000).select(
+        F.col("id").alias("point_id"), F.when(F.col("id") % 10 < 7, 1).otherwise(F.col("id") % 5).cast("int").alias("district"),
+        F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, 5.0).otherwise((F.col("id") % 97) * 1e6).alias("weight"), F.lit("x").alias("extra"))
+    drawn = sampling.draw_sample(rows, cap)
+    assert drawn.columns == rows.columns
+    got = {r.point_id for r in drawn.collect()}
+    quota = {r.district: r.quota for r in sampling.quotas(rows, cap).collect()}
+    keys = rows.withColumn("k", F.round(sampling.draw_key("point_id", "weight", sampling.ACCESS.seed), 12)).collect()
+    want = set()
+    for d, q in quota.items():
+        own = [r for r in keys if r.district == d]
+        forced = max(own, key=lambda r: (r.weight, -r.point_id)).point_id
+        order = sorted((r for r in own if r.point_id != forced), key=lambda r: (-r.k, r.point_id))
+        want |= {forced, *(r.point_id for r in order[: q - 1])}
+    assert got == want and drawn.count() == len(got)
