@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almenara.operators.ordered import top_n
@@ -53,30 +53,29 @@ def draw_key(key: str, weight: str, seed: int):
     return F.ln(u) / F.greatest(F.col(weight).cast("double"), F.lit(1e-9))
 
 
-#: Draw keys are counted in buckets of 1/64 on a logarithmic scale; the bucket at the edge is cut into so many again.
-STEPS, FINE = 64, 4096
-#: The scale ends here; keys beyond share the outermost buckets.
-END = 4000
+#: Draw keys are counted in buckets of 1/1024 on a logarithmic scale, so the bucket at an edge holds about a thousandth of a stratum.
+STEPS = 1024
+#: The scale ends at this power of e; keys beyond share the outermost buckets.
+END = 64
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """``_b1, _b2``: coarse and fine bucket of the draw key, smaller for keys that are drawn earlier."""
-    place = F.coalesce(F.ln(-F.col("_key")) * STEPS, F.lit(float(-END)))
-    kept = F.greatest(F.least(place, F.lit(float(END))), F.lit(float(-END)))
-    return rows.withColumn("_b1", F.floor(kept).cast("int")).withColumn("_b2", F.least(F.floor((kept - F.col("_b1")) * FINE), F.lit(FINE - 1)).cast("int"))
+def _bucket() -> Column:
+    """The bucket of the draw key, smaller for keys that are drawn earlier."""
+    place = F.coalesce(F.ln(-F.col("_key")), F.lit(float(-END)))
+    return F.floor(F.greatest(F.least(place, F.lit(float(END))), F.lit(float(-END))) * STEPS).cast("int")
 
 
-def _edge(rows: DataFrame, need: DataFrame, by: str, bucket: str) -> DataFrame:
+def _edges(rows: DataFrame, need: DataFrame, by: str) -> DataFrame:
     """The bucket in which a stratum's ``_need`` ends, and how many rows of that bucket are still needed.
 
-    Only counts per bucket, at most ``2 * END`` or ``FINE`` a stratum, are brought together. A stratum that has no more
-    rows than it needs has no edge.
+    Only counts per bucket, at most ``2 * END * STEPS`` a stratum, are brought together. A stratum that has no more rows
+    than it needs has no edge.
     """
-    counts = rows.groupBy(by, bucket).agg(F.count("*").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by).orderBy(bucket)))
+    counts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket")))
     before = F.col("_upto") - F.col("_n")
     return upto.join(need, by).filter((F.col("_upto") > F.col("_need")) & (before <= F.col("_need"))).select(
-        by, F.col(bucket).alias(f"_edge{bucket}"), (F.col("_need") - before).alias("_need")
+        by, F.col("_bucket").alias("_edge"), (F.col("_need") - before).alias("_need")
     )
 
 
@@ -86,24 +85,22 @@ def draw_sample(
 ) -> DataFrame:
     """The heaviest point of each stratum and a weighted draw of the rest, up to the quota.
 
-    A stratum's quota is a threshold on its draw keys, found from a histogram that is refined in the bucket at the edge.
-    Points are filtered where they lie, whatever the cap; only those of the last fine bucket are ranked.
+    A stratum's quota is a threshold on its draw keys, found from a histogram. Points are filtered where they lie,
+    whatever the cap; only those of the bucket at the edge are ranked.
     """
     heaviest = points.groupBy(by).agg(F.max(F.struct(F.col("weight"), (-F.col(key)).alias("m"))).alias("_h"))
-    need = pin(quotas(points, cap, by).select(by, (F.col("quota") - 1).alias("_need")))
+    need = quotas(points, cap, by).select(by, (F.col("quota") - 1).alias("_need"))
     ready = points.join(heaviest, by).withColumns({
         "_forced": F.col(key) == -F.col("_h.m"), "_key": F.round(draw_key(key, "weight", seed), 12),
     }).drop("_h")
-    rest = _bucketed(ready.filter(~F.col("_forced")))
-    first = pin(_edge(rest, need, by, "_b1"))
-    second = pin(_edge(rest.join(first.drop("_need"), by).filter(F.col("_b1") == F.col("_edge_b1")), first.select(by, "_need"), by, "_b2"))
-    marked = rest.join(first.select(by, "_edge_b1"), by, "left").join(second, by, "left")
-    at_edge = F.col("_b1") == F.col("_edge_b1")
-    inside = F.col("_edge_b1").isNull() | (F.col("_b1") < F.col("_edge_b1")) | (at_edge & (F.col("_b2") < F.col("_edge_b2")))
-    last = marked.filter(at_edge & (F.col("_b2") == F.col("_edge_b2")))
+    rest = ready.filter(~F.col("_forced")).withColumn("_bucket", _bucket())
+    # One row per stratum, read by both filters below.
+    marked = rest.join(F.broadcast(pin(_edges(rest, need, by))), by, "left")
+    inside = F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))
+    last = marked.filter(F.col("_bucket") == F.col("_edge"))
     ranked = top_n(last, [by], [F.desc("_key"), F.asc(key)], cap, spread=[key], rank="_rank").filter(F.col("_rank") <= F.col("_need"))
-    drawn = [ready.filter("_forced"), marked.filter(inside), ranked]
-    return drawn[0].select(*points.columns).unionByName(drawn[1].select(*points.columns)).unionByName(drawn[2].select(*points.columns))
+    forced, early, at_edge = (part.select(*points.columns) for part in (ready.filter("_forced"), marked.filter(inside), ranked))
+    return forced.unionByName(early).unionByName(at_edge)
 
 
 def expansion_weights(sample: DataFrame, points: DataFrame, by: str = "district") -> DataFrame:
