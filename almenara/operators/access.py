@@ -445,6 +445,12 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     )
 
 
+def histogram_with_median(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """:func:`histogram` and, on every row, the median of the values themselves (not clipped); NULL without values."""
+    middle = quantiles(df, [], value, {"median": 0.5}).select(F.round("median", 6)).scalar()
+    return histogram(df, value, low, high, bins).withColumn("median", middle)
+
+
 def clipped_to_quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
     """Column ``out``: the value cut at its own quantile."""
     top = quantiles(df, [], value, {"_q": q}).scalar()

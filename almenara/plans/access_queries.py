@@ -148,10 +148,11 @@ def _ecdf(t):
 
 @query("time_histogram", ("access",), """, c AS (SELECT least(floor(greatest(least(t_min, 300), 0) / 7.5), 39) AS bin, count(*) AS rows
   FROM access WHERE t_min IS NOT NULL GROUP BY 1)
-SELECT CAST(r.bin AS INTEGER) AS bin, r.bin * 7.5::DOUBLE AS bin_from, coalesce(c.rows, 0) AS rows
+SELECT CAST(r.bin AS INTEGER) AS bin, r.bin * 7.5::DOUBLE AS bin_from, coalesce(c.rows, 0) AS rows,
+  round((SELECT quantile_cont(t_min, 0.5) FROM access), 6) AS median
 FROM range(40) r(bin) LEFT JOIN c ON r.bin = c.bin""")
 def _histogram(t):
-    return ops.histogram(t.access, "t_min", 0, 300, 40)
+    return ops.histogram_with_median(t.access, "t_min", 0, 300, 40)
 
 
 @query("heat_weights", ("points",), """SELECT point_id, round(least(weight / (SELECT quantile_cont(weight, 0.99)

@@ -174,3 +174,10 @@ def test_bands_follow_their_edges(spark):
     default = [r.b for r in df.select(ops.time_band(F.col("t"), F.lit(False)).alias("b")).collect()]
     moved = [r.b for r in df.select(ops.time_band(F.col("t"), F.lit(False), (50, 60, 120)).alias("b")).collect()]
     assert ACCESS.bands_min == (30, 60, 120) and default[0] != default[1] and moved == [default[0]] * 2
+
+
+def test_histogram_with_the_median_of_unclipped_values(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 9.0, 500.0, None)], "t double")
+    rows = ops.histogram_with_median(df, "t", 0, 10, 5).collect()
+    assert [r["rows"] for r in sorted(rows, key=lambda r: r.bin)] == [1, 1, 0, 0, 2] and {r["median"] for r in rows} == {5.5}
+    assert {r["median"] for r in ops.histogram_with_median(df.filter("t is null"), "t", 0, 10, 5).collect()} == {None}
