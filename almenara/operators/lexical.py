@@ -30,7 +30,7 @@ ROOM = 1e-5
 #: Terms of all queries, and terms of queries, are broadcast up to these numbers; beyond, Spark joins by shuffle.
 BROADCAST_TERMS = 500_000
 #: So many times k documents are scored in full to set a query's bar.
-LEAD = 4
+LEAD = 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
