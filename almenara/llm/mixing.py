@@ -6,14 +6,17 @@ floor(r) times, and once more those whose hash lies under a threshold.
 
 The threshold is found without sorting. Words are summed by source and the first ``STEP`` bits of the documents'
 hashes; running sums give the bucket in which the budget ends; only that bucket is cut again by the next bits,
-``LEVELS`` times. The documents of the last bucket, which share ``STEP * LEVELS`` bits, are taken together if that
-comes nearer to the budget. A larger budget takes all that a smaller one takes. Documents are then filtered where
-they lie. Histograms have at most sources x 2**STEP rows; a source with a third of all rows is summed on the map
-side like any other.
+``LEVELS`` times. Documents are then filtered where they lie. Histograms have at most sources x 2**STEP rows; a
+source with a third of all rows is summed on the map side like any other.
+
+The rows of the last bucket share ``STEP * LEVELS`` bits: usually one row, or rows of equal id and text. Of them as
+many are taken as come nearest to the budget, each if over half of it fits. Many equal rows are numbered by the task
+that read them: tasks are counted, running totals over the tasks say how much of the budget each may still take.
 
 Sizes are runs of characters other than white space; null text has size 0 and its hash is that of no text. Sources go
-by code point, null last and a source of its own. Sources without words have target 0. Equal rows (id and text)
-share one decision. An empty table gives an empty mix. ``copies`` replaces a column of that name.
+by code point, null last and a source of its own. Sources without words have target 0. Which of several equal rows
+(id and text) are taken once more is open, their number is not. An empty table gives an empty mix. ``copies``
+replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -65,25 +68,24 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
-    """``goal`` with ``edge``, the place at which the budget ends, and whether documents at that place are taken."""
+    """``goal`` with ``edge``, the place at which the budget ends, ``before``, the words below it, and ``edge_rows`` there."""
     n = goal.count()
-    state = goal.withColumn("edge", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long")).withColumn("words", F.lit(0).cast("long"))
+    state = goal.withColumn("edge", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
     for level in range(LEVELS):
         rest = STEP * (LEVELS - 1 - level)
         now = small(state.select(F.col("source").alias("_source"), F.col("edge").alias("_edge")), n, BROADCAST_SOURCES)
         inside = sizes.join(now, F.col("source").eqNullSafe(F.col("_source")) & (F.shiftright("place", rest + STEP) == F.col("_edge")))
-        histogram = inside.groupBy("source", F.shiftright("place", rest).alias("bucket")).agg(F.sum("size").alias("words"))
+        histogram = inside.groupBy("source", F.shiftright("place", rest).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("_rows"))
         running = histogram.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-        ends = running.select(F.col("source").alias("_s"), "bucket", F.col("words").alias("_words"), "upto")
+        ends = running.select(F.col("source").alias("_s"), "bucket", F.col("words").alias("_words"), "_rows", "upto")
         cut = ends.join(small(state, n, BROADCAST_SOURCES), F.col("_s").eqNullSafe(F.col("source"))).withColumn("_after", F.col("before") + F.col("upto"))
         cut = cut.filter((F.col("_after") > F.col("budget")) & (F.col("_after") - F.col("_words") <= F.col("budget")))
-        found = cut.select("_s", "bucket", (F.col("_after") - F.col("_words")).alias("_before"), "_words")
+        found = cut.select("_s", "bucket", (F.col("_after") - F.col("_words")).alias("_before"), "_rows")
         # A source with no words has no bucket: nothing of it is taken.
         state = pin(goal.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            *goal.columns, F.coalesce("bucket", F.lit(-1)).alias("edge"), F.coalesce("_before", F.lit(0)).alias("before"), F.coalesce("_words", F.lit(0)).alias("words")
+            *goal.columns, F.coalesce("bucket", F.lit(-1)).alias("edge"), F.coalesce("_before", F.lit(0)).alias("before"), F.coalesce("_rows", F.lit(0)).alias("edge_rows")
         ))
-    nearer = (F.col("before") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("before"))
-    return state.select(*goal.columns, "edge", nearer.alias("edge_taken"))
+    return state
 
 
 def plan(sizes: DataFrame) -> DataFrame:
@@ -91,16 +93,38 @@ def plan(sizes: DataFrame) -> DataFrame:
     return thresholds(sizes, pin(targets(sizes)))
 
 
-def copies(place: Column) -> Column:
-    """How often a document is taken, given its source's row of ``plan``."""
-    once_more = (place < F.col("edge")) | ((place == F.col("edge")) & F.col("edge_taken"))
-    return F.col("passes") + F.when(once_more, 1).otherwise(0)
+def decided(rows: DataFrame, goal: DataFrame, source: str = "source", size: str = "size", place: str = "place") -> DataFrame:
+    """``rows`` with ``source_size``, ``target`` and ``copies``, how often each is taken; ``goal`` is their ``plan``."""
+    own = goal.select(F.col("source").alias("_source"), "source_size", "target", "passes", "budget", "edge", "before", "edge_rows")
+    n, most = goal.agg(F.count(F.lit(1)), F.coalesce(F.max("edge_rows"), F.lit(0))).first()
+    joined = rows.join(small(own, n, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source")))
+    out = [*rows.columns, "source_size", "target"]
+
+    def taken(upto: Column) -> Column:
+        return F.col("passes") + F.when(2 * upto - F.col(size) < 2 * F.col("budget"), 1).otherwise(0)
+
+    alone = F.when(F.col(place) < F.col("edge"), F.col("passes") + 1).when(F.col(place) > F.col("edge"), F.col("passes")).otherwise(taken(F.col("before") + F.col(size)))
+    if most <= 1:
+        return joined.select(*out, alone.alias("copies"))
+    at_edge = (F.col(place) == F.col("edge")) & (F.col("edge_rows") > 1)
+    # Row numbers are stored with the rows, so that a task that runs again decides alike.
+    edge = pin(joined.filter(at_edge).withColumn("_row", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_row", 33)))
+    tasks = edge.groupBy("_source", "_task").agg(F.sum(size).alias("_words"))
+    tasks = pin(tasks.select(
+        F.col("_source").alias("_s"), F.col("_task").alias("_t"), (F.sum("_words").over(Window.partitionBy("_source").orderBy("_task")) - F.col("_words")).alias("_base")
+    ))
+    numbered = edge.withColumn("_upto", F.sum(size).over(Window.partitionBy("_source", "_task").orderBy("_row")))
+    numbered = numbered.join(small(tasks, tasks.count(), BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_task") == F.col("_t")))
+    shared = numbered.select(*out, taken(F.col("before") + F.col("_base") + F.col("_upto")).alias("copies"))
+    return joined.filter(~at_edge).select(*out, alone.alias("copies")).unionByName(shared)
 
 
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``documents`` with ``copies``: how often the mix takes each, 0 to ``MAX_EPOCHS``."""
     documents = documents.drop("copies")
     goal = plan(pin(sized(documents, key, text, source)))
-    own = goal.select(F.col("source").alias("_source"), "passes", "edge", "edge_taken")
-    joined = documents.withColumn("_place", place(key, text)).join(small(own, goal.count(), BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source")))
-    return joined.select(*documents.columns, copies(F.col("_place")).alias("copies"))
+    # Clashing names are kept apart by packing the row.
+    packed = documents.select(
+        F.struct(*documents.columns).alias("_doc"), F.col(source).alias("_own"), count_between(F.col(text), SEPARATORS).alias("_size"), place(key, text).alias("_place")
+    )
+    return decided(packed, goal, "_own", "_size", "_place").select("_doc.*", "copies")

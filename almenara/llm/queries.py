@@ -57,9 +57,8 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_mixing_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     sizes = pin(mixing.sized(table(spark, folder, "documents")))
-    goal = mixing.plan(sizes).withColumnRenamed("source", "_source")
-    joined = sizes.join(small(goal, goal.count(), mixing.BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * mixing.copies(F.col("place"))).alias("taken"))
+    rows = mixing.decided(sizes, mixing.plan(sizes))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLES["op4_mixing_thresholds"] = r"""
@@ -72,9 +71,9 @@ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size * 3) OV
 t AS (SELECT *, least(CAST(source_size * 3 AS DOUBLE), coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1), 0.0) * weight) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
 c AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.passes, g.target - g.passes * g.source_size AS budget,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.place) AS own
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN 2 * upto - size < 2 * budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
 
