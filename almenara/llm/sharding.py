@@ -4,9 +4,10 @@ A record draws a number in (0, 1) for every shard from the MD5 sum of key and sh
 the largest weight / -ln(draw): a shard's share is its weight's share, and a further shard takes records only into
 itself. Key and shards decide alone; no record looks at another, so nothing moves to find the shard.
 
-Slots number the records of a shard from 0 without a gap. A shard is cut into 2**CUT parts by the key's hash; parts
-are counted, and the running totals (shards x 2**CUT rows, whatever the table's size) give each part its first slot.
-Equal rows are counted once with their number and spread again at the end, so one key may hold any share of the rows.
+Slots number the records of a shard from 0 without a gap. A shard is cut into 2**CUT parts by the hash of key, size
+and checksum; parts are counted, and the running totals (shards x 2**CUT rows, whatever the table's size) give each
+part its first slot. Equal rows are counted once with their number and spread again at the end, ``SPREAD`` at a time,
+so one key may hold any share of the rows, with one text or with many.
 
 A null key is a key like any other. Null text has no bytes and checksum 0. Ties between rows of one key are broken by
 size and checksum; equal rows get consecutive slots. Columns ``shard`` and ``grown_shard`` are replaced.
@@ -23,6 +24,7 @@ from almenara.llm.columns import first_bits
 
 CUT = 12
 SHARDS = 16
+SPREAD = 10_000
 
 
 def _key(key: str) -> Column:
@@ -51,7 +53,7 @@ def placed(documents: DataFrame, key: str = "doc_id", text: str = "text", weight
     clean = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(key).alias("_key"), (F.octet_length(clean) + 1).cast("long").alias("size"), F.crc32(clean.cast("binary")).alias("text_crc32"))
     rows = rows.groupBy("_key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    rows = assign(rows, "_key", weights, further).withColumn("part", first_bits(_key("_key"), CUT))
+    rows = assign(rows, "_key", weights, further).withColumn("part", first_bits(F.concat_ws(":", _key("_key"), "size", "text_crc32"), CUT))
     counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("shard").orderBy("part"))
     # At most shards x 2**CUT rows.
@@ -59,4 +61,6 @@ def placed(documents: DataFrame, key: str = "doc_id", text: str = "text", weight
     order = Window.partitionBy("shard", "part").orderBy(F.col("_key").isNotNull(), "_key", "size", "text_crc32")
     numbered = rows.withColumn("upto", F.sum("n").over(order)).join(first, (F.col("shard") == F.col("_shard")) & (F.col("part") == F.col("_part")))
     start = F.col("base") + F.col("upto") - F.col("n")
-    return numbered.select(F.col("_key").alias(key), "size", "text_crc32", "shard", F.explode(F.sequence(start, start + F.col("n") - 1)).alias("slot"), "grown_shard")
+    kept = [F.col("_key").alias(key), "size", "text_crc32", "shard"]
+    runs = numbered.withColumn("end", start + F.col("n") - 1).withColumn("start", F.explode(F.sequence(start, F.col("end"), F.lit(SPREAD).cast("long"))))
+    return runs.select(*kept, F.explode(F.sequence("start", F.least(F.col("start") + SPREAD - 1, F.col("end")))).alias("slot"), "grown_shard")
