@@ -9,9 +9,12 @@ Copies of one article under several addresses count once, so copying a page does
 
 Besides, what names itself as no part of the article goes: menus, page headers, footers, sidebars, notices, adverts,
 forms, reader comments, scripts and styles, by element, role, class or id. A name with has, no or with says nothing of
-the element itself, and names do not count for what holds main, or most of the text with a title or article, nor if
-they leave nothing. The main text is that of the article elements, else of main, else of the largest container called
-content and its siblings of that name, if they hold most of the text that is left; else all of it.
+the element itself. Inside article or main an id whose words the first heading repeats is an anchor and does not count,
+save for a few words such as comments; an id of several words on a section counts only as a whole; on headings,
+paragraphs and parts of tables only a class that is such a word. Names of what holds main, or most of the text with a
+title or article, do not count, nor do any if they leave nothing. The main text is that of the article elements (several
+of them beside a main that holds text are teasers and go), else of main, else of the largest container called content
+and its siblings of that name, if they hold most of the text that is left; else all of it.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined in page order by an
 empty line. Null html gives an empty text. A url without a host belongs to no site: no template is sought there.
@@ -22,8 +25,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,15 @@ SHARE = 0.3
 BROADCAST_HASHES = 300_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: The same where quotes never close, so that no tag is read to the end of the page again and again.
+PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|(?!)()()|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+BROKEN_TAGS = 20
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Elements of HTML by their kind, and names by which pages call what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe object svg annotation annotation-xml canvas select xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -58,6 +65,13 @@ NOT_ARTICLE = frozenset(
     "newsletter subscribe subscription signup login social share sharing sharebar related recommended recommendations comment comments commentlist disqus respond replies pagination pager toolbar "
     "search form forms".split()
 )
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p table caption thead tbody tfoot tr td th pre blockquote figcaption dl dt dd hgroup math".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ALWAYS = frozenset(
+    "comment comments commentlist commentsarea disqus respond replies ad ads advert adverts advertisement advertising sponsor sponsored promo promoted related recommended "
+    "relatedarticles relatedposts relatedstories relatedcontent relatedpages newsletter newslettersignup subscribe subscription signup login share sharing social cookie cookies "
+    "consent gdpr pagination pager breadcrumb breadcrumbs sidebar widget".split()
+)
 COMMENTS = frozenset("comment comments commentlist disqus respond replies ad ads advert advertisement sponsored promo related recommended widget sidebar".split())
 HEADERS = frozenset("header head".split())
 MODIFIERS = frozenset("has no not with without".split())
@@ -65,62 +79,104 @@ CONTAINERS = frozenset("div section td center".split())
 CONTENT = frozenset("content article post entry story maincontent".split())
 
 
-def names_of(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+class Names(NamedTuple):
+    """Words of class, id and role, whether the element is hidden, the words that the id alone gives, the letters of
+    the id, and the classes as they stand."""
+
+    words: Set[str]
+    hidden: bool
+    by_id: Set[str]
+    anchor: str
+    tokens: Set[str]
+
+
+NAMELESS = Names(frozenset(), False, frozenset(), "", frozenset())
+
+
+def names_of(tag: str, attributes: str) -> Names:
     words: set[str] = set()
+    classes: set[str] = set()
+    by_id: set[str] = set()
+    tokens: set[str] = set()
+    anchor = ""
     hidden = False
     for name, a, b, c in NAMES.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
+            own: set[str] = set()
             for one in value.split():
-                words.add(re.sub(r"[^A-Za-z]+", "", one).lower())  # side-bar
+                whole = re.sub(r"[^A-Za-z]+", "", one).lower()  # side-bar
+                own.add(whole)
                 for part in re.split(r"[^A-Za-z]+", one):
                     pieces = [w.lower() for w in PIECE.findall(part)]
                     stop = next((k for k, w in enumerate(pieces) if w in MODIFIERS), None)
-                    words.update(pieces[:stop])
+                    own.update(pieces[:stop])
                     if stop is not None:  # no-sidebar, content-with-sidebar, hasComments: not what it is
                         break
-                    words.add(part.lower())
+                    own.add(part.lower())
+                if name == "id":
+                    anchor = whole
+                    by_id |= own
+                else:
+                    tokens.add(one.lower())
+                    classes |= own
+            words |= own
         elif name == "role":
             words.update("role:" + w for w in value.lower().split())
         elif name == "hidden":
             hidden = True
-        elif name == "aria-hidden":
-            hidden |= value.lower() == "true"
+        elif name == "aria-hidden":  # hides from screen readers; closed dialogs and menus use it as well
+            hidden |= value.lower() == "true" and tag in BLOCK
         elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return words, hidden
+    return Names(words, hidden, by_id - classes, anchor, tokens)
 
 
 class Page:
     """Elements in page order (parent first) and text segments (block number, element, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.words = ["#page"], [0], [(frozenset(), False)]
+        self.tag, self.parent, self.words = ["#page"], [0], [NAMELESS]
         self.parts: list[list] = [[]]
         self.segments: list[tuple[int, int, str]] = []
         self.block = 0
+        self.anchored: set[int] = set()
         stack, at, n = [0], 0, len(source)
+        last, broken = source.rfind(">") + 1, 0  # nothing after the last > is a tag
         while at < n:
-            m = TAG.search(source, at)
+            m = (TAG if broken < BROKEN_TAGS else PLAIN).search(source, at, last)
             end = m.start() if m else n
             if end > at:
                 self.text(stack[-1], source[at:end])
             if not m:
                 break
             at = m.end()
+            broken += m.group(4) is not None
+            if at == last and source.startswith("<!--", m.start()) and not source.endswith("-->", 0, at):
+                break  # a comment that never ends
             closing, opening, attributes = m.group(1), m.group(2) or m.group(4), m.group(3) or m.group(5) or ""
             if closing:
                 self.close(stack, closing.lower())
             elif opening:
                 tag = opening.lower()
                 if tag in RAW:
-                    if not attributes.endswith("/") or tag not in ("svg", "math"):
-                        stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                    if not attributes.endswith("/") or tag != "svg":
+                        stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at, last)
                         at = stop.end() if stop else n
                     continue
                 self.open(stack, tag, attributes)
 
+        self.anchored = self.anchors()
+        self.in_main: set[int] = set()
+        self.beside_main = 0  # outermost articles outside main
+        within: set[int] = set()
+        for k in range(1, len(self.tag)):
+            if self.parent[k] in self.in_main or self.tag[k] == "main" or "role:main" in self.words[k][0]:
+                self.in_main.add(k)
+            elif self.parent[k] in within or self.tag[k] == "article":
+                self.beside_main += self.parent[k] not in within
+                within.add(k)
+
     def text(self, node: int, raw: str) -> None:
         self.segments.append((self.block, node, raw))
         self.parts[node].append(raw)
@@ -153,7 +209,7 @@ class Page:
                     del stack[k:]
                     break
         above = stack[-1]
-        self.words.append(names_of(attributes) if attributes else (frozenset(), False))
+        self.words.append(names_of(tag, attributes) if attributes else NAMELESS)
         self.parts[above].append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(above)
@@ -185,12 +241,36 @@ class Page:
                     out[k] = int.from_bytes(digest[k], "little", signed=True) or 1
         return out
 
+    def anchors(self) -> set[int]:
+        """Elements whose id repeats the words of their first heading: an anchor, not a name."""
+        out = set()
+        for k in range(1, len(self.tag)):
+            if self.words[k].anchor:
+                head = k if self.tag[k] in HEADINGS else next((x for x in self.parts[k] if isinstance(x, int)), 0)
+                if self.tag[head] in HEADINGS:
+                    said = re.sub(r"[^A-Za-z]+", "", entities.unescape(self.inner(head))).lower()
+                    if said == self.words[k].anchor:
+                        out.add(k)
+        return out
+
+    def inner(self, node: int) -> str:
+        todo, out = [node], []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, int):
+                todo.extend(reversed(self.parts[x]))
+            else:
+                out.append(x)
+        return "".join(out)
+
     def judged(self, names: bool, spared: frozenset[int] = frozenset()) -> tuple[list[bool], list[int], list[int]]:
         """For each element whether it is dropped, its kind of root (2 article, 1 main, negative: the number of an
         element called content) and the outermost element whose name dropped it; ``spared`` ignore their names."""
-        dropped, kinds, named = [False], [0], [0]
+        dropped, kinds, named, inside = [False], [0], [0], [False]
         for k in range(1, len(self.tag)):
-            tag, above, (words, hidden) = self.tag[k], self.parent[k], self.words[k]
+            tag, above, (words, hidden, by_id, anchor, tokens) = self.tag[k], self.parent[k], self.words[k]
+            body = inside[above]
+            inside.append(body or tag in ("article", "main") or "role:main" in words)
             drop, kind, by = dropped[above], kinds[above], named[above]
             roles = {w[5:] for w in words if w.startswith("role:")} if words else words
             main = tag == "main" or "main" in roles
@@ -200,6 +280,12 @@ class Page:
             if hard:
                 drop, by = True, 0
             elif not drop and names and k not in spared and tag not in ("html", "body") and not main:
+                if body and tag in TEXT_TAGS:
+                    words = tokens & ALWAYS
+                elif body and k in self.anchored and anchor not in ALWAYS:
+                    words = words - by_id
+                elif body and tag == "section":
+                    words = words - by_id | ({anchor} & by_id)
                 called = words & COMMENTS if tag == "article" else words & NOT_ARTICLE or kind != 2 and words & HEADERS
                 if called:
                     drop, by = True, k
@@ -248,13 +334,24 @@ class Page:
             size: dict[int, int] = {}
             for _, node, text in kept:
                 size[kinds[node]] = size.get(kinds[node], 0) + len(text.strip())
+            # Several articles beside a main that holds text are teasers of others, kind 3; a single one stays.
+            whole = sum(size.values())
+            if self.in_main and any(text.strip() for _, node, text in kept if node in self.in_main):
+                beside = {}
+                for _, node, text in kept:
+                    if kinds[node] == 2 and node not in self.in_main:
+                        beside[node] = beside.get(node, 0) + len(text.strip())
+                for node, n in beside.items() if self.beside_main > 1 else ():
+                    kinds[node] = 3
+                    size[2] -= n
+                    whole -= n
             roots = [{2}, {1, 2}]
             called = [k for k in size if k < 0]
             if called:
                 largest = max(called, key=lambda k: (size[k], k))
                 roots.append({k for k in called if self.parent[-k] == self.parent[-largest]})
             for root in roots:
-                if 2 * sum(size.get(k, 0) for k in root) > sum(size.values()):
+                if 2 * sum(size.get(k, 0) for k in root) > whole:
                     text = joined([s for s in kept if kinds[s[1]] in root])
                     if text:
                         return text
