@@ -2,7 +2,8 @@
 
 Vectors become binary codes: centred, projected on their main directions and turned by the rotation that brings them
 closest to the corners of a cube (learned by alternating, on a sample of about ``SAMPLE_ROWS`` vectors chosen by a
-hash of the id). As inner products depend on length, a further coordinate brings all stored vectors to one length.
+hash of the id). As inner products depend on length, a further coordinate brings all stored vectors to one length;
+vectors over ``LONG`` times as long as the 999th of a thousand are compared with every query instead.
 A code is cut into ``PARTS`` substrings, each indexed by its value. Two codes within Hamming distance r are within
 r_j in at least one substring j when the r_j + 1 sum to r + 1, so probing the stored values within r_j of the
 query's retrieves every code within r, and nothing within r is lost. The retrieved are ranked by their float vectors.
@@ -41,6 +42,7 @@ RECALL = 0.97
 INDEX_BLOCK = 8_192
 QUERY_BLOCK = 2_048
 ROUNDS = 30
+LONG = 4.0
 
 
 @dataclass
@@ -58,9 +60,7 @@ class Model:
 
     def codes(self, x: np.ndarray, stored: bool) -> np.ndarray:
         """Codes of rows of ``x`` as 64-bit numbers."""
-        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        more = np.sqrt(np.maximum(self.longest**2 - length**2, 0)) / self.longest if stored else np.zeros_like(length)
-        flat = np.hstack([x / (self.longest if stored else length), more])
+        flat = augmented(x, self.longest if stored else None)
         on = ((flat - self.centre) @ self.turn) > 0
         return (on.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
@@ -70,11 +70,32 @@ class Model:
         return [each - 1 + (j < over) for j in range(PARTS)]
 
 
+def lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of rows, as directions and a power so that no square overflows: (largest component, x over it, length over it)."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    turned = x / most
+    return most, turned, np.sqrt((turned * turned).sum(axis=1, keepdims=True))
+
+
+def augmented(x: np.ndarray, longest: float | None) -> np.ndarray:
+    """Rows with the coordinate that brings all to one length: stored ones over ``longest``, at most 1; queries over their own."""
+    most, turned, length = lengths(x)
+    share = np.minimum(most / longest * length, 1.0) if longest else np.ones_like(length)
+    more = np.sqrt(np.maximum(1 - share * share, 0)) if longest else np.zeros_like(length)
+    return np.hstack([turned / length * share, more])
+
+
+def giants(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows longer than the codes allow for; they are compared with every query."""
+    most, _, length = lengths(x)
+    return (most / longest * length > 1)[:, 0]
+
+
 def learn(x: np.ndarray, longest: float, k: int, total: int, seed: int = 11) -> Model:
     """Codes and radius from a sample of a table of ``total`` vectors."""
     rng = np.random.default_rng(seed)
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    flat = np.hstack([x / longest, np.sqrt(np.maximum(longest**2 - length**2, 0)) / longest])
+    x = x[~giants(x, longest)]
+    flat = augmented(x, longest)
     centre = flat.mean(axis=0)
     bits = min(BITS, x.shape[1])
     values, vectors = np.linalg.eigh(np.cov((flat - centre).T) if len(x) > 1 else np.eye(flat.shape[1]))
@@ -110,6 +131,7 @@ def best(model: Model, ids: np.ndarray, index: np.ndarray, queries: np.ndarray,
     low = np.uint64((1 << width) - 1)
     indexes = [np.unique(codes >> np.uint64(width * j) & low, return_inverse=True) for j in range(PARTS)]
     out_q, out_id, out_score = [], [], []
+    always = giants(index, model.longest)
     step = max(1, 2_000_000 // max(1, len(ids)))
     for lo in range(0, len(probes), step):
         own = probes[lo : lo + step]
@@ -118,13 +140,16 @@ def best(model: Model, ids: np.ndarray, index: np.ndarray, queries: np.ndarray,
             if radius >= 0:
                 near |= (np.bitwise_count((own >> np.uint64(width * j) & low)[:, None] ^ values) <= radius)[:, place]
         near &= np.bitwise_count(own[:, None] ^ codes) <= model.radius
-        scores = np.where(near, queries[lo : lo + step] @ index.T, -np.inf)
+        near |= always
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.where(near, np.nan_to_num(queries[lo : lo + step] @ index.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf), -np.inf)
         for q in range(len(own)):
             found = np.flatnonzero(near[q])
             if len(found) > k:
                 line = scores[q, found]
                 found = found[line >= np.partition(line, len(line) - k)[len(line) - k]]
-            exact = (index[found] * queries[lo + q]).sum(axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (index[found] * queries[lo + q]).sum(axis=1)
             order = np.lexsort([ids[found], -exact])[:k]
             out_q.append(np.full(len(order), lo + q))
             out_id.append(ids[found[order]])
@@ -150,7 +175,10 @@ def search(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
     share = min(1.0, sample_rows / sizes["n"])
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0)).dropDuplicates(["a", "b"]).select("id", "v").toPandas().sort_values("id")
     x = np.array(sample["v"].tolist(), np.float64)
-    model = spark.sparkContext.broadcast(learn(x, float(np.sqrt(sizes["m"])) * (1 + 1e-12), k, sizes["n"]))
+    most, _, length = lengths(x) if len(x) else (np.ones((1, 1)), None, np.ones((1, 1)))
+    usual = float(min(LONG * np.quantile(most, 0.999) * np.quantile(length, 0.999), np.finfo(float).max / LONG))
+    longest = float(np.sqrt(sizes["m"]))
+    model = spark.sparkContext.broadcast(learn(x, (min(longest, usual) if longest > 0 else usual) * (1 + 1e-12), k, sizes["n"]))
 
     # Of equal vectors the k + 1 smallest ids; the smallest stands for all.
     twins = Window.partitionBy("a", "b").orderBy("id")
