@@ -164,13 +164,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     languages = sorted(sizes)
     if not languages:
         return build(pd.DataFrame({"lang": [], "ord": [], "gram": [], "n": []}), [])
-    part = F.lit(0)
-    number = F.lit(-1)
-    for k, name in enumerate(languages):
-        share = min(1.0, sample_rows / sizes[name])
-        part = F.when(F.col("lang") == name, int(share * (1 << 20)) + (share >= 1.0)).otherwise(part)
-        number = F.when(F.col("lang") == name, k).otherwise(number)
-    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < part).withColumn("k", number).withColumn("t", F.xxhash64("text")).dropDuplicates(["t", "k"])
+    shares = [(name, k, int((share := min(1.0, sample_rows / sizes[name])) * (1 << 20)) + int(share >= 1.0)) for k, name in enumerate(languages)]
+    # The same list of languages as in the model.
+    chosen = F.broadcast(labelled.sparkSession.createDataFrame(shares, "_lang string, k int, _part int"))
+    rows = rows.join(chosen, F.col("lang") == F.col("_lang")).filter(F.pmod("h", F.lit(1 << 20)) < F.col("_part"))
+    rows = rows.select("text", "k").withColumn("t", F.xxhash64("text")).dropDuplicates(["t", "k"])
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
