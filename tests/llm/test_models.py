@@ -10,6 +10,7 @@ import pytest
 
 from almenara.llm import language, quality, queries, toxicity
 from almenara.llm.arrays import Hasher, pieces, runs
+from almenara.llm.sampling import labelled_sample
 
 FOLDER = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -194,3 +195,20 @@ def test_language_of_odd_rows(spark, odd):
     by = {r["doc_id"]: r for r in got.collect()}
     assert [by[k]["lang_pred"] for k in (1, 2, 3, 6)] == ["und"] * 4
     assert {r["lang_pred"] for r in got.collect()} <= {"en", "fr", "und"} and got.count() == len(ODD)
+
+
+def test_sample_bound_holds_where_ids_repeat(spark):
+    documents = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(k, "one text") for k in range(2, 40)] + [(5, "five")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, label int")
+    kept, _ = labelled_sample(documents, labels, 1000, "doc_id", "text", "label")
+    rows = kept.collect()
+    assert len(rows) <= 39 and len({(r["h"], r["label"]) for r in rows}) == len(rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, labelled_sample(documents.repartition(5), labels, 1000, "doc_id", "text", "label")[0].collect()))
+
+
+def test_hundreds_of_language_values(spark):
+    rows = [(k, f"word{k % 400} text of language {k % 400}", f"l{k % 400}") for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.languages) == 400
+    assert language.predict(df, model).filter("lang = lang_pred").count() > 700

@@ -63,6 +63,27 @@ def test_mixing_targets_and_choice(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_many_equal_rows(spark):
+    rows = [(None, "hot", "ten words " * 5)] * 1000 + [(k, "other", "w " * 10) for k in range(1000)] + [(7, None, "x y")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    goal = {r["source"]: r["target"] for r in mixing.plan(mixing.sized(df)).collect()}
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split()) * r["copies"]
+    assert all(abs(taken[s] - goal[s]) <= 5 for s in goal) and goal["hot"] % 10000 > 10
+
+
+def test_shards_of_one_id_on_many_texts(spark):
+    rows = [(1, f"text {k}") for k in range(3000)] + [(1, "same")] * 25_000 + [(k, "x") for k in range(50)]
+    got = sharding.placed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(rows)
+    for r in got.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n"), F.count("slot").alias("m")).collect():
+        assert r["a"] == 0 and r["b"] + 1 == r["n"] == r["m"]
+    assert got.filter("doc_id = 1").select("shard").distinct().count() == 1
+
+
 def winner(key, shards):
     draws = []
     for s in range(shards):
@@ -207,6 +228,28 @@ def test_neighbours_of_few_vectors(spark):
     assert nearest.search(df.limit(1), F.lit(True), 20).count() == 0
 
 
+def test_huge_vectors_leave_the_others_lists_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(400)]
+    huge = [(1001, [1e200] + [0.0] * 7), (1002, [-1e300] * 8), (1003, [1e-200] * 8)]
+    lists = []
+    for more in ([], huge):
+        got = nearest.search(spark.createDataFrame(rows + more, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert len(found) == 20 and all(len(v) == 5 for v in found.values())
+        lists.append(found)
+    want = {r[0]: dict(rows)[r[0]] for r in rows if r[0] % 20 == 0}
+    everything = {k: np.array(v) for k, v in rows + huge}
+    for q, v in want.items():
+        with np.errstate(over="ignore"):
+            scores = {k: float((everything[k] * np.array(v)).sum()) for k in everything if k != q}
+        giants = [k for k in sorted(scores, key=lambda k: (-scores[k], k))[:5] if k > 1000]
+        assert lists[1][q][: len(giants)] == giants
+        assert len(set(lists[0][q]) & set(lists[1][q])) >= 5 - len(giants) - 1
+
+
 def test_isolated_vectors_have_whole_lists(spark):
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -27,6 +28,34 @@ def test_main_text(html, text):
     assert Page(html).main_text() == text
 
 
+def article(inner):
+    return f"<nav>menu</nav><article><h1>Title</h1><p>Body text.</p>{inner}</article><footer>f</footer>"
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id='forms-of-government'>Forms</h2>", "Forms"),
+    ("<section id='search-algorithms'><h2>Search algorithms</h2><p>Binary.</p></section>", "Search algorithms\n\nBinary."),
+    ("<section id='search-in-trees'><h2>Looking</h2></section>", "Looking"), ("<table class='form'><tr><td>cell</table>", "cell"),
+    ("<p><span aria-hidden='true'>O</span>nce upon</p>", "Once upon"), ("<p>so <math><mi>a</mi><annotation>x</annotation></math> holds</p>", "so a holds"),
+    ("<section id='comments'><h2>Comments</h2><p>c</p></section>", ""), ("<div id='related-articles'><h3>Related articles</h3><a>m</a></div>", ""),
+    ("<p class='advert'>buy</p>", ""), ("<div aria-hidden='true' class='modal'>m</div>", ""),
+])
+def test_names_inside_an_article(inner, text):
+    assert Page(article(inner)).main_text() == "\n\n".join(filter(None, ["Title", "Body text.", text]))
+
+
+def test_teasers_beside_main():
+    teasers = "<article><h3>Other</h3><p>a much longer teaser text</p></article>" * 3
+    assert Page(f"<main><h1>T</h1><p>Body.</p></main>{teasers}").main_text() == "T\n\nBody."
+
+
+@pytest.mark.parametrize("unit", ["<svg/ ", "<!", "<a \"'>", "</svg", "<!-- ", "<p "])
+def test_unclosed_tags_take_linear_time(unit):
+    started = time.process_time()
+    Page(unit * (1_000_000 // len(unit))).main_text()
+    assert time.process_time() - started < 10
+
+
 @pytest.mark.parametrize("html, text", [
     ("<h1 class='entry-title'>T</h1><div class='text'><p>long body</p></div>", "T\n\nlong body"),
     ("<div class='content'>first part</div><div class='content'>second</div>", "first part\n\nsecond"),
