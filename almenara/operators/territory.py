@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,6 @@ STEPS = (
 )
 
 
-def _names(canon: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(c) for c in canon])
-
-
 def canonical(key: Column, canon: tuple[str, ...], aliases: dict[str, str]) -> Column:
     """The name itself, else the name an alias stands for, else NULL. ``key`` is a text key."""
     out = F.when(key.isin(*canon), key)
@@ -29,41 +26,76 @@ def canonical(key: Column, canon: tuple[str, ...], aliases: dict[str, str]) -> C
     return out
 
 
-def edit_score(a: Column, b: Column) -> Column:
-    """``100 * (1 - edits / longer length)``."""
-    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
-
-
-def partial_score(a: Column, b: Column) -> Column:
-    """The best score of the shorter text against any stretch of its length in the longer one."""
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    places = F.sequence(F.lit(0), F.length(long) - F.length(short))
-    return F.array_max(F.transform(places, lambda i: edit_score(F.substr(long, i + 1, F.length(short)), short)))
-
-
-def in_order(a: Column) -> Column:
-    """The words of a text in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(a, " ")), " ")
-
-
-def match_score(a: Column, b: Column) -> Column:
-    """The best of several readings: whole, with sorted words, and, where one text is half as long again as the
-    other, as a part of it. Sorted words weigh 0.95; a part weighs 0.9, or 0.6 where the longer text is over eight
-    times as long. The readings and weights are those of the study; a single reading is edit distance."""
-    ratio = F.greatest(F.length(a), F.length(b)) / F.least(F.length(a), F.length(b))
-    weight = F.when(ratio <= 8, 0.9).otherwise(0.6)
-    part = F.greatest(weight * partial_score(a, b), 0.95 * weight * partial_score(in_order(a), in_order(b)))
-    return F.greatest(edit_score(a, b), F.when(ratio < 1.5, 0.95 * edit_score(in_order(a), in_order(b))).otherwise(part))
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by dynamic programming over the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    left = whole
+    for c in a:
+        hit = left & places.get(c, 0)
+        left = (left + hit | left - hit) & whole
+    return len(b) - left.bit_count()
+
+
+def share(a: str, b: str) -> float:
+    """Twice the common subsequence over both lengths, 0 to 100: insertions and deletions count 1 each."""
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def part_share(a: str, b: str) -> float:
+    """The best share of the shorter text and any stretch of its length, or shorter at the ends, of the longer one;
+    of two of one length either may be cut."""
+    found = 0.0
+    for short, long in ((a, b), (b, a)):
+        if 0 < len(short) <= len(long):
+            stretches = {long[max(0, end - len(short)) : end] for end in range(1, len(short) + len(long))}
+            found = max(found, *(share(short, s) for s in stretches))
+    return found
+
+
+def word_set_share(a: str, b: str) -> float:
+    """Likeness of the sets of words: 100 if one set holds the other, else the best share among the shared words, these
+    with the rest of one text, and these with the rest of the other; the share of the sorted sets if none is shared."""
+    one, two = set(a.split()), set(b.split())
+    both = " ".join(sorted(one & two))
+    if not both:
+        return share(" ".join(sorted(one)), " ".join(sorted(two)))
+    left, right = " ".join(sorted(one - two)), " ".join(sorted(two - one))
+    if not left or not right:
+        return 100.0
+    n, m, k = len(left), len(right), len(both)
+    apart = n + m - 2 * common_length(left, right)
+    return max(100.0 * (1 - apart / (2 * k + n + m + 2)), 200.0 * k / (2 * k + n + 1), 200.0 * k / (2 * k + m + 1))
+
+
+def match_score(a: str, b: str) -> float:
+    """The best of several readings: whole, by sorted words, by sets of words, and, where one text is half as long again
+    as the other, as a part of it. Readings by words weigh 0.95; a part weighs 0.9, or 0.6 where the longer text is
+    over eight times as long; a shared word makes a part by words whole. The readings and weights are the study's."""
+    ratio = max(len(a), len(b)) / max(1, min(len(a), len(b)))
+    ordered = [" ".join(sorted(x.split())) for x in (a, b)]
+    if ratio < 1.5:
+        return max(share(a, b), 0.95 * share(*ordered), 0.95 * word_set_share(a, b))
+    weight = 0.9 if ratio <= 8 else 0.6
+    unique = [" ".join(sorted(set(x.split()))) for x in (a, b)]
+    words = 100.0 if set(a.split()) & set(b.split()) else max(part_share(*ordered), part_share(*unique))
+    return max(share(a, b), weight * part_share(a, b), 0.95 * weight * words)
 
 
 def fuzzy(key: Column, canon: tuple[str, ...]) -> Column:
-    """Closest canonical name and its :func:`match_score`; the first of the list wins a tie.
+    """Closest canonical name and its :func:`match_score`; the first of the list wins a tie. NULL for no text.
 
-    The list is short and fixed, so the comparison is one expression per distinct value.
+    Meant for distinct values against a short fixed list. Spark has no common subsequence, and nested column lambdas
+    for 25 names took minutes to plan, so Arrow batches of values are scored in Python.
     """
-    scored = F.transform(_names(canon), lambda c, i: F.struct(match_score(key, c).alias("score"), (-i).alias("order"), c.alias("name")))
-    return F.when(key != "", F.array_max(scored))
+    @F.pandas_udf("score double, name string")
+    def closest(keys: pd.Series) -> pd.DataFrame:
+        rows = [max(((match_score(k, c), -i, c) for i, c in enumerate(canon)), default=(None, 0, None)) if k else (None, 0, None) for k in keys]
+        return pd.DataFrame([(score, name) for score, _, name in rows], columns=["score", "name"])
+
+    return F.when(key != "", closest(key))
 
 
 def resolve_departments(

@@ -22,23 +22,28 @@ def _canonical(c: str) -> str:
     return f"CASE WHEN {k} IN (SELECT n_name FROM nation) THEN {k} WHEN {k} = 'NATIONX_7' THEN 'NATION_7' END"
 
 
-def _edit(a: str, b: str) -> str:
-    return f"100.0::DOUBLE * (1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
-
-
-def _partial(a: str, b: str) -> str:
-    short, long = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
-    piece = f"substr({long}, CAST(i AS INTEGER) + 1, length({short}))"
-    return f"list_max(list_transform(range(0, length({long}) - length({short}) + 1), lambda i: {_edit(piece, short)}))"
-
-
-def _match(a: str, b: str) -> str:
-    """Score of two texts as DuckDB text."""
-    sa, sb = (f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b))
-    ratio = f"(greatest(length({a}), length({b})) / least(length({a}), length({b})))"
-    weight = f"(CASE WHEN {ratio} <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)"
-    return f"""greatest({_edit(a, b)}, CASE WHEN {ratio} < 1.5 THEN 0.95::DOUBLE * {_edit(sa, sb)}
-  ELSE greatest({weight} * {_partial(a, b)}, 0.95::DOUBLE * {weight} * {_partial(sa, sb)}) END)"""
+def _fuzzy_scores(keys: str) -> str:
+    """CTEs that end in ``scored (k, n_name, n_nationkey, s)``: every text of ``keys (k)`` against every nation.
+
+    Names are single words here, so their only set of shared words is the name itself. The subsequence is that of the
+    bit-parallel recurrence, on pairs of texts that are listed once."""
+    return rf"""nk AS (SELECT k, n_name, n_nationkey, array_to_string(list_sort(list_filter(string_split(k, ' '), lambda w: w <> '')), ' ') AS sk,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(k, ' '), lambda w: w <> ''))), ' ') AS uk, list_contains(string_split(k, ' '), n_name) AS holds,
+  greatest(length(k), length(n_name)) / least(length(k), length(n_name)) AS ratio FROM {keys}, nation WHERE k <> ''),
+rd AS (SELECT k, n_name, 'whole' AS r, k AS x, n_name AS y FROM nk UNION ALL SELECT k, n_name, 'sorted', sk, n_name FROM nk UNION ALL SELECT k, n_name, 'unique', uk, n_name FROM nk),
+ends AS (SELECT k, n_name, r || '_part' AS r, sh, lo, unnest(range(1, length(sh) + length(lo))) AS e
+  FROM (SELECT *, CASE WHEN length(x) < length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) < length(y) THEN y ELSE x END AS lo FROM rd UNION ALL SELECT *, x, y FROM rd WHERE length(x) = length(y))),
+rw AS (SELECT * FROM rd UNION ALL SELECT k, n_name, r, substr(lo, greatest(e - length(sh), 0) + 1, least(e, length(lo)) - greatest(e - length(sh), 0)), sh FROM ends),
+bits AS (SELECT x, y, (1::BIGINT << length(y)) - 1 AS f, list_transform(string_split(x, ''), lambda c: CAST(list_sum(list_transform(range(0, length(y)),
+  lambda i: CASE WHEN substr(y, CAST(i AS INTEGER) + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END)) AS BIGINT)) AS ms FROM (SELECT DISTINCT x, y FROM rw)),
+lc AS (SELECT x, y, 200.0::DOUBLE * (length(y) - bit_count(list_reduce(ms, lambda v, m: ((v + (v & m)) | (v - (v & m))) & f, f))) / (length(x) + length(y)) AS share FROM bits),
+best AS (SELECT k, n_name, r, max(share) AS b FROM rw JOIN lc USING (x, y) GROUP BY k, n_name, r),
+rs0 AS (SELECT nk.*, (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'whole') AS w, (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'sorted') AS o,
+  (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'unique') AS u, (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'whole_part') AS wp,
+  (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'sorted_part') AS op, (SELECT b FROM best t WHERE t.k = nk.k AND t.n_name = nk.n_name AND r = 'unique_part') AS up,
+  CASE WHEN ratio <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM nk),
+scored AS (SELECT k, n_name, n_nationkey, greatest(w, CASE WHEN ratio < 1.5 THEN 0.95::DOUBLE * greatest(o, CASE WHEN holds THEN 100.0 ELSE u END)
+  ELSE greatest(weight * wp, 0.95::DOUBLE * weight * CASE WHEN holds THEN 100.0 ELSE greatest(op, up) END) END) AS s FROM rs0)"""
 
 
 _BUILD = """lt AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ocid ORDER BY month_file DESC) AS r FROM tenders) x WHERE r = 1),
@@ -51,8 +56,8 @@ _RESOLVE = f"""{_BUILD},
 t1 AS (SELECT *, {_canonical('department_raw')} AS d1, {_canonical('region_raw')} AS d2, {_KEY.format(c='locality_raw')} AS k FROM pr),
 vt AS (SELECT entity_id, coalesce(d1, d2) AS d, count(*) AS n FROM t1 WHERE coalesce(d1, d2) IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1, 2),
 us AS (SELECT entity_id, d AS d3 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, d) AS r FROM vt) x WHERE r = 1),
-fz AS (SELECT k, max(s) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name
-  FROM (SELECT k, n_name, n_nationkey, {_match('k', 'n_name')} AS s FROM (SELECT DISTINCT k FROM t1 WHERE k <> '') y, nation) z GROUP BY k),
+{_fuzzy_scores('(SELECT DISTINCT k FROM t1) y')},
+fz AS (SELECT k, max(s) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name FROM scored GROUP BY k),
 t2 AS (SELECT t1.*, d3, CASE WHEN coalesce(d1, d2, d3) IS NULL AND score >= 88 THEN name END AS d4, score FROM t1
   LEFT JOIN us ON t1.entity_id = us.entity_id LEFT JOIN fz ON t1.k = fz.k),
 rs AS (SELECT * EXCLUDE (d1, d2, d3, d4, k, score), coalesce(d1, d2, d3, d4, 'NO_LOCALIZADO') AS department,
@@ -112,9 +117,9 @@ def _canonical_query(t):
     return t.parties.select("department_raw", territory.canonical(k, _CANON, _ALIASES).alias("department")).distinct()
 
 
-@query("fuzzy_names", ("parties",), f""", k AS (SELECT DISTINCT {_KEY.format(c='locality_raw')} AS k FROM parties)
-SELECT k AS key, round(max(s), 6) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name
-FROM (SELECT k, n_name, n_nationkey, {_match('k', 'n_name')} AS s FROM k, nation WHERE k <> '') z GROUP BY k""")
+@query("fuzzy_names", ("parties",), f""", k AS (SELECT DISTINCT {_KEY.format(c='locality_raw')} AS k FROM parties),
+{_fuzzy_scores('(SELECT k FROM k) y')}
+SELECT k AS key, round(max(s), 6) AS score, arg_max(n_name, {{'s': s, 'o': -n_nationkey}}) AS name FROM scored GROUP BY k""")
 def _fuzzy(t):
     words = t.parties.select(latin_key("locality_raw").alias("key")).distinct()
     f = territory.fuzzy(F.col("key"), _CANON)
