@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from almenara.functions.numeric import p_value, rounded, to_number
 from almenara.operators.access import TOTAL, group_sums, valid_time
-from almenara.operators.ordered import null_safe_join, quantiles, running_sums, with_levels
+from almenara.operators.ordered import null_safe_join, quantiles_of, running_sums, with_levels
+from almenara.session import pin
 
 QUADRANTS = (
     "doble carga: lejos y pobre", "lejos pero menos pobre", "cerca pero pobre", "cerca y menos pobre",
@@ -115,31 +116,61 @@ def load_poverty(raw: DataFrame, key: str = "district_int", rate: str = "rate_ra
     ).dropna()
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """One row per (group, value) with the mean rank of the rows that share it."""
-    rows = running_sums(df, by, value, {"n": F.lit(1)})
-    return rows.select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(out))
+#: A value with more pairs than this part of them all meets its rank by broadcast; there are at most twice as many.
+HOT_PART = 1000
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    return F.corr(x, y)
+def _ranked_cells(cells: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``by, x, y, n, _total, _rx, _ry`` of pairs counted as ``n``: mean ranks of both values and the pairs of the group.
+
+    Both values of a pair are listed below each other, so one ranking and one join serve the two. Values that many
+    pairs share are looked up in a broadcast list of at most ``2 * HOT_PART`` rows and crowd no task.
+    """
+    key = [*by, "_side", "_v"]
+    sides = cells.select(*by, x, y, "n", F.inline(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col(x).alias("_v")), F.struct(F.lit(1).alias("_side"), F.col(y).alias("_v"))
+    )))
+    ranks = pin(running_sums(sides, [*by, "_side"], "_v", {"n": F.col("n"), "c": F.lit(1)}).select(
+        *key, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("_r"), F.col("total_n").alias("_t"), "c"
+    ))
+    hot = F.col("c") * HOT_PART > ranks.select(F.sum("c").alias("c")).scalar()
+    listed = ranks.filter(hot).select(*key, F.col("_r").alias("_hr"), F.col("_t").alias("_ht"))
+    marked = null_safe_join(sides, F.broadcast(listed), key, "left")
+    met = null_safe_join(marked.filter(F.col("_hr").isNull()), ranks.filter(~hot).drop("c"), key).select(*by, x, y, "n", "_side", "_r", "_t")
+    found = marked.filter(F.col("_hr").isNotNull()).select(*by, x, y, "n", "_side", F.col("_hr").alias("_r"), F.col("_ht").alias("_t"))
+    return met.unionByName(found).groupBy(*by, x, y).agg(
+        F.max("n").alias("n"), F.max("_t").alias("_total"),
+        F.max(F.when(F.col("_side") == 0, F.col("_r"))).alias("_rx"), F.max(F.when(F.col("_side") == 1, F.col("_r"))).alias("_ry"),
+    )
 
 
 def correlations(
     pairs: DataFrame, by: list[str], x: str, y: str, min_rows: int = 4
 ) -> DataFrame:
-    """Pearson and Spearman with two-sided p-values; groups below ``min_rows`` are left out."""
-    both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)
-    )
-    ranked = null_safe_join(both, average_ranks(both, by, x, "_rx"), [*by, x])
-    ranked = null_safe_join(ranked, average_ranks(both, by, y, "_ry"), [*by, y])
+    """Pearson and Spearman with two-sided p-values; groups below ``min_rows`` are left out.
+
+    Rows are collapsed to distinct pairs of values with counts before anything is ranked or joined.
+    """
+    both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = pin(both.groupBy(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).agg(F.count("*").alias("n")))
+    n = F.col("n")
+    means = cells.groupBy(*by).agg(F.sum("n").alias("rows"), *[(F.sum(F.col(c) * n) / F.sum("n")).alias(f"_m{c}") for c in (x, y)]).filter(F.col("rows") >= min_rows)
+    moved = null_safe_join(_ranked_cells(cells, by, x, y), means, by)
+    middle = (F.col("_total") + 1) / 2.0
+
+    def moments(a: Column, b: Column, name: str) -> list[Column]:
+        return [F.sum(n * a * a).alias(f"{name}aa"), F.sum(n * b * b).alias(f"{name}bb"), F.sum(n * a * b).alias(f"{name}ab")]
+
+    def r(name: str) -> Column:
+        return F.try_divide(F.col(f"{name}ab"), F.sqrt(F.col(f"{name}aa")) * F.sqrt(F.col(f"{name}bb")))
+
     return (
-        ranked.groupBy(*by).agg(
-            F.count("*").alias("rows"), _pearson(F.col(x), F.col(y)).alias("pearson_r"),
-            _pearson(F.col("_rx"), F.col("_ry")).alias("spearman_rho"), F.avg(x).alias(f"mean_{x}"),
+        moved.groupBy(*by).agg(
+            F.max("rows").alias("rows"), F.max(f"_m{x}").alias(f"mean_{x}"),
+            *moments(F.col(x) - F.col(f"_m{x}"), F.col(y) - F.col(f"_m{y}"), "_p"),
+            *moments(F.col("_rx") - middle, F.col("_ry") - middle, "_s"),
         )
-        .filter(F.col("rows") >= min_rows)
+        .select(*by, "rows", r("_p").alias("pearson_r"), r("_s").alias("spearman_rho"), f"mean_{x}")
         .withColumns({
             "pearson_p": p_value(F.col("pearson_r"), F.col("rows").cast("double")),
             "spearman_p": p_value(F.col("spearman_rho"), F.col("rows").cast("double")),
@@ -151,8 +182,10 @@ def join_poverty(units: DataFrame, poverty: DataFrame) -> DataFrame:
     """Units with their poverty rate and the quadrant both medians put them in."""
     joined = units.join(poverty, "ubigeo", "left")
     both = joined.filter(F.col("poverty_rate").isNotNull() & F.col("t_mean").isNotNull())
-    mid_t = quantiles(both, [], "t_mean", {"m": 0.5}).scalar()
-    mid_p = quantiles(both, [], "poverty_rate", {"m": 0.5}).scalar()
+    middle = quantiles_of(
+        both, [], {"t": F.col("t_mean"), "p": F.col("poverty_rate")}, {"t": ("t", 0.5), "p": ("p", 0.5)}
+    ).select(F.struct("t", "p").alias("m")).scalar()
+    mid_t, mid_p = middle["t"], middle["p"]
     far, near = F.col("t_mean") > mid_t, F.col("t_mean") <= mid_t
     poor, less = F.col("poverty_rate") > mid_p, F.col("poverty_rate") <= mid_p
     return joined.withColumn(

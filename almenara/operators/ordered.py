@@ -114,13 +114,23 @@ def _interpolate(name: str, at: Column) -> Column:
     )
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation between neighbouring ranks, NULLs ignored."""
+def quantiles(
+    df: DataFrame, by: list[str], value: str, qs: dict[str, float], sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Exact quantiles with linear interpolation between neighbouring ranks, NULLs ignored.
+
+    ``sums`` are added up per group from the same collapsed rows, so ``df`` is computed once; they count rows
+    without a value as well, and a group of such rows alone has NULL quantiles.
+    """
+    sums = sums or {}
+    known = F.col(value).isNotNull()
     rows = running_sums(
-        df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)),
-        by, value, {"n": F.lit(1)},
+        (df if sums else df.filter(known)).select(
+            *by, F.col(value).cast("double").alias(value), *[c.alias(f"_s_{n}") for n, c in sums.items()]
+        ),
+        by, value, {"n": known.cast("int"), **{f"_s_{n}": F.col(f"_s_{n}") for n in sums}},
     )
-    aggs, outs = [], []
+    aggs, outs = [F.sum(f"_s_{n}").alias(n) for n in sums], [F.col(n) for n in sums]
     for name, q in qs.items():
         at = F.lit(float(q)) * (F.col("total_n") - 1)
         reach = F.col("before_n") + F.col("n") - 1

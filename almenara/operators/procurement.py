@@ -179,28 +179,39 @@ def awarded_base(df: DataFrame) -> DataFrame:
     )
 
 
-def _single() -> list[Column]:
-    n, one = F.count("*"), F.count_if("single_bidder")
+def _single(n: Column, one: Column) -> list[Column]:
     return [n.alias("awarded_processes"), one.alias("single_bidder"), pct(one, n).alias("pct_single_bidder")]
 
 
+def _count(condition: Column | None = None) -> Column:
+    """What a sum of it counts."""
+    return F.lit(1) if condition is None else true(condition).cast("int")
+
+
+def _awarded() -> dict[str, Column]:
+    """Sums of awarded processes, taken together with their median of bidders."""
+    return {"n": _count(), "one": _count(F.col("single_bidder"))}
+
+
 def single_bidder_overall(df: DataFrame) -> DataFrame:
-    base = awarded_base(df)
-    median = quantiles(base, [], "bidders", {"m": 0.5}).scalar()
-    return base.agg(*_single()).withColumn("median_bidders", median)
+    sums = quantiles(awarded_base(df), [], "bidders", {"median_bidders": 0.5}, _awarded())
+    n, one = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n", "one"))
+    return sums.select(*_single(n, one), "median_bidders")
 
 
 def single_bidder_by_department(df: DataFrame) -> DataFrame:
     base = awarded_base(df).filter(F.col("department") != NOT_LOCATED)
-    q = quantiles(base, ["department"], "bidders", {"median_bidders": 0.5})
-    amount = rounded(F.coalesce(F.sum("amount"), F.lit(0.0)), 0).alias("amount_total")
-    return base.groupBy("department").agg(*_single(), amount).join(q, "department", "left")
+    sums = quantiles(base, ["department"], "bidders", {"median_bidders": 0.5}, {**_awarded(), "amount": F.col("amount")})
+    amount = rounded(F.coalesce("amount", F.lit(0.0)), 0).alias("amount_total")
+    return sums.select("department", *_single(F.col("n"), F.col("one")), amount, "median_bidders")
 
 
 def single_bidder_by_buyer(df: DataFrame, minimum: int = RISK.min_tenders_per_buyer) -> DataFrame:
     """Every (buyer, department), unknown ones included, and whether it has enough processes."""
     amount = rounded(F.coalesce(F.sum("amount"), F.lit(0.0)), 0).alias("amount_total")
-    out = awarded_base(df).groupBy("buyer_id", "department").agg(*_single(), amount)
+    out = awarded_base(df).groupBy("buyer_id", "department").agg(
+        *_single(F.count("*"), F.count_if("single_bidder")), amount
+    )
     return out.withColumn("above_minimum", F.col("awarded_processes") >= minimum)
 
 
@@ -239,23 +250,24 @@ def _with_short_flag(df: DataFrame, days: float) -> DataFrame:
 
 
 def short_window_summary(df: DataFrame, days: float = RISK.short_window_days) -> DataFrame:
-    """Coverage and share of short windows, and single-bidder share with and without one."""
-    known = _with_short_flag(df, days)
-    q = quantiles(known, [], "window_days", {"median_days": 0.5, "p25_days": 0.25})
-    base = true("awarded") & true(to_number("bidders") >= 1)
-    one, short = true(to_number("bidders") == 1), F.col("short_window")
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return known.agg(
-        F.count("*").alias("with_window"), F.count_if(short).alias("short"),
-        pct(F.count_if(short), F.count("*")).alias("pct_short"),
-        F.count_if(base & short).alias("awarded_short"), F.count_if(base & ~short).alias("awarded_normal"),
-        share(F.count_if(base & short & one), F.count_if(base & short), 2).alias("pct_single_short"),
-        share(F.count_if(base & ~short & one), F.count_if(base & ~short), 2).alias("pct_single_normal"),
-    ).withColumns({
-        "pct_with_window": pct(F.col("with_window"), total),
-        "median_days": rounded(q.select("median_days").scalar(), 1),
-        "p25_days": rounded(q.select("p25_days").scalar(), 1),
+    """Coverage and share of short windows, and single-bidder share with and without one; one pass over the rows."""
+    rows = with_window_days(df)
+    known = F.col("window_days") >= 0
+    base = known & true("awarded") & true(to_number("bidders") >= 1)
+    one, short = true(to_number("bidders") == 1), true(F.col("window_days") < days)
+    q = quantiles(rows.withColumn("_days", F.when(known, F.col("window_days"))), [], "_days", {"median_days": 0.5, "p25_days": 0.25}, {
+        "rows": _count(), "with_window": _count(known), "short": _count(known & short), "awarded_short": _count(base & short),
+        "awarded_normal": _count(base & ~short), "one_short": _count(base & short & one), "one_normal": _count(base & ~short & one),
     })
+    n = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in q.columns if not c.endswith("_days")}
+    return q.select(
+        n["with_window"].alias("with_window"), n["short"].alias("short"), pct(n["short"], n["with_window"]).alias("pct_short"),
+        n["awarded_short"].alias("awarded_short"), n["awarded_normal"].alias("awarded_normal"),
+        share(n["one_short"], n["awarded_short"], 2).alias("pct_single_short"),
+        share(n["one_normal"], n["awarded_normal"], 2).alias("pct_single_normal"),
+        pct(n["with_window"], n["rows"]).alias("pct_with_window"),
+        rounded(F.col("median_days"), 1).alias("median_days"), rounded(F.col("p25_days"), 1).alias("p25_days"),
+    )
 
 
 def short_window_rows(df: DataFrame, days: float = RISK.short_window_days) -> DataFrame:
@@ -280,12 +292,11 @@ def distribution(df: DataFrame, by: str) -> DataFrame:
     """Processes, amount and median amount per category, department or month; NULL keys left out."""
     rows = df.withColumn("month", F.date_format("published", "yyyy-MM")) if by == "month" else df
     rows = rows.filter(F.col(by).isNotNull()).select(by, "amount")
-    q = quantiles(rows, [by], "amount", {"amount_median": 0.5})
-    sums = rows.groupBy(by).agg(
-        F.count("*").alias("processes"),
-        rounded(F.coalesce(F.sum("amount"), F.lit(0.0)), 0).alias("amount_total"),
+    sums = quantiles(rows, [by], "amount", {"amount_median": 0.5}, {"processes": _count(), "amount_total": F.col("amount")})
+    return sums.select(
+        by, "processes", rounded(F.coalesce("amount_total", F.lit(0.0)), 0).alias("amount_total"),
+        rounded(F.col("amount_median"), 0).alias("amount_median"),
     )
-    return sums.join(q, by, "left").withColumn("amount_median", rounded(F.col("amount_median"), 0))
 
 
 def largest(df: DataFrame, n: int) -> DataFrame:

@@ -98,28 +98,40 @@ def fuzzy(key: Column, canon: tuple[str, ...]) -> Column:
     return F.when(key != "", closest(key))
 
 
+#: Into how many parts rows without a join key are dealt.
+DEALT = 1 << 16
+
+
+def _join_open(rows: DataFrame, found: DataFrame, is_open: Column, key: Column) -> DataFrame:
+    """Left join of ``rows`` on ``found._on`` for those that are open; the others need no partner and crowd no task."""
+    spread = F.when(is_open, 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(DEALT)).cast("int") + 1)
+    left = rows.withColumns({"_own": F.when(is_open, key), "_deal": spread})
+    right = found.withColumn("_part", F.lit(0))
+    return left.join(right, (F.col("_own") == F.col("_on")) & (F.col("_deal") == F.col("_part")), "left").drop("_own", "_deal", "_on", "_part")
+
+
 def resolve_departments(
     df: DataFrame, canon: tuple[str, ...] = DEPARTMENTS, aliases: dict[str, str] = DEPARTMENT_ALIASES,
     threshold: float = RISK.fuzzy_threshold, key=text_key, entity: str = "entity_id",
 ) -> DataFrame:
     """Cascade: department field, region field, the entity's usual department, fuzzy locality.
 
-    Adds ``department, department_origin, department_score``; rows nothing resolves stay, labelled.
+    Adds ``department, department_origin, department_score``; rows nothing resolves stay, labelled. Only rows still
+    open carry a key into the two joins; all others have none and are dealt by a hash of the row.
     """
     direct = df.withColumns({
         "_d1": canonical(key("department_raw"), canon, aliases),
         "_d2": canonical(key("region_raw"), canon, aliases),
     }).withColumn("_known", F.coalesce("_d1", "_d2"))
 
-    usual = usual_value(direct.filter(F.col(entity).isNotNull()), entity, "_known").withColumnRenamed("_known", "_d3")
-
-    with_usual = direct.join(usual, entity, "left").withColumn("_key", key("locality_raw"))
+    usual = usual_value(direct.filter(F.col(entity).isNotNull()), entity, "_known").withColumnsRenamed({"_known": "_d3", entity: "_on"})
+    with_usual = _join_open(direct, usual, F.col("_known").isNull() & F.col(entity).isNotNull(), F.col(entity)).withColumn("_key", key("locality_raw"))
     pending = F.col("_known").isNull() & F.col("_d3").isNull()
-    words = with_usual.filter(pending & (F.col("_key") != "")).select("_key").distinct().withColumn(
-        "_f", fuzzy(F.col("_key"), canon)
+    words = with_usual.filter(pending & (F.col("_key") != "")).select(F.col("_key").alias("_on")).distinct().withColumn(
+        "_f", fuzzy(F.col("_on"), canon)
     )
     hit = F.when(pending & (F.col("_f.score") >= threshold), F.col("_f.name"))
-    out = with_usual.join(words, "_key", "left")
+    out = _join_open(with_usual, words, pending & (F.col("_key") != ""), F.col("_key"))
     return out.withColumns({
         "department": F.coalesce("_d1", "_d2", "_d3", hit, F.lit(NOT_LOCATED)),
         "department_origin": F.when(F.col("_d1").isNotNull(), STEPS[0][1]).when(F.col("_d2").isNotNull(), STEPS[1][1])

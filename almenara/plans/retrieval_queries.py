@@ -10,7 +10,7 @@ from almenara.operators import retrieval as ops
 from almenara.plans.document_queries import _FIXED, hashed_sql
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
-from almenara.session import pin
+from almenara.session import pin, scratch
 from almenara.settings import CHUNK_SWEEP
 
 
@@ -280,6 +280,18 @@ def _incremental(t):
     return index.missing_rows(chunks, stored).select("id", "doc")
 
 
+@query("incremental_load_by_batch", ("book",), f""", {_FIXED} SELECT id, doc, page FROM fx WHERE page % 3 <> 2""")
+def _by_batch(t):
+    """Two batches, the first of them three times: under its mark, and without one with rows added in the meantime."""
+    path = scratch(t.spark, "batches")
+    chunks = pin(docs.fixed_windows(t.book).select("id", "doc", "page"))
+    for batch, residue in (("a", 0), ("b", 1), ("a", 2)):
+        index.load_index(chunks.filter(F.col("page") % 3 == residue), path, batch=batch)
+    index.load_index(chunks.filter(F.col("page") % 3 == 0), path)
+    index.compact(t.spark, path)
+    return index.read_index(t.spark, path)
+
+
 @query("parsed_answers", (), """SELECT conv_id, turn, turn % 5 <> 4 AND turn % 3 = 2 AS abstains,
 CASE WHEN turn % 5 = 4 THEN concat('no json ', text) WHEN turn % 3 <> 2 AND turn % 2 = 0 THEN concat(trim(text), chr(10), chr(10), 'Fuentes citadas: [', role, ', p. ', turn, ']') ELSE trim(text) END AS answer,
 CASE WHEN turn % 5 <> 4 AND turn % 3 = 2 THEN 'fuera del corpus' ELSE '' END AS reason FROM conversations""")

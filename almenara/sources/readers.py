@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almenara.operators.inequality import load_poverty
 
@@ -89,13 +90,24 @@ def select_mapped(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, li
 def read_monthly(
     spark: SparkSession, paths: list[str], mapping: dict[str, str], month_pattern: str = r"(\d{4}-\d{2})"
 ) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Monthly files under short names with ``month_file`` from the file name; files may lack columns."""
-    parts, missing = [], {}
+    """Monthly files under short names with ``month_file`` from the file name; files may lack columns.
+
+    Files of the same header are one scan, so the plan grows with the kinds of header, not with the months. Only the
+    header of each path is read beforehand.
+    """
+    def csv() -> DataFrameReader:
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+    headers: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        short, missing[path] = select_mapped(raw, mapping)
+        headers.setdefault(tuple(csv().csv(path).columns), []).append(path)
+    parts, missing = [], {}
+    for columns, own in headers.items():
+        raw = csv().schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(own)
+        short, lacking = select_mapped(raw, mapping)
+        missing.update({path: list(lacking) for path in own})
         parts.append(short.withColumn("month_file", F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), missing
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), {path: missing[path] for path in paths}
 
 
 def read_poverty(spark: SparkSession, path: str, key: str = "UBIGEO1", rate: str = "POVERTY_RATE") -> DataFrame:

@@ -15,7 +15,11 @@ from almenara.operators.index import load_index
 
 
 def loader(path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function; a batch that is replayed after a failure adds nothing twice."""
+    """A ``foreachBatch`` function; a batch that is replayed after a failure adds nothing twice.
+
+    Rows are compared with the stored ones rather than by the number of the batch, which starts again when a stream
+    gets a new checkpoint folder.
+    """
     def load(batch: DataFrame, _epoch: int) -> None:
         load_index(batch, path, key)
 

@@ -1,6 +1,7 @@
 """Order statistics against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,31 @@ def test_spearman_uses_average_ranks(spark, n):
     assert r.spearman_rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
 
 
+def test_correlations_with_half_the_rows_tied(spark):
+    """One value of x and one of y stand in half of the rows; both are looked up in the list of hot values."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    x, y = np.round(rng.normal(50, 20, n), 3), np.round(rng.normal(30, 9, n), 3)
+    y = np.round(y + 0.2 * x, 3)
+    x[: n // 2], y[n // 4: 3 * n // 4] = 7.0, 11.0
+    g = np.where(np.arange(n) % 3 > 0, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y}))
+    out = {r.g: r for r in inequality.correlations(df, ["g"], "x", "y").collect()}
+    for k in "ab":
+        a, b = pd.Series(x[g == k]), pd.Series(y[g == k])
+        assert out[k].rows == len(a) and out[k].mean_x == pytest.approx(a.mean())
+        assert out[k].pearson_r == pytest.approx(a.corr(b)) and out[k].spearman_rho == pytest.approx(a.rank().corr(b.rank()))
+    flat = inequality.correlations(df.withColumn("x", F.lit(1.0)), ["g"], "x", "y").collect()
+    assert [(r.pearson_r, r.spearman_rho) for r in flat] == [(None, None)] * 2
+
+
+def test_quantiles_add_sums_of_rows_without_a_value(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 3, 20), ("a", None, 30), ("b", None, 5)], "g string, v int, w int")
+    out = {r.g: r for r in quantiles(df, ["g"], "v", {"m": 0.5}, {"n": F.lit(1), "w": F.col("w")}).collect()}
+    assert (out["a"].m, out["a"].n, out["a"].w) == (2.0, 3, 60) and (out["b"].m, out["b"].n, out["b"].w) == (None, 1, 5)
+    assert quantiles(df.filter("w > 99"), [], "v", {"m": 0.5}, {"n": F.lit(1)}).collect() == [(None, None)]
+
+
 def test_running_sums_keep_values_without_an_extra(spark):
     from pyspark.sql import functions as F
 

@@ -161,6 +161,27 @@ def test_index_load_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_a_small_load_reads_few_files_and_a_replay_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.load_index(spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v")), path, batch="first")
+    stored = spark.read.parquet(path)
+    ten = spark.range(4995, 5005).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("v"))
+    read = index.touched(ten, stored).select(F.input_file_name().alias("f")).distinct().count()
+    assert read <= 10 and stored.select(F.input_file_name().alias("f")).distinct().count() == index.FOLDERS
+    for _ in range(2):
+        index.load_index(ten, path, batch="second")
+    assert index.finished(spark, path, "second") and not index.finished(spark, path, "third")
+    more = spark.createDataFrame([("new", 2)], "id string, v int")
+    index.load_index(more, path, batch="second")  # a finished batch is skipped
+    index.load_index(ten, path)                   # a batch that was cut off is compared with the rows
+    rows = index.read_index(spark, path)
+    assert rows.columns == ["id", "v"] and (rows.count(), rows.filter("v = 1").count()) == (5005, 5)
+    index.compact(spark, path)
+    assert index.read_index(spark, path).count() == 5005
+    index.rebuild_index(more, path)
+    assert not index.finished(spark, path, "second") and index.read_index(spark, path).collect() == more.collect()
+
+
 def passages(seed, n, words=60):
     rng = np.random.default_rng(seed)
     share = 1 / (np.arange(words) + 1)

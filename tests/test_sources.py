@@ -35,6 +35,15 @@ def test_monthly_files_with_missing_columns(spark, tmp_path):
     assert [m for m in missing.values()] == [[], [], ["B"]] and df.count() == 3
 
 
+def test_months_of_one_header_are_one_scan(spark, tmp_path):
+    for m in range(1, 10):
+        (tmp_path / f"2026-0{m}.csv").write_text(("A,B\n%d,x\n" if m % 2 else "B,A\nx,%d\n") % m, encoding="utf-8")
+    df, missing = readers.read_monthly(spark, sorted(str(p) for p in tmp_path.glob("*.csv")), {"A": "a", "B": "b", "C": "c"})
+    assert sorted((r.a, r.b, r.month_file) for r in df.collect()) == [(str(m), "x", f"2026-0{m}") for m in range(1, 10)]
+    assert len(missing) == 9 and all(m == ["C"] for m in missing.values())
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def test_poverty_lookup(spark, tmp_path):
     p = tmp_path / "p.csv"
     p.write_bytes("﻿UBIGEO1,POVERTY_RATE\n10101,12.5\n250101,#N/D\n".encode("utf-8"))

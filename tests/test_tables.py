@@ -154,6 +154,15 @@ def test_cascade_uses_each_step_in_order(spark):
     assert rep["TOTAL_LOCALIZADOS"] == (5, 71.43) and rep["5_no_localizado"] == (2, 28.57)
 
 
+def test_cascade_with_no_entity_on_most_rows(spark):
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 10 == 0, "E").alias("entity_id"), F.when(F.col("id") == 0, "Lima").alias("department_raw"),
+        F.lit(None).cast("string").alias("region_raw"), F.when(F.col("id") % 10 == 1, "PIURAA").alias("locality_raw"),
+    )
+    out = territory.resolve_departments(df, DEPARTMENTS, DEPARTMENT_ALIASES).groupBy("department", "department_origin").count().collect()
+    assert {tuple(r) for r in out} == {("LIMA", "campo_departamento", 1), ("LIMA", "imputado_por_entidad", 299), ("PIURA", "fuzzy_localidad", 300), ("NO_LOCALIZADO", "no_localizado", 2400)}
+
+
 def test_legal_questions(spark):
     df = spark.createDataFrame([("Adjudicación Simplificada", "goods"), ("Subasta Inversa Electrónica", "Works"), ("Nuevo", None)], "method string, category string")
     out = {r.method: r for r in procurement.legal_question(df).collect()}
