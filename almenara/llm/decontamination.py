@@ -80,9 +80,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         for lo, hi, q in used
     ])).alias("_block")).distinct()
     candidates = found.join(small(known, total, BROADCAST_WINDOWS), "_block", "left_semi").select("_key", "_print").distinct().withColumnRenamed("_key", "_cand").withColumnRenamed("_print", "_cprint")
+    candidates = pin(candidates)
 
     # 2. Every window of those documents, verified word for word.
-    whole = docs.withColumn("_print", F.xxhash64("_text")).join(candidates, F.col("_print").eqNullSafe(F.col("_cprint")) & F.col("_key").eqNullSafe(F.col("_cand")), "left_semi")
+    # Few documents are candidates: their keys are counted and go to the texts, which move only beyond the bound.
+    few = small(candidates, candidates.count(), BROADCAST_KEYS)
+    whole = docs.withColumn("_print", F.xxhash64("_text")).join(few, F.col("_print").eqNullSafe(F.col("_cprint")) & F.col("_key").eqNullSafe(F.col("_cand")), "left_semi")
     whole = whole.select("_key", "_text").distinct().select("_key", F.md5("_text").alias("digest"), words(F.col("_text")).alias("_words"))
     windows = bench.select("_item", F.explode(F.transform(every_run(F.col("_words"), F.least(F.col("_n"), F.lit(WINDOW))), lambda r: r["run"])).alias("_run")).distinct()
     windows = windows.groupBy("_run").agg(F.sort_array(F.collect_set("_item")).alias("_items")).withColumn("_hash", F.xxhash64("_run")).withColumn("_len", F.size("_run"))
