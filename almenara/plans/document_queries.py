@@ -8,7 +8,7 @@ from almenara.operators import documents as ops
 from almenara.operators import quality
 from almenara.plans.oracle_text import pct, rnd
 from almenara.plans.registry import query
-from almenara.settings import CHUNK_SWEEP, HEADER_PATTERNS
+from almenara.settings import CHUNK_SEPARATORS, CHUNK_SWEEP, HEADER_PATTERNS, TEXT
 
 _RE = [p.replace("'", "''") for p in HEADER_PATTERNS]
 
@@ -83,7 +83,44 @@ def _useful(t):
     return _cleaned(t).select("doc", "page", F.col("clean").alias("text"))
 
 
-@query("recursive_fragments", ("book",))
+def _quoted(text: str) -> str:
+    return " || chr(10) || ".join(f"'{part}'" for part in text.split("\n"))
+
+
+def split_sql(pages: str, result: str) -> str:
+    """A query of the fragments (doc, page, size, overlap, n_in_page, text) of ``pages`` (doc, page, size, overlap, t).
+
+    Every separator is one level: texts that hold it are cut, long pieces go on to the next level and runs of short ones
+    become rows of piece lengths. One recursive query then walks all runs from fragment to fragment by their ends."""
+    key = "doc, page, size, overlap"
+    steps = [f"o0 AS (SELECT {key}, CAST([] AS BIGINT[]) AS path, t FROM {pages} WHERE t <> '')"]
+    for i, separator in enumerate(CHUNK_SEPARATORS):
+        s = _quoted(separator)
+        steps.append(f"""x{i} AS (SELECT {key}, path, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT *, list_filter(list_transform(string_split(t, {s}),
+  lambda q, k: CASE WHEN k > 1 THEN {s} || q ELSE q END), lambda q: q <> '') AS ps FROM o{i} WHERE contains(t, {s})) z),
+g{i} AS (SELECT *, length(p) >= size AS long, sum(CASE WHEN length(p) >= size THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, path ORDER BY j) AS run FROM x{i}),
+r{i} AS (SELECT {key}, path, min(j) AS a, list(length(p) ORDER BY j) AS ls, string_agg(p, '' ORDER BY j) AS whole FROM g{i} WHERE NOT long GROUP BY {key}, path, run),
+o{i + 1} AS (SELECT {key}, path, t FROM o{i} WHERE NOT contains(t, {s}) UNION ALL SELECT {key}, list_append(path, j), p FROM g{i} WHERE long)""")
+    last = len(CHUNK_SEPARATORS)
+    end = "coalesce(list_min(list_filter(range({s} + 1, m + 1), lambda i: cs[i + 1] - cs[{s}] > size)), m + 1)"
+    runs = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(last))
+    trimmed = "trim({t}, ' ' || chr(10) || chr(9) || chr(13))"
+    return f"""SELECT * FROM (WITH RECURSIVE {", ".join(steps)},
+rn AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, len(ls) AS m, list_transform(range(0, len(ls) + 1), lambda i: coalesce(list_sum(ls[1:i]), 0)) AS cs FROM ({runs}) u),
+pk AS (SELECT rid, CAST(1 AS BIGINT) AS s, CAST({end.format(s="1")} AS BIGINT) AS e FROM rn
+  UNION ALL SELECT rid, n AS s, CAST({end.format(s="n")} AS BIGINT) AS e FROM (SELECT rn.*, CAST(list_min(list_filter(range(pk.s, pk.e + 1),
+    lambda d: NOT (cs[pk.e] - cs[d] > overlap OR (cs[pk.e] - cs[d] > 0 AND cs[pk.e] - cs[d] + ls[pk.e] > size)))) AS BIGINT) AS n FROM pk JOIN rn USING (rid) WHERE pk.e <= m) y),
+fr AS (SELECT {key}, list_append(path, a + s - 1) AS path, {trimmed.format(t="substr(whole, CAST(cs[s] + 1 AS BIGINT), CAST(cs[e] - cs[s] AS BIGINT))")} AS text FROM pk JOIN rn USING (rid)
+  UNION ALL SELECT {key}, path, {trimmed.format(t="t")} FROM o{last})
+SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY path) - 1 AS INTEGER) AS n_in_page, text FROM fr WHERE text <> '') {result}"""
+
+
+_SPLIT = f""", {_CLEAN}, pg AS (SELECT doc, page, {TEXT.chunk_size} AS size, {TEXT.chunk_overlap} AS overlap, clean AS t FROM cu),
+fs AS ({split_sql("pg", "w")})"""
+
+
+@query("recursive_fragments", ("book",), f"""{_SPLIT} SELECT doc, page, n_in_page, CAST(length(text) AS INTEGER) AS chars,
+printf('%s::p%04d::c%03d::%s', doc, page, n_in_page, substr(sha1(text), 1, 10)) AS id FROM fs WHERE length(text) >= {TEXT.min_chars}""")
 def _recursive(t):
     return ops.chunk_pages(_useful(t)).select("doc", "page", "n_in_page", "chars", "id")
 
@@ -102,7 +139,13 @@ def _contracts(t):
     )
 
 
-@query("fragment_size_sweep", ("book",))
+_SIZES = ", ".join(f"({s}, {o})" for s, o in CHUNK_SWEEP)
+
+
+@query("fragment_size_sweep", ("book",), f""", {_CLEAN}, pg AS (SELECT doc, page, size, overlap, clean AS t FROM cu, (VALUES {_SIZES}) v(size, overlap)),
+fs AS ({split_sql("pg", "w")})
+SELECT size, overlap, count(*) AS fragments, round(avg(length(text)), 1) AS chars_mean, CAST(max(length(text)) AS INTEGER) AS chars_max
+FROM fs WHERE length(text) >= {TEXT.min_chars} GROUP BY size, overlap""")
 def _sweep(t):
     sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in CHUNK_SWEEP])
     pages = _useful(t).select("*", F.inline(sizes))
