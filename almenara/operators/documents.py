@@ -5,16 +5,20 @@ Pages are ``doc, page, text``; fragments add ``n_in_page, id, chars``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from almenara.functions.numeric import pct, rounded
-from almenara.functions.text import nfkc
+from almenara.functions.text import nfkc, stretches
 from almenara.operators.ordered import quantiles
 from almenara.settings import CHUNK_SEPARATORS, HEADER_PATTERNS, TEXT
 
@@ -163,18 +167,17 @@ def chunk_pages(
         T.StructField("fragment", T.StringType()),
     ])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["size"] if own else [size] * len(pdf)
-            overlaps = pdf["overlap"] if own else [overlap] * len(pdf)
-            cut = [split_text(t or "", int(s), int(o), separators) for t, s, o in zip(pdf["text"], sizes, overlaps)]
-            n = [len(c) for c in cut]
-            out = pdf[keep].loc[pdf.index.repeat(n)].reset_index(drop=True)
-            out["n_in_page"] = np.array([i for c in n for i in range(c)], dtype="int32")
-            out["fragment"] = [f for c in cut for f in c]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch has a number of rows, whatever their texts weigh; a stretch of it is bounded by bytes.
+        for part in (part for rb in batches for part in stretches(rb)):
+            sizes = part.column("size").to_pylist() if own else [size] * len(part)
+            overlaps = part.column("overlap").to_pylist() if own else [overlap] * len(part)
+            cut = [split_text(t or "", int(s), int(o), separators) for t, s, o in zip(part.column("text").to_pylist(), sizes, overlaps)]
+            kept = part.select(keep).take(pa.array(np.repeat(np.arange(len(cut)), [len(c) for c in cut])))
+            n_in_page = pa.array([i for c in cut for i in range(len(c))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept.columns, n_in_page, pa.array([f for c in cut for f in c], pa.string())], names=schema.names)
 
-    return _finish(pages.select(*keep, "text").mapInPandas(run, schema), keep)
+    return _finish(pages.select(*keep, "text").mapInArrow(run, schema), keep)
 
 
 def fixed_windows(pages: DataFrame, size: int = TEXT.chunk_size, overlap: int = TEXT.chunk_overlap) -> DataFrame:
@@ -210,22 +213,57 @@ SLOTS = 384
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def hashed_vectors(df: DataFrame, key: str, text: str, prefix: str = "", out: str = "embedding", slots: int = SLOTS) -> DataFrame:
-    """``key`` and a unit vector of signed word counts, entirely inside the JVM; ``key`` is unique.
+#: Vectors that a task holds at a time.
+VECTORS_AT_ONCE = 256
+#: Words whose slot a task remembers.
+KNOWN_WORDS = 200_000
+
+
+def _word_vectors(unit: bool, slots: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Lower-case texts to lists of signed word counts by slot, or to these divided by their length."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, int]] = {}
+
+        def place(word: str) -> tuple[int, int]:
+            if word not in known:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                digest = hashlib.md5(word.encode()).hexdigest()
+                known[word] = int(digest[:8], 16) % slots, 0 if word == "" else 1 if digest[8] < "8" else -1
+            return known[word]
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            n = len(texts)
+            words = pc.split_pattern_regex(texts, pattern=NO_WORD)
+            coded = words.flatten().dictionary_encode()
+            at = np.array([place(w) for w in coded.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+            text = np.repeat(np.arange(n, dtype=np.int64), pc.list_value_length(words).to_numpy())
+            counts = np.bincount(text * slots + at[:, 0], weights=at[:, 1], minlength=n * slots).reshape(n, slots)
+            if unit:
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                counts = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+            values = pa.array((counts if unit else counts.astype(np.int32)).ravel())
+            return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * slots, values)
+
+        for texts in batches:
+            yield from map(vectors, stretches(texts, VECTORS_AT_ONCE))
+
+    return run
+
 
-    A word's MD5 sum gives its slot (first eight digits) and its sign (ninth). Counts are added per key and slot on the
-    map side, so what is shuffled is no larger than the vectors. The vector of a text without words is zero.
+def hashed(text: Column, prefix: str = "", unit: bool = True, slots: int = SLOTS) -> Column:
+    """Signed word counts of a text as a unit vector, or as they are (``unit`` false: the same directions in less space).
+
+    A word's MD5 sum gives its slot (first eight digits) and its sign (ninth). Each text is counted where it is read,
+    so nothing is shuffled. The vector of a text without words is zero.
     """
-    words = F.split(F.lower(F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))), NO_WORD)
-    each = df.select(F.col(key).alias("_key"), F.explode_outer(words).alias("_word")).withColumn("_sum", F.md5("_word"))
-    slot = F.pmod(F.conv(F.substring("_sum", 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
-    sign = F.when(F.col("_word") == "", 0).when(F.substring("_sum", 9, 1) < "8", 1).otherwise(-1)
-    counts = each.groupBy("_key", slot.alias("_slot")).agg(F.sum(sign).cast("double").alias("_n"))
-    rows = counts.groupBy("_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("_slot", "_n"))).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm")
-    )  # at most ``slots`` entries
-    value = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("_m", i), F.col("_norm")), F.lit(0.0)))
-    return rows.select(F.col("_key").alias(key), value.alias(out))
+    kind = T.ArrayType(T.DoubleType() if unit else T.IntegerType())
+    return arrow_udf(_word_vectors(unit, slots), kind)(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))))
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, prefix: str = "", out: str = "embedding", slots: int = SLOTS) -> DataFrame:
+    """``key`` and the :func:`hashed` unit vector of each row."""
+    return df.select(key, hashed(F.col(text), prefix, slots=slots).alias(out))
 
 
 def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix: str = "passage: ", out: str = "embedding") -> DataFrame:
@@ -241,20 +279,16 @@ def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix
     return df.withColumn(out, run(F.col(text)))
 
 
-def _encoded(df: DataFrame, text: str, key: str | None, prefix: str, make_encoder: Callable[[], Encoder] | None) -> DataFrame:
-    if make_encoder is not None:
-        return encode(df, text, make_encoder, prefix)
-    if key is not None:
-        return df.join(hashed_vectors(df, key, text, prefix), key)
-    # A text is its own key: copies add up to a multiple of one vector, which has the same direction.
-    marked = df.withColumn("_text", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7919), text).alias("b")))
-    return marked.join(hashed_vectors(marked, "_text", text, prefix), "_text").drop("_text")
+def encode_passages(df: DataFrame, text: str = "text", make_encoder: Callable[[], Encoder] | None = None, unit: bool = True) -> DataFrame:
+    """``df`` with ``embedding``: of a model, or hashed word counts where none is given (of unit length, or as counted)."""
+    return _encoded(df, text, "passage: ", make_encoder, unit)
 
 
-def encode_passages(df: DataFrame, text: str = "text", key: str | None = None, make_encoder: Callable[[], Encoder] | None = None) -> DataFrame:
-    """``df`` with ``embedding``: of a model, or hashed word counts where none is given. A unique ``key`` saves the join on texts."""
-    return _encoded(df, text, key, "passage: ", make_encoder)
+def encode_queries(df: DataFrame, text: str = "text", make_encoder: Callable[[], Encoder] | None = None, unit: bool = True) -> DataFrame:
+    return _encoded(df, text, "query: ", make_encoder, unit)
 
 
-def encode_queries(df: DataFrame, text: str = "text", key: str | None = None, make_encoder: Callable[[], Encoder] | None = None) -> DataFrame:
-    return _encoded(df, text, key, "query: ", make_encoder)
+def _encoded(df: DataFrame, text: str, prefix: str, make_encoder: Callable[[], Encoder] | None, unit: bool) -> DataFrame:
+    if make_encoder is not None:
+        return encode(df, text, make_encoder, prefix)
+    return df.withColumn("embedding", hashed(F.col(text), prefix, unit))

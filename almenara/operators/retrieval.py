@@ -112,8 +112,19 @@ class Block:
         return query[kept], ids[kept], s[kept]
 
 
+def _blocks(size: Column) -> Column:
+    return F.greatest(F.coalesce(F.ceil(size * 2 / BLOCK_BYTES), F.lit(1)), F.lit(1)).cast("int").alias("n")
+
+
+def blocks_for(rows: DataFrame, vectors: Column, slots: int) -> Column:
+    """Number of blocks for as many vectors of ``slots`` numbers as ``vectors``, an aggregate over ``rows``, tells.
+
+    A search whose vectors are made on the way then makes them once, not a second time to add up their bytes."""
+    return rows.select(_blocks(vectors * (slots * 8 + 64))).scalar()
+
+
 def search(
-    corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", scope: str | None = None, blocks: int | None = None,
+    corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", scope: str | None = None, blocks: int | Column | None = None,
 ) -> DataFrame:
     """Exact cosine top-k of every query over the whole corpus, for any number of queries.
 
@@ -121,14 +132,14 @@ def search(
     follows from its bytes, so that a block has ``BLOCK_BYTES`` at most (half of it on average, as rows are dealt by
     hash); every query visits every block. A task holds one block, in clusters, and lets the queries pass in Arrow
     batches; a step of the product never holds more than ``CELLS`` scores, and k rows per query and block go on.
-    Nothing runs before the result is asked for: the number of blocks is a subquery of the plan.
+    Nothing runs before the result is asked for: the number of blocks is a subquery of the plan, here or of :func:`blocks_for`.
     """
     id_type, query_type = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("similarity", T.DoubleType()),
     ])
     size = F.sum(F.size(vector).cast("long") * 8 + 64)
-    n = F.lit(blocks) if blocks else corpus.select(F.coalesce(F.ceil(size * 2 / BLOCK_BYTES), F.lit(1)).cast("int").alias("n")).scalar()
+    n = corpus.select(_blocks(size)).scalar() if blocks is None else blocks if isinstance(blocks, Column) else F.lit(blocks)
     own = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may share a source
     left = corpus.select(F.pmod(F.xxhash64("id"), n).cast("int").alias("_b"), F.struct(*corpus.columns).alias("_c"))
     right = own.select(F.explode(F.sequence(F.lit(0), n - 1)).alias("_b"), F.struct(*own.columns).alias("_q"))

@@ -238,9 +238,10 @@ FROM {first('bm')} l JOIN {first('hv')} v USING (item_id) GROUP BY 1"""
 
 def _compared(t, within):
     """BM25 and hashed vectors over all documents and items."""
-    corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text"), key="id").select("id", "embedding")
-    asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), key="query_id").select("query_id", "embedding")
-    return ops.compare_rankings(_items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5)), within)
+    corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text"), unit=False).select("id", "embedding")
+    asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), unit=False).select("query_id", "embedding")
+    blocks = ops.blocks_for(t.documents, F.count("*"), docs.SLOTS)
+    return ops.compare_rankings(_items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5, blocks=blocks)), within)
 
 
 @query("lexical_and_semantic_by_style", (), _compared_sql(3))
@@ -308,23 +309,29 @@ def _answers(t):
 
 @query("fragment_size_evaluation")
 def _sizes(t):
-    """Re-chunk, re-encode and score every size in one job; a fragment's size is part of its search scope."""
+    """Re-chunk, re-encode and score every size in one job; a fragment's size is part of its search scope.
+
+    Vectors go from the task that counts them to their block and are stored nowhere. The number of blocks follows from the
+    characters: two fragments in a row hold about a size, short ones beside a long piece apart."""
     sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in CHUNK_SWEEP])
     pages = t.documents.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
     chunks = docs.chunk_pages(pages.select("*", F.inline(sizes)))
-    chunks = chunks.withColumn("id", F.concat_ws("|", F.col("size").cast("string"), "id")).select("id", "doc", "size", "chars", "text")
-    vectors = pin(docs.encode_passages(chunks, key="id").drop("text"))
+    # The document's id is a number and the second part of a fragment's id.
+    marked = chunks.withColumn("id", F.concat_ws("|", F.col("size").cast("string"), F.col("doc").cast("string"), "id"))
+    vectors = docs.encode_passages(marked, unit=False).select("id", "size", "embedding")
     each = t.benchmark.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size"))
-    asked = docs.encode_queries(each.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), F.col("item_id").cast("string"))), key="query_id")
-    hits = ops.semantic_search(vectors, asked.select("query_id", "size", "embedding"), 5, scope="size")
+    asked = docs.encode_queries(each.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), F.col("item_id").cast("string"))), unit=False)
+    blocks = ops.blocks_for(t.documents, F.sum(sum((F.ceil(2 * F.length("text") / s) for s, _ in CHUNK_SWEEP), F.lit(0))), docs.SLOTS)
+    hits = ops.semantic_search(vectors, asked.select("query_id", "size", "embedding"), 5, scope="size", blocks=blocks)
     whole = t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
+    doc = F.split_part("id", F.lit("|"), F.lit(2)).cast(whole.schema["doc"].dataType)
     judged = (
-        hits.join(vectors.select("id", "doc"), "id").join(whole, "doc")
+        hits.withColumn("doc", doc).join(whole, "doc")
         .join(asked.select("query_id", F.col("text").alias("item")), "query_id")
         .withColumn("relevant", F.contains("whole", "item"))
     )
     ranked = ops.first_hit(asked.select("query_id", "size", F.lit("in_domain").alias("kind")), judged)
     n = F.count("*")
     recall = [F.round(F.count_if(ops.true(F.col("first_rank") <= k)) / n, 4).alias(f"recall_at_{k}") for k in (1, 3, 5)]
-    lengths = vectors.groupBy("size").agg(F.count("*").alias("fragments"), F.round(F.avg("chars"), 1).alias("chars_mean"))
+    lengths = chunks.groupBy("size").agg(F.count("*").alias("fragments"), F.round(F.avg("chars"), 1).alias("chars_mean"))
     return ranked.groupBy("size").agg(*recall).join(lengths, "size")

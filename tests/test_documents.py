@@ -4,11 +4,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from almenara.functions import text
 from almenara.operators import documents as ops
 
 
@@ -97,3 +99,23 @@ def test_hashed_vectors_are_signed_word_counts(spark):
         assert got[i] == pytest.approx(list(want / np.linalg.norm(want)))
     bare = {r.id: r.embedding for r in ops.hashed_vectors(df, "id", "text").collect()}
     assert set(bare) == set(range(6)) and all(not any(bare[i]) for i in (1, 2, 5))
+
+
+def test_hashed_vectors_shuffle_and_store_nothing(spark, capsys):
+    df = spark.createDataFrame([(1, "una norma"), (1, "otra norma"), (2, "")], "id int, text string")
+    out = ops.encode_passages(df)
+    out.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert out.count() == 3  # rows of one key stay apart
+    counts = {r.text: np.array(r.embedding) for r in ops.encode_passages(df, unit=False).collect()}
+    for r in out.collect():
+        c = counts[r.text]
+        assert c.dtype.kind == "i" and r.embedding == pytest.approx(list(c / np.linalg.norm(c)))
+
+
+def test_texts_go_to_python_in_stretches_bounded_by_bytes():
+    rows = pa.array(["x" * 1000] * 5000 + [None, ""])
+    parts = list(text.stretches(rows))
+    assert pa.concat_arrays(parts).equals(rows)
+    assert max(p.nbytes for p in parts) <= text.STRETCH_BYTES * 1.1
+    assert max(len(p) for p in text.stretches(rows, 10)) == 10
