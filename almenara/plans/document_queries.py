@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almenara.functions.numeric import rounded
 from almenara.operators import documents as ops
 from almenara.operators import quality
 from almenara.plans.oracle_text import pct, rnd
@@ -162,7 +163,7 @@ def hashed_sql(name: str, table: str, key: str, prefix: str) -> str:
 
 
 @query("passage_vectors", (), f"""WITH {hashed_sql("hp", "documents", "doc_id", "passage: ")}
-SELECT k AS doc_id, 384 AS dims, round(sqrt(sum((n / norm) * (n / norm))), 4) AS norm, CAST(count(*) AS INTEGER) AS used, round(sum((slot + 1) * n / norm), 4) AS moment
+SELECT k AS doc_id, 384 AS dims, round(sqrt(sum((n / norm) * (n / norm))), 4) AS norm, CAST(count(*) AS INTEGER) AS used, {rnd('sum((slot + 1) * n / norm)', 4)} AS moment
 FROM hp JOIN hp_n USING (k) GROUP BY k""")
 def _vectors(t):
     v = ops.encode_passages(t.documents.select("doc_id", "text"))
@@ -170,5 +171,5 @@ def _vectors(t):
     moment = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return v.select(
         "doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"),
-        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), F.round(moment, 4).alias("moment"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), rounded(moment, 4).alias("moment"),
     )

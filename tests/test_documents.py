@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from almenara.functions import text
 from almenara.operators import documents as ops
 
@@ -119,3 +122,24 @@ def test_texts_go_to_python_in_stretches_bounded_by_bytes():
     assert pa.concat_arrays(parts).equals(rows)
     assert max(p.nbytes for p in parts) <= text.STRETCH_BYTES * 1.1
     assert max(len(p) for p in text.stretches(rows, 10)) == 10
+
+
+def test_moments_on_the_edge_of_rounding_equal_their_sql(spark, tmp_path):
+    """The length of these vectors is 96 and their moment ends in exactly half of the fourth decimal."""
+    def place(word):
+        digits = hashlib.md5(word.encode()).hexdigest()
+        return int(digits[:8], 16) % ops.SLOTS, 1 if digits[8] < "8" else -1
+
+    rng, repeats, wanted = np.random.default_rng(5), (95, 13, 4, 2, 1), {}
+    while len(wanted) < 40:
+        words = ["passage", *(f"w{i}" for i in rng.integers(0, 100_000, 5))]
+        at = [place(w) for w in words]
+        moment = sum((slot + 1) * sign * n for (slot, sign), n in zip(at, (1, *repeats)))
+        if len({slot for slot, _ in at}) == 6 and 20_000 * moment % 96 == 0 and 20_000 * moment // 96 % 2:
+            wanted[len(wanted)] = " ".join(" ".join([w] * n) for w, n in zip(words[1:], repeats)), round(Fraction(moment, 96), 4)
+    spark.createDataFrame([(i, t) for i, (t, _) in wanted.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.moment for r in registry.queries()["passage_vectors"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = {r[0]: r[-1] for r in con.execute(registry.oracle_sql()["passage_vectors"]).fetchall()}
+    assert got == theirs == {i: float(m) for i, (_, m) in wanted.items()}
