@@ -186,3 +186,20 @@ def test_map_values_join_by_normalised_name(spark):
     values = spark.createDataFrame([("JUNIN", 5), ("Cusco", 7)], "department string, n int")
     out = {r.id: r["n"] for r in territory.attach_by_name(shapes, ["a", "b"], values, "department", {"n": 0}).collect()}
     assert out == {1: 5, 2: 7, 3: 0}
+
+
+def test_rows_that_need_no_partner_are_dealt_over_all_tasks(spark):
+    """Rows with a known department carry no key into the joins of the cascade; they must not crowd one partition."""
+    rows = spark.range(4000).selectExpr("id", "if(id % 100 = 0, id, null) AS key")
+    found = spark.range(0, 4000, 100).selectExpr("id AS _on", "id AS value")
+    auto, adaptive = (spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = territory._join_open(rows, found, F.col("key").isNotNull(), F.col("key"))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert out.filter("value IS NOT NULL").count() == 40 and out.filter("value = key").count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(sizes) == 4000 and max(sizes) < 1500
