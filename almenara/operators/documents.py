@@ -11,14 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from almenara.functions.numeric import pct, rounded
-from almenara.functions.text import nfkc, stretches
+from almenara.functions.text import byte_words, nfkc, stretches
 from almenara.operators.ordered import quantiles
 from almenara.settings import CHUNK_SEPARATORS, HEADER_PATTERNS, TEXT
 
@@ -210,35 +209,44 @@ Encoder = Callable[[list[str]], np.ndarray]
 #: Slots of a hashed vector.
 SLOTS = 384
 #: What parts words: every ASCII character that is neither letter nor digit.
-NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NO_WORD_CHARACTERS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 #: Vectors that a task holds at a time.
 VECTORS_AT_ONCE = 256
-#: Words whose slot a task remembers.
+#: Words whose slot a task remembers (and those of one stretch more).
 KNOWN_WORDS = 200_000
 
 
+def _placer(slots: int) -> Callable[[pa.Array], np.ndarray]:
+    """Slot and sign of each word (twice the slot, and one if the sign is negative); words are remembered."""
+    known: dict[bytes, int] = {}
+
+    def place(words: pa.Array) -> np.ndarray:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in listed if w not in known]
+        digests = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in new]), np.uint8).reshape(-1, 16)
+        at = (np.ascontiguousarray(digests[:, :4]).view(">u4")[:, 0] % slots).astype(np.int64) * 2 + (digests[:, 4] >> 7)
+        known.update(zip(new, at.tolist()))
+        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))
+
+    return place
+
+
 def _word_vectors(unit: bool, slots: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     """Lower-case texts to lists of signed word counts by slot, or to these divided by their length."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, tuple[int, int]] = {}
-
-        def place(word: str) -> tuple[int, int]:
-            if word not in known:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                digest = hashlib.md5(word.encode()).hexdigest()
-                known[word] = int(digest[:8], 16) % slots, 0 if word == "" else 1 if digest[8] < "8" else -1
-            return known[word]
+        place = _placer(slots)
 
         def vectors(texts: pa.Array) -> pa.Array:
             n = len(texts)
-            words = pc.split_pattern_regex(texts, pattern=NO_WORD)
-            coded = words.flatten().dictionary_encode()
-            at = np.array([place(w) for w in coded.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
-            text = np.repeat(np.arange(n, dtype=np.int64), pc.list_value_length(words).to_numpy())
-            counts = np.bincount(text * slots + at[:, 0], weights=at[:, 1], minlength=n * slots).reshape(n, slots)
+            words, of_text = byte_words(texts, NO_WORD_CHARACTERS)
+            coded = words.dictionary_encode()
+            at = place(coded.dictionary)[coded.indices.to_numpy()]
+            text = np.repeat(np.arange(n, dtype=np.int64), of_text)
+            counts = np.bincount(text * slots + (at >> 1), weights=1 - 2 * (at & 1), minlength=n * slots).reshape(n, slots).astype(np.float64, copy=False)
             if unit:
                 norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 counts = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)

@@ -104,6 +104,20 @@ def test_hashed_vectors_are_signed_word_counts(spark):
     assert set(bare) == set(range(6)) and all(not any(bare[i]) for i in (1, 2, 5))
 
 
+def test_words_of_texts_are_what_the_pattern_parts():
+    texts = ["..ab cd", "", "é-ñ_", "cd", "ab", "\x00\x7f", "x" * 3000, "ﬁ 7"]
+    for rows in (pa.array(texts), pa.array(texts).slice(3), pa.array(texts, pa.large_string()).slice(1, 4), pa.array([], pa.string()), pa.array(["", ""])):
+        words, n = text.byte_words(rows, ops.NO_WORD_CHARACTERS)
+        parted = [re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t) for t in rows.to_pylist()]
+        assert [w.decode() for w in words.to_pylist()] == [w for p in parted for w in p] and list(n) == [len(p) for p in parted]
+
+
+def test_hashed_vectors_of_stretches_without_words_and_of_parted_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["", "...", None, "ab", "cd", "Ñandú ñANDÚ", ""])]
+    got = {r.id: np.array(r.embedding) for r in ops.hashed_vectors(spark.createDataFrame(rows, "id int, text string").coalesce(1), "id", "text").collect()}
+    assert [int(np.count_nonzero(got[i])) for i in range(7)] == [0, 0, 0, 1, 1, 1, 0]
+
+
 def test_hashed_vectors_shuffle_and_store_nothing(spark, capsys):
     df = spark.createDataFrame([(1, "una norma"), (1, "otra norma"), (2, "")], "id int, text string")
     out = ops.encode_passages(df)
