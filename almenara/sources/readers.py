@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almenara.functions import digest
 from almenara.operators.inequality import load_poverty
 
 # Column names of the published files.
@@ -61,6 +62,9 @@ AWARD_COLUMNS = {
 }
 # End of the fixed values.
 
+#: Bytes of a file that one task of the manifest reads.
+STRETCH_BYTES = 256 << 20
+
 _BOM = "﻿"
 
 
@@ -147,12 +151,44 @@ def read_staff(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """Name, bytes, SHA-256 and time of every file."""
+def _address(spark: SparkSession, path: str) -> str:
+    """Where the file lies after mount points, as a URI that tasks can open."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(at).toUri().toString()
+
+
+def long_digests(spark: SparkSession, files: DataFrame, stretch: int) -> DataFrame:
+    """``path, sha256`` of files that are longer than ``stretch``.
+
+    SHA-256 is one chain over the bytes of a file. It is followed in turns: in each, one task a file reads one stretch and
+    hands on the state of the chain. The driver holds a row of about 200 bytes for a file, never its bytes.
+    """
+    todo = [(r.path, _address(spark, r.path), r.length, b"") for r in files.select("path", "length").collect()]
+    stretch = stretch if digest.resumable() else max((length for _, _, length, _ in todo), default=stretch)
+    done, at = [], 0
+    while todo:
+        def turn(row: tuple, at: int = at) -> tuple:
+            path, address, length, state = row
+            return path, address, length, digest.advance(address, state, at, min(at + stretch, length), length)
+
+        # A slice for each file, so that no task reads two stretches.
+        rows = spark.sparkContext.parallelize(todo, len(todo)).map(turn).collect()
+        at += stretch
+        done += [(path, state.decode()) for path, _, length, state in rows if length <= at]
+        todo = [row for row in rows if row[2] > at]
+    return spark.createDataFrame(done, "path string, sha256 string")
+
+
+def file_manifest(spark: SparkSession, pattern: str, stretch: int = STRETCH_BYTES) -> DataFrame:
+    """Name, bytes, SHA-256 and time of every file; files over ``stretch`` bytes are read when this is called."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select(
+    long_ = files.filter(F.col("length") > stretch)
+    hashed = files.filter(F.col("length") <= stretch).withColumn("sha256", F.sha2("content", 256)).drop("content").unionByName(
+        long_.drop("content").join(long_digests(spark, long_, stretch), "path")
+    )
+    return hashed.select(
         F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"),
+        "sha256", F.col("modificationTime").alias("modified"),
     )
 
 

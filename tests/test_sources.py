@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from almenara.functions import digest
 from almenara.operators import costs
 from almenara.sources import readers, sinks
 from almenara.streaming.incremental import load_stream
@@ -115,6 +116,39 @@ def test_manifest_and_its_check(spark, tmp_path):
     assert out == {"a.bin": (True, True, True), "b.bin": (True, False, False), "c.bin": (False, False, False)}
 
 
+def test_manifest_of_files_longer_than_a_stretch(spark, tmp_path):
+    sizes = {"one.bin": 1, "whole.bin": 100, "a b#1.bin": 101, "even.bin": 300, "long.bin": 1234}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(i * i % 251 for i in range(n)))
+    expected = {name: (n, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()) for name, n in sizes.items()}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.m.link./in", f"file://{tmp_path}")
+    for pattern in (f"{tmp_path}/*.bin", "viewfs://m/in/*.bin"):
+        m = readers.file_manifest(spark, pattern, stretch=100)
+        assert {r.name: (r.bytes, r.sha256) for r in m.collect()} == expected
+        assert m.schema == readers.file_manifest(spark, pattern).schema and m.filter("modified is null").isEmpty()
+
+
+def test_manifest_reads_a_stretch_at_a_time(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 1000)
+    m = readers.file_manifest(spark, str(tmp_path / "*.bin"), stretch=300)
+    state = b""
+    for at in (0, 300, 600, 900):
+        state = digest.advance(str(tmp_path / "a.bin"), state, at, min(at + 300, 1000), 1000)
+    assert state.decode() == m.first().sha256 == hashlib.sha256(b"x" * 1000).hexdigest()
+    with pytest.raises(OSError, match="ends at byte 1000"):
+        digest.advance(str(tmp_path / "a.bin"), b"", 0, 1001, 1001)
+
+
+def test_manifest_of_a_file_that_the_binary_source_refuses(spark, tmp_path):
+    with (tmp_path / "a.bin").open("wb") as f:
+        f.truncate(2**31 + 5)
+        f.seek(2**31)
+        f.write(b"tail")
+    with (tmp_path / "a.bin").open("rb") as f:
+        expected = hashlib.file_digest(f, "sha256").hexdigest()
+    assert [(r.bytes, r.sha256) for r in readers.file_manifest(spark, str(tmp_path / "*.bin")).collect()] == [(2**31 + 5, expected)]
+
+
 def test_stream_load_adds_each_fragment_once(spark, tmp_path):
     src, path = tmp_path / "in", str(tmp_path / "index")
     for step, ids in enumerate((["x", "y"], ["y", "z"])):
