@@ -16,10 +16,17 @@ smaller id. A query that fewer than k documents share a term with is filled up w
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from almenara.functions.text import words
+from almenara.functions.text import BLANKS, byte_words, stretches, words
 from almenara.operators.ordered import top_n
 from almenara.session import pin
 from almenara.settings import RETRIEVAL
@@ -37,38 +44,118 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def term_weights(corpus: DataFrame, queries: DataFrame, text: str = "text", epsilon: float = RETRIEVAL.bm25_epsilon) -> DataFrame:
-    """``query_id, term, weight, df, mean_length``; a term in over half of the documents gets ``epsilon`` x mean idf.
+def _distinct(texts: pa.Array, asked: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of lower-case texts, and for each distinct (``asked``) term of a text: the text, the term's place among the terms and how often
+    it occurs. Each text begins with an entry without a term (place -1) that has the number of all its words."""
+    found, of_text = byte_words(texts, BLANKS)
+    coded = found.dictionary_encode()
+    terms = coded.dictionary.cast(pa.string())
+    size = len(terms) + 1
+    text = np.arange(len(texts), dtype=np.int64) * size
+    code = coded.indices.to_numpy() + 1
+    keys = np.repeat(text, of_text) + code
+    if asked is not None:
+        keep = pc.is_in(terms, value_set=asked).to_numpy(zero_copy_only=False)
+        keys = keys[keep[code - 1]]
+    keys = np.sort(np.concatenate([text, keys]))
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    tf = np.diff(at, append=len(keys))
+    of, place = np.divmod(keys[at], size)
+    tf[place == 0] = of_text
+    return terms, of, place - 1, tf
+
+
+def _counts(asked: Broadcast | None) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in (part for texts in batches for part in stretches(texts)):
+            terms, of, place, tf = _distinct(part, None if asked is None else asked.value)
+            entries = pa.StructArray.from_arrays([terms.take(pa.array(place, mask=place < 0)), pa.array(tf, pa.int64())], ["term", "tf"])
+            starts = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(starts), entries, mask=part.is_null())
+
+    return run
+
+
+def counted_documents(corpus: DataFrame, asked: Broadcast | None = None, text: str = "text") -> DataFrame:
+    """``id, length, counts``: the distinct (``asked``) terms of a document, counted in the task that reads it, in Arrow stretches.
+
+    The first of the counts has no term and stands for the document itself.
+    """
+    counts = arrow_udf(_counts(asked), "array<struct<term: string, tf: bigint>>")(F.lower(text))
+    return corpus.select("id", counts.alias("counts")).select("id", F.col("counts")[0]["tf"].alias("length"), "counts")
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """``id, length, term, tf``; outer, as a filter would count the words again."""
+    return docs.select("id", "length", F.inline_outer("counts"))
+
+
+def term_counts(corpus: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """``id, length, term, tf`` of the given terms (column ``term``, each once; the NULL term for the documents themselves)."""
+    wanted = terms.select(F.col("term").alias("_t"))
+    return entries(counted_documents(corpus, text=text)).join(wanted, F.col("term").eqNullSafe(F.col("_t")), "left_semi")
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (part for batch in batches for part in stretches(batch.column(0))):
+        terms, _, place, _ = _distinct(part)
+        yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(place[place >= 0], minlength=len(terms)))], ["term", "df"])
+
+
+def vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """``term, df`` of all terms of the corpus; a stretch of texts is added up where it is read."""
+    return corpus.select(F.lower(text).alias("t")).mapInArrow(_vocabulary, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def asked_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+    return queries.select("query_id", F.explode(words(F.lower(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("repeats"))
+
+
+def and_documents(terms: DataFrame) -> DataFrame:
+    """The distinct terms and the NULL term."""
+    return terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
+
 
-    One pass over the documents combines on the map side; the NULL term of each document counts the documents and adds
-    up their lengths. Terms that no document holds are left out.
+def weigh(corpus: DataFrame, asked: DataFrame, counted: DataFrame, text: str = "text", epsilon: float = RETRIEVAL.bm25_epsilon) -> DataFrame:
+    """:func:`term_weights` of ``asked`` terms whose counts and documents are in ``counted``.
+
+    The mean idf of all terms of the corpus is taken only when an asked term is in over half of the documents: no other weight needs it.
     """
-    docs = corpus.select(words(F.lower(text)).alias("tokens"))
-    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
-    frequency = pin(
-        docs.select(F.size("tokens").alias("length"), F.explode_outer(marked).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
-    )
+    frequency = pin(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")))
     whole = frequency.filter(F.col("term").isNull())
     total = whole.select("df").scalar()
-    idf = F.ln(total - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weighted = frequency.filter(F.col("term").isNotNull()).select("term", "df", idf.alias("idf"))
-    floor = weighted.agg(F.avg("idf").alias("m")).scalar() * epsilon
-    asked = queries.select("query_id", F.explode(words(F.lower(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("repeats"))
+
+    def with_idf(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("term").isNotNull()).select("term", "df", (F.ln(total - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+
+    weighted = with_idf(frequency)
+    floor = F.lit(None).cast("double")
+    if not weighted.filter("idf < 0").isEmpty():
+        floor = F.lit(with_idf(vocabulary(corpus, text)).agg(F.avg("idf")).first()[0] * epsilon)
     final = F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("repeats")
     return asked.join(weighted, "term").select(
         "query_id", "term", final.alias("weight"), "df", whole.select(F.col("length") / F.col("df")).scalar().alias("mean_length")
     )
 
 
-def postings(corpus: DataFrame, terms: DataFrame, mean_length: float, blocks: int, text: str = "text", k1: float = RETRIEVAL.bm25_k1, b: float = RETRIEVAL.bm25_b) -> DataFrame:
-    """``term, id, block, impact`` of the given terms (column ``term``, each once); ``block`` is one of ``blocks`` groups of documents."""
-    docs = corpus.select("id", words(F.lower(text)).alias("tokens"))
-    flat = docs.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))  # outer: no filter that would cut the text again
-    counted = flat.join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+def term_weights(corpus: DataFrame, queries: DataFrame, text: str = "text", epsilon: float = RETRIEVAL.bm25_epsilon) -> DataFrame:
+    """``query_id, term, weight, df, mean_length``; a term in over half of the documents gets ``epsilon`` x mean idf.
+
+    Terms that no document holds are left out.
+    """
+    asked = asked_terms(queries, text)
+    return weigh(corpus, asked, pin(term_counts(corpus, and_documents(asked), text)), text, epsilon)
+
+
+def impacts(counted: DataFrame, mean_length: float, blocks: int, k1: float = RETRIEVAL.bm25_k1, b: float = RETRIEVAL.bm25_b) -> DataFrame:
     norm = F.lit(1 - b) + F.lit(b / (mean_length or 1.0)) * F.col("length")
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return counted.select("term", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), impact.alias("impact"))
+    return counted.filter(F.col("term").isNotNull()).select("term", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), impact.alias("impact"))
+
+
+def postings(corpus: DataFrame, terms: DataFrame, mean_length: float, blocks: int, text: str = "text", k1: float = RETRIEVAL.bm25_k1, b: float = RETRIEVAL.bm25_b) -> DataFrame:
+    """``term, id, block, impact`` of the given terms (column ``term``, each once); ``block`` is one of ``blocks`` groups of documents."""
+    return impacts(term_counts(corpus, terms, text), mean_length, blocks, k1, b)
 
 
 def reach(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -110,15 +197,17 @@ def bars(held: DataFrame, plan: DataFrame, early: DataFrame, rows: int, k: int)
     return best.filter(F.col("rank") == k).select("query_id", (F.col("score") - ROOM).alias("bar"))
 
 
-def candidates(held: DataFrame, plan: DataFrame, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Documents that may be among the k best, with what they have so far, and the terms still to be looked up for them."""
+def candidates(held: DataFrame, plan: DataFrame, rows: int, k: int, tops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be among the k best, with what they have so far, and the terms still to be looked up for them.
+
+    ``tops`` has the largest impacts by term and block, if they are known."""
     early = pin(added(lookup(held, plan.filter("early"), rows)))
     bar = pin(bars(held, plan, early, rows, k))
     commonest = Window.partitionBy("query_id").orderBy(F.desc("df"), "term")
     rest = plan.filter("not early").join(bar, "query_id", "left").withColumn("late", F.coalesce(F.sum("most").over(commonest) < F.col("bar"), F.lit(False)))
     partial = added(early.unionByName(lookup(held, rest.filter("not late"), rows)))
     late = rest.filter("late").select("query_id", "term", "weight", "df")
-    top = held.groupBy("term", "block").agg(F.max("impact").alias("top"))
+    top = (held if tops is None else tops).groupBy("term", "block").agg(F.max("impact").alias("top"))
     lift = top.join(small(late, rows), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("lift"))
     open_ = partial.join(lift, ["query_id", "block"], "left").join(small(bar, rows), "query_id", "left")
     may = F.col("bar").isNull() | (F.col("score") + F.coalesce("lift", F.lit(0.0)) >= F.col("bar"))
@@ -146,11 +235,18 @@ def bm25_search(
 ) -> DataFrame:
     """The k best documents of each query over lower-case white-space tokens; ``corpus`` has one row per ``id``."""
     blocks = blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = pin(term_weights(corpus, queries, text, epsilon))
+    wanted = pin(asked_terms(queries, text))
+    if wanted.count() <= BROADCAST_TERMS:
+        known = corpus.sparkSession.sparkContext.broadcast(wanted.select("term").distinct().toArrow().column("term").combine_chunks())
+        counted = entries(pin(counted_documents(corpus, known, text)))
+    else:
+        counted = pin(term_counts(corpus, and_documents(wanted), text))
+    asked = pin(weigh(corpus, wanted, counted, text, epsilon))
     rows, mean_length, least = asked.agg(F.count("*"), F.max("mean_length"), F.min("weight")).first()
-    held = pin(postings(corpus, small(asked.select("term").distinct(), rows), mean_length or 1.0, blocks, text, k1, b))
-    plan = pin(reach(asked, held))
-    open_, late = candidates(held, plan, rows, k)
+    held = impacts(counted, mean_length or 1.0, blocks, k1, b)
+    tops = pin(held.groupBy("term", "block").agg(F.max("impact").alias("impact")))
+    plan = pin(reach(asked, tops))
+    open_, late = candidates(held, plan, rows, k, tops)
     open_ = pin(open_)
     scored = open_.unionByName(full(held, open_, late, rows)).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     # Without negative weights every candidate has a score of 0 or more, so candidates tell which queries are short of k.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almenara.operators import documents as docs
-from almenara.operators import index
+from almenara.operators import index, lexical
 from almenara.operators import retrieval as ops
 from almenara.plans.document_queries import _FIXED, hashed_sql
 from almenara.plans.oracle_text import pct, rnd
@@ -186,7 +186,11 @@ sc AS (SELECT item_id, doc_id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75
 bm AS (SELECT item_id AS query_id, doc_id AS id, s AS similarity, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM sc)"""
 
 
-def _lexical(t, k=5):
+#: Hits of a query.
+K = 5
+
+
+def _lexical(t, k=K):
     # The given files have one row group each; dealt by id, their texts are read into words by all tasks.
     corpus = t.documents.select(F.col("doc_id").alias("id"), "text").repartition("id")
     return ops.bm25_search(corpus, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), k)
@@ -198,7 +202,8 @@ def _bm25(t):
 
 
 def _contains_item(t, hits):
-    """A hit is relevant when the document holds the text of the item."""
+    """A hit is relevant when the document holds the text of the item; few hits go to the texts, not the texts to them."""
+    hits = lexical.small(hits, K * t.benchmark.count())
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
     items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     return hits.join(texts, "id").join(items, "query_id").withColumn(
@@ -241,7 +246,7 @@ def _compared(t, within):
     corpus = docs.encode_passages(t.documents.select(F.col("doc_id").alias("id"), "text"), unit=False).select("id", "embedding")
     asked = docs.encode_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), unit=False).select("query_id", "embedding")
     blocks = ops.blocks_for(t.documents, F.count("*"), docs.SLOTS)
-    return ops.compare_rankings(_items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, 5, blocks=blocks)), within)
+    return ops.compare_rankings(_items(t), _contains_item(t, _lexical(t)), _contains_item(t, ops.semantic_search(corpus, asked, K, blocks=blocks)), within)
 
 
 @query("lexical_and_semantic_by_style", (), _compared_sql(3))

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from almenara.functions.text import words
 from almenara.operators import index, lexical, retrieval as ops
 
 
@@ -229,6 +230,45 @@ def test_bm25_joins_on_terms(spark):
     assert "Join LeftSemi, (term" in plan and "MapInArrow" not in plan
 
 
+def test_bm25_reads_words_once(spark):
+    """A second time only for the mean idf, which the weight of a term in over half of the documents takes."""
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (read.add(1), t)[1])
+    corpus = spark.createDataFrame([(i, f"all w{i % 7} w{i % 5} u{i}") for i in range(70)], "id long, text string").select("id", seen("text").alias("text"))
+    for asked, times in (("w1 u3", 1), ("w1 all", 2)):
+        before = read.value
+        queries = spark.createDataFrame([(1, asked)], "query_id long, text string")
+        assert ops.bm25_search(corpus, queries, 3).count() == 3
+        assert read.value - before == 70 * times
+
+
+ODD = [None, "", " \t\n", "Straße ÜBER über", "a\u00a0b a\x0bb\x0cc", "İi ǅ ǆ", "x" * 3000 + " x", "\ta a  A\r\nb\n", "日本 語 日本"]
+
+
+def test_bm25_counts_words_as_the_column_expression_does(spark, monkeypatch):
+    corpus = spark.createDataFrame(list(enumerate(ODD * 3)), "id long, text string").repartition(2)
+    tokens = corpus.select("id", words(F.lower("text")).alias("w"))
+    terms = tokens.select(F.explode("w").alias("term")).distinct()
+    expected = {tuple(r) for r in tokens.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).groupBy("id", "n", "t").count().collect()}
+    documents = {(r.id, r.n, None, r.n) for r in tokens.select("id", F.size("w").alias("n")).collect()}
+    whole = {tuple(r) for r in lexical.term_counts(corpus, lexical.and_documents(terms)).collect()}
+    assert whole == expected | documents
+    known = spark.sparkContext.broadcast(pa.array(["über", "a", "nowhere"]))
+    for stretch in (1 << 20, 16):
+        monkeypatch.setattr("almenara.functions.text.STRETCH_BYTES", stretch)
+        some = {tuple(r) for r in lexical.entries(lexical.counted_documents(corpus, known)).collect()}
+        assert some == {r for r in whole if r[2] in ("über", "a", None)}
+        assert {tuple(r) for r in lexical.vocabulary(corpus).collect()} == {tuple(r) for r in terms.join(tokens.select("id", F.explode(F.array_distinct("w")).alias("term")), "term").groupBy("term").count().collect()}
+
+
+def test_bm25_with_more_terms_than_are_broadcast(spark, monkeypatch):
+    corpus = spark.createDataFrame(list(enumerate(passages(11, 200))), "id long, text string")
+    queries = spark.createDataFrame(list(enumerate(passages(12, 8))), "query_id long, text string")
+    few = sorted(map(tuple, ops.bm25_search(corpus, queries, 5).collect()))
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 3)
+    assert sorted(map(tuple, ops.bm25_search(corpus, queries, 5).collect())) == few
+
+
 def test_bm25_without_queries_or_documents(spark):
     corpus = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string")
     queries = spark.createDataFrame([(1, "a"), (2, None)], "query_id long, text string")
