@@ -162,14 +162,26 @@ def hashed_sql(name: str, table: str, key: str, prefix: str) -> str:
 {name}_n AS (SELECT k, sqrt(sum(n * n)) AS norm FROM {name} GROUP BY 1)"""
 
 
-@query("passage_vectors", (), f"""WITH {hashed_sql("hp", "documents", "doc_id", "passage: ")}
-SELECT k AS doc_id, 384 AS dims, round(sqrt(sum((n / norm) * (n / norm))), 4) AS norm, CAST(count(*) AS INTEGER) AS used, {rnd('sum((slot + 1) * n / norm)', 4)} AS moment
-FROM hp JOIN hp_n USING (k) GROUP BY k""")
+#: The moment is a sum of whole numbers over the length: no order of summation shows in it, nor in the sign of a zero.
+#: A document whose words cancel has the zero vector, and documents of one id stay apart.
+@query("passage_vectors", (), f"""WITH dk AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents), {hashed_sql("hp", "dk", "row_id", "passage: ")},
+hm AS (SELECT k, round(sqrt(sum((n / norm) * (n / norm))), 4) AS norm, CAST(count(*) AS INTEGER) AS used, {rnd('sum((slot + 1) * n) / max(norm)', 4)} + 0.0 AS moment FROM hp JOIN hp_n USING (k) GROUP BY k)
+SELECT doc_id, 384 AS dims, coalesce(norm, 0.0) AS norm, coalesce(used, 0) AS used, coalesce(moment, 0.0) AS moment FROM dk LEFT JOIN hm ON k = row_id""")
 def _vectors(t):
-    v = ops.encode_passages(t.documents.select("doc_id", "text"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    moment = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    v = ops.encode_passages(t.documents.select("doc_id", "text"), unit=False)
+    n = F.transform("embedding", lambda x: x.cast("long"))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    v = v.select(
+        "doc_id", "embedding", F.sqrt(total(F.transform(n, lambda x: x * x))).alias("length"),
+        total(F.transform(n, lambda x, i: x * (i + 1))).alias("moment"),
+    )
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x / F.col("length")), F.lit(0.0), lambda a, x: a + x * x))
+    has_direction = F.col("length") > 0
     return v.select(
-        "doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"),
-        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), rounded(moment, 4).alias("moment"),
+        "doc_id", F.size("embedding").alias("dims"), F.when(has_direction, F.round(norm, 4)).otherwise(0.0).alias("norm"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"),
+        F.when(has_direction, rounded(F.col("moment") / F.col("length"), 4) + 0.0).otherwise(0.0).alias("moment"),
     )
