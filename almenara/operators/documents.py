@@ -212,6 +212,8 @@ SLOTS = 384
 NO_WORD_CHARACTERS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
+#: What stands before a text that is searched and before one that asks.
+PASSAGE, QUERY = "passage: ", "query: "
 #: Vectors that a task holds at a time.
 VECTORS_AT_ONCE = 256
 #: Words whose slot a task remembers (and those of one stretch more).
@@ -235,30 +237,48 @@ def _placer(slots: int) -> Callable[[pa.Array], np.ndarray]:
     return place
 
 
+def word_counts(slots: int = SLOTS) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+    """A function from prepared texts (:func:`prepared`) to their signed word counts by slot, some texts at a time."""
+    place = _placer(slots)
+
+    def counts(texts: pa.Array) -> Iterator[np.ndarray]:
+        for part in stretches(texts):
+            words, of_text = byte_words(part, NO_WORD_CHARACTERS)
+            coded = words.dictionary_encode()
+            at = place(coded.dictionary)[coded.indices.to_numpy()]
+            ends = np.append(0, np.cumsum(of_text))
+            for lo in range(0, len(part), VECTORS_AT_ONCE):
+                hi = min(lo + VECTORS_AT_ONCE, len(part))
+                text, here = np.repeat(np.arange(hi - lo, dtype=np.int64), of_text[lo:hi]), at[ends[lo] : ends[hi]]
+                flat = np.bincount(text * slots + (here >> 1), weights=1 - 2 * (here & 1), minlength=(hi - lo) * slots)
+                yield flat.reshape(hi - lo, slots).astype(np.float64, copy=False)
+
+    return counts
+
+
 def _word_vectors(unit: bool, slots: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     """Lower-case texts to lists of signed word counts by slot, or to these divided by their length."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        place = _placer(slots)
+        counted = word_counts(slots)
 
-        def vectors(texts: pa.Array) -> pa.Array:
-            n = len(texts)
-            words, of_text = byte_words(texts, NO_WORD_CHARACTERS)
-            coded = words.dictionary_encode()
-            at = place(coded.dictionary)[coded.indices.to_numpy()]
-            text = np.repeat(np.arange(n, dtype=np.int64), of_text)
-            counts = np.bincount(text * slots + (at >> 1), weights=1 - 2 * (at & 1), minlength=n * slots).reshape(n, slots).astype(np.float64, copy=False)
+        def lists(counts: np.ndarray) -> pa.Array:
             if unit:
                 norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 counts = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
             values = pa.array((counts if unit else counts.astype(np.int32)).ravel())
-            return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * slots, values)
+            return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * slots, values)
 
         for texts in batches:
-            yield from map(vectors, stretches(texts, VECTORS_AT_ONCE))
+            yield from map(lists, counted(texts))
 
     return run
 
 
+def prepared(text: Column, prefix: str) -> Column:
+    """What the words of a hashed vector are taken from."""
+    return F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
+
+
 def hashed(text: Column, prefix: str = "", unit: bool = True, slots: int = SLOTS) -> Column:
     """Signed word counts of a text as a unit vector, or as they are (``unit`` false: the same directions in less space).
 
@@ -266,7 +286,7 @@ def hashed(text: Column, prefix: str = "", unit: bool = True, slots: int = SLOTS
     so nothing is shuffled. The vector of a text without words is zero.
     """
     kind = T.ArrayType(T.DoubleType() if unit else T.IntegerType())
-    return arrow_udf(_word_vectors(unit, slots), kind)(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))))
+    return arrow_udf(_word_vectors(unit, slots), kind)(prepared(text, prefix))
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, prefix: str = "", out: str = "embedding", slots: int = SLOTS) -> DataFrame:
@@ -274,7 +294,7 @@ def hashed_vectors(df: DataFrame, key: str, text: str, prefix: str = "", out: st
     return df.select(key, hashed(F.col(text), prefix, slots=slots).alias(out))
 
 
-def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix: str = "passage: ", out: str = "embedding") -> DataFrame:
+def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix: str = PASSAGE, out: str = "embedding") -> DataFrame:
     """Unit-length vectors of a model. The encoder is made once per task and sees one Arrow batch at a time."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -289,11 +309,11 @@ def encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder], prefix
 
 def encode_passages(df: DataFrame, text: str = "text", make_encoder: Callable[[], Encoder] | None = None, unit: bool = True) -> DataFrame:
     """``df`` with ``embedding``: of a model, or hashed word counts where none is given (of unit length, or as counted)."""
-    return _encoded(df, text, "passage: ", make_encoder, unit)
+    return _encoded(df, text, PASSAGE, make_encoder, unit)
 
 
 def encode_queries(df: DataFrame, text: str = "text", make_encoder: Callable[[], Encoder] | None = None, unit: bool = True) -> DataFrame:
-    return _encoded(df, text, "query: ", make_encoder, unit)
+    return _encoded(df, text, QUERY, make_encoder, unit)
 
 
 def _encoded(df: DataFrame, text: str, prefix: str, make_encoder: Callable[[], Encoder] | None, unit: bool) -> DataFrame:

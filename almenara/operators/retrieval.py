@@ -6,10 +6,11 @@ equal vectors tie whatever the order of summation, and ties go to the smaller id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from almenara.functions.numeric import pct, rounded, true
 from almenara.operators.lexical import SCORE_DECIMALS, bm25_search  # noqa: F401  lexical and vector search side by side
 from almenara.operators.ordered import top_n
+from almenara.session import pin
 from almenara.settings import RETRIEVAL
 
 CELLS = 2_000_000
@@ -25,13 +27,21 @@ QUERY_ROWS = 1024
 BLOCK_BYTES = 32 << 20
 #: Angles are compared with this much room, so rounding never leaves a row out.
 ROOM = 1e-6
+#: What the vectors of queries may take to be handed to every task; more of them meet the corpus in blocks.
+QUERY_BYTES = 64 << 20
+#: Rows that may lead and wait for their turn to be sorted.
+CANDIDATES = 4096
 
 
 # ---------------------------------------------------------------- search
+def _matrix(rows: pa.Array) -> np.ndarray:
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(rows), -1) if len(rows) else flat.reshape(0, 1)
+
+
 def _units(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of a list column, and which of them have a direction at all."""
-    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(rows), -1)
+    m = _matrix(rows)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.clip(norm, 1e-300, None), np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
 
@@ -101,15 +111,48 @@ class Block:
         row, column = np.nonzero((scores >= bar[who]) & np.isfinite(scores))
         if not len(row):
             return held
-        query = np.concatenate([held[0], who[column]])
-        ids, s = np.concatenate([held[1], self.ids[lo + row]]), np.concatenate([held[2], scores[row, column]])
-        order = np.lexsort((ids, -s, query))
-        query, ids, s = query[order], ids[order], s[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = place < k
-        last = place == k - 1
-        bar[query[last]] = s[last]
-        return query[kept], ids[kept], s[kept]
+        return _best(held, bar, who[column], self.ids[lo + row], scores[row, column], k)
+
+
+def _best(held: tuple, bar: np.ndarray, query: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple:
+    """The k best of each query among ``held`` (query, id, similarity) and new rows; ``bar`` is raised to the k-th similarity."""
+    query, ids, s = np.concatenate([held[0], query]), np.concatenate([held[1], ids]), np.concatenate([held[2], s])
+    order = np.lexsort((ids, -s, query))
+    query, ids, s = query[order], ids[order], s[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    kept = place < k
+    last = place == k - 1
+    bar[query[last]] = s[last]
+    return query[kept], ids[kept], s[kept]
+
+
+class Leaders:
+    """The k best of all rows seen for each of the queries; vectors are dropped once they are scored.
+
+    A similarity is a product over both lengths: where vectors are whole numbers, the order of summation does not show."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.norm, self.k = queries.T, np.linalg.norm(queries, axis=1), k
+        self.bar = np.full(len(queries), -np.inf)
+        self.held: tuple | None = None
+        self.waiting: list[tuple] = []
+
+    def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        norm = np.linalg.norm(vectors, axis=1)[:, None] * self.norm
+        scores = np.round((vectors @ self.queries) / np.where(norm > 0, norm, 1.0), SCORE_DECIMALS)
+        row, query = np.nonzero((scores >= self.bar) & np.isfinite(scores))
+        if len(row):
+            self.waiting.append((query, ids.take(pa.array(row)).to_numpy(zero_copy_only=False), scores[row, query]))
+        if sum(len(w[0]) for w in self.waiting) > CANDIDATES:
+            self.settle()
+
+    def settle(self) -> tuple:
+        """Query number, id and similarity of the leaders; ties by id."""
+        if self.waiting:
+            parts = [*([self.held] if self.held else []), *self.waiting]
+            query, ids, s = (np.concatenate([part[i] for part in parts]) for i in range(3))
+            self.held, self.waiting = _best((query[:0], ids[:0], s[:0]), self.bar, query, ids, s, self.k), []
+        return self.held or (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))
 
 
 def _blocks(size: Column) -> Column:
@@ -199,6 +242,64 @@ def semantic_search(
     )
 
 
+def search_texts(
+    corpus: DataFrame, queries: DataFrame, k: int, encoder: Callable[[], Callable[[pa.Array], Iterator[np.ndarray]]], scope: str | None = None, total: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Exact cosine top-k of every query in every scope, over texts whose vectors are made, scored and dropped by the task that reads them.
+
+    ``corpus`` has ``id, text`` and the named columns, ``queries`` has ``query_id, embedding``. The queries go to all tasks, so they must
+    be as few as :func:`few` says; a task keeps k rows of each query and scope, there are few scopes. No vector is shuffled
+    or stored. Returned are the hits (with the scope) and, from the same pass, the number of rows (``n``) and the sum of ``total`` by scope.
+    """
+    id_type, query_type = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
+    schema = T.StructType([
+        T.StructField("scope", T.IntegerType() if scope is None else corpus.schema[scope].dataType), T.StructField("query_id", query_type),
+        T.StructField("id", id_type), T.StructField("similarity", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType()),
+    ])
+    asked = queries.select("query_id", "embedding").toArrow()
+    shared = corpus.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), _matrix(asked.column("embedding").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, (names, vectors) = encoder(), shared.value
+        leaders: dict = {}
+        sums: dict = {}
+        kind: list[pa.DataType] = []
+        for rb in batches:
+            kind = [rb.column("scope").type, names.type, rb.column("id").type, pa.float64(), pa.int64(), pa.int64()]
+            for value in rb.column("scope").unique():
+                known = value.as_py()
+                mine = rb.filter(pc.is_null(rb.column("scope")) if known is None else pc.equal(rb.column("scope"), value))
+                lead, (n, added) = leaders.setdefault(known, Leaders(vectors, k)), sums.get(known, (0, 0))
+                sums[known] = n + len(mine), added + (pc.sum(mine.column("total")).as_py() or 0)
+                at = 0
+                for counted in encode(mine.column("text")) if len(vectors) else ():
+                    lead.add(mine.column("id").slice(at, len(counted)), counted)
+                    at += len(counted)
+        for value, lead in leaders.items():
+            query, ids, s = lead.settle()
+            m, (n, added) = len(query), sums[value]
+            for columns in (
+                ([value] * m, names.take(pa.array(query)), ids, s, [None] * m, [None] * m),
+                ([value], [None], [None], [None], [n], [added]),
+            ):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kind)], names=schema.names)
+
+    read = corpus.select(
+        (F.lit(0) if scope is None else F.col(scope)).alias("scope"), "id", "text", (F.lit(None) if total is None else F.col(total)).cast("long").alias("total"),
+    )
+    partial = pin(read.mapInArrow(run, schema))
+    by = ["query_id"] if scope is None else ["query_id", scope]
+    found = partial.filter(F.col("n").isNull()).select("query_id", "id", "similarity", *([] if scope is None else [F.col("scope").alias(scope)]))
+    hits = top_n(found, by, [F.desc("similarity"), F.asc("id")], k, spread=["id"]).select(*by, "rank", "id", "similarity")
+    sums = partial.filter(F.col("n").isNotNull()).groupBy(F.col("scope").alias(scope or "scope")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return hits, sums
+
+
+def few(queries: DataFrame, slots: int) -> bool:
+    """Whether the vectors of ``queries`` may go to every task."""
+    return queries.count() * slots * 8 <= QUERY_BYTES
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of two array columns inside the JVM, for pairs that already share a row."""
     def dot(x: Column, y: Column) -> Column:

@@ -316,27 +316,40 @@ def _answers(t):
 def _sizes(t):
     """Re-chunk, re-encode and score every size in one job; a fragment's size is part of its search scope.
 
-    Vectors go from the task that counts them to their block and are stored nowhere. The number of blocks follows from the
-    characters: two fragments in a row hold about a size, short ones beside a long piece apart."""
+    A task splits its texts, counts and scores their fragments and keeps the best; no vector leaves it. Only more items than may go to
+    every task have the fragments dealt to blocks instead."""
     sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in CHUNK_SWEEP])
     pages = t.documents.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
     chunks = docs.chunk_pages(pages.select("*", F.inline(sizes)))
     # The document's id is a number and the second part of a fragment's id.
     marked = chunks.withColumn("id", F.concat_ws("|", F.col("size").cast("string"), F.col("doc").cast("string"), "id"))
-    vectors = docs.encode_passages(marked, unit=False).select("id", "size", "embedding")
-    each = t.benchmark.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size"))
-    asked = docs.encode_queries(each.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), F.col("item_id").cast("string"))), unit=False)
-    blocks = ops.blocks_for(t.documents, F.sum(sum((F.ceil(2 * F.length("text") / s) for s, _ in CHUNK_SWEEP), F.lit(0))), docs.SLOTS)
-    hits = ops.semantic_search(vectors, asked.select("query_id", "size", "embedding"), 5, scope="size", blocks=blocks)
+    items = t.benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    if ops.few(items, docs.SLOTS):
+        asked = docs.encode_queries(items, unit=False).withColumnRenamed("item_id", "query_id")
+        texts = marked.select("id", "size", "chars", docs.prepared(F.col("text"), docs.PASSAGE).alias("text"))
+        hits, lengths = ops.search_texts(texts, asked, 5, docs.word_counts, scope="size", total="chars")
+        hits = hits.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), "query_id"))
+    else:
+        hits, lengths = _sizes_in_blocks(t, marked, items)
+    each = items.select("text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size"), "item_id")
+    each = each.select("size", F.col("text").alias("item"), F.concat_ws("|", F.col("size").cast("string"), "item_id").alias("query_id"))
     whole = t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
     doc = F.split_part("id", F.lit("|"), F.lit(2)).cast(whole.schema["doc"].dataType)
-    judged = (
-        hits.withColumn("doc", doc).join(whole, "doc")
-        .join(asked.select("query_id", F.col("text").alias("item")), "query_id")
-        .withColumn("relevant", F.contains("whole", "item"))
-    )
-    ranked = ops.first_hit(asked.select("query_id", "size", F.lit("in_domain").alias("kind")), judged)
+    # Few hits go to the texts, not the texts to them.
+    found = lexical.small(hits.select("query_id", "rank", "similarity", doc.alias("doc")), 5 * len(CHUNK_SWEEP) * items.count())
+    judged = found.join(whole, "doc").join(each.select("query_id", "item"), "query_id").withColumn("relevant", F.contains("whole", "item"))
+    ranked = ops.first_hit(each.select("query_id", "size", F.lit("in_domain").alias("kind")), judged)
     n = F.count("*")
     recall = [F.round(F.count_if(ops.true(F.col("first_rank") <= k)) / n, 4).alias(f"recall_at_{k}") for k in (1, 3, 5)]
-    lengths = chunks.groupBy("size").agg(F.count("*").alias("fragments"), F.round(F.avg("chars"), 1).alias("chars_mean"))
-    return ranked.groupBy("size").agg(*recall).join(lengths, "size")
+    means = lengths.select("size", F.col("n").alias("fragments"), F.round(F.col("total") / F.col("n"), 1).alias("chars_mean"))
+    return ranked.groupBy("size").agg(*recall).join(means, "size")
+
+
+def _sizes_in_blocks(t, marked, items):
+    """The number of blocks follows from the characters: two fragments in a row hold about a size, short ones beside a long piece apart."""
+    each = items.select("text", F.explode(F.array(*[F.lit(s) for s, _ in CHUNK_SWEEP])).alias("size"), "item_id")
+    asked = docs.encode_queries(each.withColumn("query_id", F.concat_ws("|", F.col("size").cast("string"), "item_id")), unit=False)
+    blocks = ops.blocks_for(t.documents, F.sum(sum((F.ceil(2 * F.length("text") / s) for s, _ in CHUNK_SWEEP), F.lit(0))), docs.SLOTS)
+    vectors = docs.encode_passages(marked, unit=False).select("id", "size", "embedding")
+    hits = ops.semantic_search(vectors, asked.select("query_id", "size", "embedding"), 5, scope="size", blocks=blocks)
+    return hits, marked.groupBy("size").agg(F.count("*").alias("n"), F.sum("chars").alias("total"))

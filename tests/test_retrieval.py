@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from almenara.functions.text import words
+from almenara.operators import documents as docs
 from almenara.operators import index, lexical, retrieval as ops
 
 
@@ -320,3 +322,61 @@ def test_text_ids_and_unusable_vectors(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, embedding array<double>")
     found = sorted((r.query_id, r["rank"], r.id, r.similarity) for r in ops.semantic_search(corpus, queries, 5).collect())
     assert found == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "c", 0.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0), (2, 3, "c", 0.0)]
+
+
+@pytest.mark.parametrize("waiting", [0, 4096])
+def test_texts_scored_where_they_are_read_equal_every_score(spark, monkeypatch, waiting):
+    monkeypatch.setattr(ops, "CANDIDATES", waiting)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, rng.integers(0, 30)) % 500) for _ in range(900)]
+    texts[300:420] = [texts[300]] * 120  # copies tie by id
+    rows = [(f"d{i}", None if i % 4 == 3 else i % 4, i, None if i % 50 == 7 else t) for i, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "id string, part int, chars int, text string").repartition(5)
+    asked = spark.createDataFrame([(i, texts[i * 60]) for i in range(12)] + [(12, None)], "query_id long, text string")
+    vector = {r.id: np.array(r.embedding, float) for r in docs.encode_passages(corpus, unit=False).collect()}
+    asking = docs.encode_queries(asked, unit=False)
+    query = {r.query_id: np.array(r.embedding, float) for r in asking.collect()}
+    ready = corpus.select("id", "part", "chars", docs.prepared(F.col("text"), docs.PASSAGE).alias("text"))
+    for scope in ("part", None):
+        hits, sums = ops.search_texts(ready, asking, 6, docs.word_counts, scope, "chars")
+        got = sorted((str(r.part) if scope else "", r.query_id, r["rank"], r.id, r.similarity) for r in hits.collect())
+        want, totals = [], []
+        for value in sorted({r[1] for r in rows}, key=str) if scope else [""]:
+            mine = [r for r in rows if not scope or r[1] == value]
+            totals.append((str(value), len(mine), sum(r[2] for r in mine)))
+            for q, a in query.items():
+                scored = sorted((-round(float(vector[r[0]] @ a / (np.linalg.norm(vector[r[0]]) * np.linalg.norm(a))), 6), r[0]) for r in mine)[:6]
+                want += [(str(value), q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+        assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and [g[4] for g in got] == pytest.approx([w[4] for w in sorted(want)])
+        assert sorted((str(r[0]) if scope else "", r.n, r.total) for r in sums.collect()) == totals
+
+
+def test_texts_without_queries_are_still_counted_and_words_that_cancel_have_no_direction(spark):
+    corpus = spark.createDataFrame([("b", "una norma"), ("a", ""), ("c", None)], "id string, text string")
+    asked = docs.encode_queries(spark.createDataFrame([(1, "una norma")], "query_id long, text string"), unit=False)
+    ready = corpus.select("id", F.coalesce("text", F.lit("")).alias("text"))  # without a prefix: zero vectors
+    hits, sums = ops.search_texts(ready, asked, 5, docs.word_counts)
+    assert [(r["rank"], r.id) for r in hits.orderBy("rank").collect()] == [(1, "b"), (2, "a"), (3, "c")]
+    for some in (corpus, corpus.limit(0)):
+        hits, sums = ops.search_texts(some.select("id", F.coalesce("text", F.lit("")).alias("text")), asked.limit(0), 5, docs.word_counts)
+        assert hits.count() == 0 and [r.n for r in sums.collect()] == ([3] if some is corpus else [])
+
+
+def test_fragment_sizes_are_scored_where_they_are_read_and_in_blocks_alike(spark, tmp_path, monkeypatch, capsys):
+    rng = np.random.default_rng(13)
+    lines = [" ".join(f"w{i}" for i in rng.zipf(1.2, 400) % 3000) for _ in range(60)]
+    items = [(i, " ".join(line.split()[100:130])) for i, line in enumerate(lines[::6])] + [(None, "w1 w2"), (99, None)]
+    spark.createDataFrame([(i, ". ".join(lines[i % 60 : i % 60 + 3])) for i in range(80)] + [(80, None), (81, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    evaluation = registry.queries()["fragment_size_evaluation"]
+    found = evaluation(spark, str(tmp_path))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" not in plan and "embedding" not in plan  # split once, vectors neither shuffled nor stored
+    monkeypatch.setattr(ops, "QUERY_BYTES", 0)
+    dealt = evaluation(spark, str(tmp_path))
+    dealt.explain()
+    assert "embedding" in capsys.readouterr().out
+    assert dealt.columns == found.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, dealt.collect()))
+    assert found.count() == 3 and found.filter("recall_at_5 > 0").count() == 3
