@@ -138,13 +138,16 @@ class Leaders:
         self.waiting: list[tuple] = []
 
     def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        norm = np.linalg.norm(vectors, axis=1)[:, None] * self.norm
-        scores = np.round((vectors @ self.queries) / np.where(norm > 0, norm, 1.0), SCORE_DECIMALS)
-        row, query = np.nonzero((scores >= self.bar) & np.isfinite(scores))
-        if len(row):
-            self.waiting.append((query, ids.take(pa.array(row)).to_numpy(zero_copy_only=False), scores[row, query]))
-        if sum(len(w[0]) for w in self.waiting) > CANDIDATES:
-            self.settle()
+        names, step = ids.to_numpy(zero_copy_only=False), max(1, CELLS // max(1, len(self.norm)))
+        for lo in range(0, len(vectors), step):
+            some = vectors[lo : lo + step]
+            norm = np.linalg.norm(some, axis=1)[:, None] * self.norm
+            scores = np.round((some @ self.queries) / np.where(norm > 0, norm, 1.0), SCORE_DECIMALS)
+            row, query = np.nonzero((scores >= self.bar) & np.isfinite(scores))
+            if len(row):
+                self.waiting.append((query, names[lo + row], scores[row, query]))
+            if sum(len(w[0]) for w in self.waiting) > CANDIDATES:
+                self.settle()
 
     def settle(self) -> tuple:
         """Query number, id and similarity of the leaders; ties by id."""

@@ -324,9 +324,10 @@ def test_text_ids_and_unusable_vectors(spark):
     assert found == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "c", 0.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0), (2, 3, "c", 0.0)]
 
 
-@pytest.mark.parametrize("waiting", [0, 4096])
-def test_texts_scored_where_they_are_read_equal_every_score(spark, monkeypatch, waiting):
+@pytest.mark.parametrize("waiting, cells", [(0, 40), (4096, 2_000_000)])
+def test_texts_scored_where_they_are_read_equal_every_score(spark, monkeypatch, waiting, cells):
     monkeypatch.setattr(ops, "CANDIDATES", waiting)
+    monkeypatch.setattr(ops, "CELLS", cells)
     rng = np.random.default_rng(12)
     texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, rng.integers(0, 30)) % 500) for _ in range(900)]
     texts[300:420] = [texts[300]] * 120  # copies tie by id
